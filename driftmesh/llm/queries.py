@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from driftmesh.llm.byte_bpe import bpe_digests
 from driftmesh.llm.common import table
 from driftmesh.llm.exact_dedup import exact_dedup
+from driftmesh.llm.quality_rules import quality_rules
+from driftmesh.llm.warc import warc_round_trip
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 WHITE_SQL = r"[\x20\x09-\x0D]"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,5 +38,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
-SQL = {"op4_exact_dedup": OP4_SQL}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+with t as (select page_id, encode(coalesce(html, '')) as b from pages),
+h as (select page_id, cast(octet_length(b) as bigint) as n, sha1(b) as d from t),
+g as (select *, max(page_id) over (partition by d, n) as m from h)
+select page_id, n as payload_bytes, d as payload_digest,
+  case when n >= 1000 and page_id <> m then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id <> m then m end as refers_to
+from g
+"""
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+SQL = {"op8_warc": OP8_SQL, "op4_exact_dedup": OP4_SQL}

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftmesh.llm.byte_bpe import bpe_digests
 from driftmesh.llm.common import table
 from driftmesh.llm.exact_dedup import exact_dedup
+from driftmesh.llm.packing import pack_documents
 from driftmesh.llm.quality_rules import quality_rules
 from driftmesh.llm.warc import warc_round_trip
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 WHITE_SQL = r"[\x20\x09-\x0D]"
@@ -20,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,5 +60,5 @@ select page_id, n as payload_bytes, d as payload_digest,
 from g
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
 SQL = {"op8_warc": OP8_SQL, "op4_exact_dedup": OP4_SQL}

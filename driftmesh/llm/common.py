@@ -73,16 +73,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges stays as it was; it is then a star around each root. Each round is written to the shared folder.
     """
 
-    def step(e: DataFrame, small: bool) -> DataFrame:
+    def star(e: DataFrame, small: bool) -> DataFrame:
+        # e has u > v. Small: a node's lesser neighbours go to the least of them. Large: its greater ones do.
         both = e if small else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # e has u > v: for the small star u's neighbours are its lesser ones, for the large star all of them
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         joined = both.join(least, "u")
+        out = (joined if small else joined.filter("v > u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         if small:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        else:
-            out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            # a node that is no one's greater neighbour keeps its own link to the least
             out = out.unionByName(least.select("u", F.col("m").alias("v")))
         return out.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -94,7 +91,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     before = mark(current)
     for _ in range(max_rounds if before[0] else 0):
-        after_df = materialize(step(step(current, False), True), "edges")
+        after_df = materialize(star(star(current, False), True), "edges")
         after = mark(after_df)
         discard(current)
         current = after_df

@@ -12,6 +12,7 @@ from driftmesh.llm.exact_dedup import exact_dedup
 from driftmesh.llm.packing import pack_documents
 from driftmesh.llm.quality_rules import quality_rules
 from driftmesh.llm.secrets import KINDS, scan_secrets, span_text
+from driftmesh.llm.simhash import simhash_components
 from driftmesh.llm.warc import warc_round_trip
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +48,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
@@ -68,5 +74,5 @@ select page_id, n as payload_bytes, d as payload_digest,
 from g
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op7_secret_scan": op7_secret_scan, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op5_simhash": op5_simhash, "op7_secret_scan": op7_secret_scan, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
 SQL = {"op8_warc": OP8_SQL, "op4_exact_dedup": OP4_SQL}

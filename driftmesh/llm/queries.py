@@ -10,6 +10,7 @@ from driftmesh.llm.byte_bpe import bpe_digests
 from driftmesh.llm.common import table
 from driftmesh.llm.exact_dedup import exact_dedup
 from driftmesh.llm.packing import pack_documents
+from driftmesh.llm import pii
 from driftmesh.llm.quality_rules import quality_rules
 from driftmesh.llm.secrets import KINDS, scan_secrets, span_text
 from driftmesh.llm.simhash import simhash_components
@@ -44,6 +45,13 @@ select doc_id, k as keep_id, cast(g as bigint) as group_size, doc_id = k as kept
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    base = pii.span_text(F.filter("spans", lambda s: s["kind"] < 4))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -74,5 +82,5 @@ select page_id, n as payload_bytes, d as payload_digest,
 from g
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op5_simhash": op5_simhash, "op7_secret_scan": op7_secret_scan, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op5_simhash": op5_simhash, "op7_secret_scan": op7_secret_scan, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe}
 SQL = {"op8_warc": OP8_SQL, "op4_exact_dedup": OP4_SQL}

@@ -112,8 +112,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     return joined.select("page_id", "url", "html", revisits.alias("revisits"), F.when(revisits, F.col("largest")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "none") -> None:
-    """Writes pages (page_id, url, html) as archives under path; compression: none or gzip (whole files)."""
+def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+    """Writes pages (page_id, url, html) as archives under path; compression: gzip (of whole files) or none."""
     records = with_revisits(pages, least_bytes).mapInArrow(_encode(segment_bytes, chunk_bytes), "record binary")
     # the text sink writes the bytes of a string as they are
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)

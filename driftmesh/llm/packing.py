@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmesh.llm.byte_bpe import byte_characters
 from driftmesh.llm.common import slices
 
 CACHE_WORDS = 300_000
@@ -36,33 +37,72 @@ CACHE_WORDS = 300_000
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
+#: How the tokenizer parts a lower-case word; fixed value.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+class Remembered:
+    """A mapping filled on demand that keeps what was asked for lately: two generations of at most `most` entries."""
+
+    def __init__(self, fill, most: int):
+        self.fill, self.most = fill, most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def __call__(self, keys: list) -> list:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young = self.young
+        found = list(map(young.get, keys))
+        gaps = [i for i, value in enumerate(found) if value is None]
+        if gaps:
+            new = []
+            for key in dict.fromkeys(keys[i] for i in gaps):
+                value = self.old.get(key)
+                if value is None:
+                    new.append(key)
+                else:
+                    young[key] = value
+            young.update(zip(new, self.fill(new)))
+            for i in gaps:
+                found[i] = young[keys[i]]
+        return found
+
+
 class WordTokenizer:
-    """A tokenizer of the tokenizers library that drops white space: words are encoded singly and remembered, within
-    bounds, which gives the same ids as encoding the whole text."""
+    """A tokenizer of the tokenizers library that lower-cases and drops white space, word by word.
+
+    Words are parted as the tokenizer parts them and its model encodes the parts, each once as long as it is remembered;
+    that gives the same ids as encoding the whole text. Words outside Latin-1, where normalisation may change letters,
+    and words that may hold special tokens go through the whole tokenizer.
+    """
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.whole = Tokenizer.from_file(file)
+        self.model = Tokenizer(self.whole.model)
+        self.chars = byte_characters()
+        self.part = regex.compile(PARTS).findall
         self.find = re.compile(r"[^\x20\x09-\x0D]+").findall
+        self.ids_of = Remembered(self._words, cache_words)  # of words, as little-endian unsigned 32-bit integers
+        self._ids_of_part = Remembered(self._parts, cache_words)
 
     def words(self, text: str) -> list[str]:
         return self.find(text) if any(c in text for c in ODD_BLANKS) else text.split()
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        try:
-            return [self.cache[w] for w in words]
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.cache]
-            for word, done in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.cache[word] = array("I", done.ids).tobytes()
-            return [self.cache[w] for w in words]
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        shown = ["".join(map(self.chars.__getitem__, p.encode())) for p in parts]
+        return [array("I", done.ids).tobytes() for done in self.model.encode_batch_fast(shown, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        plain = [(w.isascii() or max(w) <= "\xff") and "<|" not in w for w in words]
+        parted = [self.part(w.lower()) if ok else () for w, ok in zip(words, plain)]
+        ids = iter(self._ids_of_part([p for parts in parted for p in parts]))
+        odd = iter(self.whole.encode_batch_fast([w for w, ok in zip(words, plain) if not ok], add_special_tokens=False))
+        return [b"".join([next(ids) for _ in parts]) if ok else array("I", next(odd).ids).tobytes() for parts, ok in zip(parted, plain)]
 
 
 @lru_cache(2)
@@ -70,13 +110,15 @@ def word_tokenizer(file: str) -> WordTokenizer:
     return WordTokenizer(file)
 
 
-def best_cuts(positions: list[int], penalties: list[float], window: int) -> list[int]:
+def best_cuts(positions: list[int], penalties: list[float], window: int, least_power: int = 1) -> list[int]:
     """Indices of the chosen cuts: the first and last always, no two further than window apart.
 
-    positions ascend strictly, from the start of the stream to its end; penalties[i] is paid if i is cut.
+    positions ascend strictly, from the start of the stream to its end; penalties[i] is paid if i is cut. Powers of two
+    below least_power are tried in the last window alone.
     """
     n = len(positions)
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
+    every = [1 << k for k in range(window.bit_length()) if 1 << k < window]
+    powers, tail = [p for p in every if p >= least_power], positions[-1] - window
     cost, back = [0.0] * n, [0] * n
     at = {positions[0]: 0}
     queue = deque([(positions[0] + 0.0, 0)])  # (cost + position, index), both ascending
@@ -86,7 +128,7 @@ def best_cuts(positions: list[int], penalties: list[float], window: int) -> list
             queue.popleft()
         low, i = queue[0]
         low += window - here
-        for p in powers:
+        for p in powers if here < tail else every:
             k = at.get(here - p)
             if k is not None and cost[k] < low:
                 low, i = cost[k], k
@@ -115,7 +157,7 @@ def cut_positions(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int,
     penalties[np.isin(positions, sentence_ends)] = sentence_cut
     penalties[np.isin(positions, doc_ends)] = 0.0
     places = positions.tolist()
-    return [places[i] for i in best_cuts(places, penalties.tolist(), window)]
+    return [places[i] for i in best_cuts(places, penalties.tolist(), window, window // 8)]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

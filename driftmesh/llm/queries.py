@@ -6,14 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmesh.llm import pii
 from driftmesh.llm.byte_bpe import bpe_digests
 from driftmesh.llm.common import table
 from driftmesh.llm.exact_dedup import exact_dedup
 from driftmesh.llm.packing import pack_documents
-from driftmesh.llm import pii
 from driftmesh.llm.quality_rules import quality_rules
 from driftmesh.llm.secrets import KINDS, scan_secrets, span_text
 from driftmesh.llm.simhash import simhash_components
+from driftmesh.llm.toxicity import score_toxicity
 from driftmesh.llm.warc import warc_round_trip
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +32,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,5 +87,5 @@ select page_id, n as payload_bytes, d as payload_digest,
 from g
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op5_simhash": op5_simhash, "op7_secret_scan": op7_secret_scan, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op5_simhash": op5_simhash, "op7_secret_scan": op7_secret_scan, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe}
 SQL = {"op8_warc": OP8_SQL, "op4_exact_dedup": OP4_SQL}

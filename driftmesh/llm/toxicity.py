@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its lower-case words and their beginnings of four to seven letters, hashed. The terms most unlike
+A text's terms are its lower-case words and their beginnings of four to nine letters, hashed. The terms most unlike
 between toxic and other texts (chi-squared on document counts, from the sample) are kept; a factorization machine then
 learns a weight for each and, by factors, an interaction for each pair of terms that meet in a text, so an insult can
 count for more beside a mention of a group than alone.
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from driftmesh.llm.common import crc_of_id, materialize, slices
 
 SAMPLE_ROWS = 12_000
-TERMS = 1_024
+TERMS = 2_048
 BUCKET_BITS = 22
 FACTORS = 8
 #: The score from which a text is predicted to be toxic.
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (4, 5, 6, 7, 8, 9)
 
 _letters = re.compile(r"[^\W\d_]+")
 _MASK = (1 << BUCKET_BITS) - 1

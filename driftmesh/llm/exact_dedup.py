@@ -174,3 +174,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     alone = rows.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("hash")).alias("text_sha256"))
     return alone.unionByName(matched)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, all columns kept. Rows that repeat a doc_id with an equal text leave one."""
+    stays = exact_dedup(docs, id_col, text_col, **options).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__times"))
+    stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_hash"), "__times")
+    marked = docs.withColumn("__hash", F.sha2(normalised(text_col).cast("binary"), 256))
+    left = marked.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept_hash")))
+    once = left.filter("__times = 1")
+    repeated = left.filter("__times > 1").dropDuplicates([id_col, "__hash"])
+    return once.unionByName(repeated).select(*docs.columns)

@@ -155,3 +155,11 @@ def simhash_components(docs: DataFrame, shingle: int = 5, radius: int = 3, id_co
     rooted = distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
     return rows.join(named, "print").select("doc_id", "print", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is their component's, all columns kept; rows without an id stay if their component has
+    none."""
+    found = simhash_components(docs, shingle, radius, id_col, text_col, **options)
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")

@@ -32,6 +32,8 @@ from driftmesh.llm.byte_bpe import byte_characters
 from driftmesh.llm.common import slices
 
 CACHE_WORDS = 300_000
+#: Candidate cuts within documents are about so many tokens apart.
+STRIDE = 32
 
 #: Separators that str.split() knows and the tokenizer does not.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
@@ -98,11 +100,31 @@ class WordTokenizer:
         return [array("I", done.ids).tobytes() for done in self.model.encode_batch_fast(shown, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        plain = [(w.isascii() or max(w) <= "\xff") and "<|" not in w for w in words]
-        parted = [self.part(w.lower()) if ok else () for w, ok in zip(words, plain)]
-        ids = iter(self._ids_of_part([p for parts in parted for p in parts]))
-        odd = iter(self.whole.encode_batch_fast([w for w, ok in zip(words, plain) if not ok], add_special_tokens=False))
-        return [b"".join([next(ids) for _ in parts]) if ok else array("I", next(odd).ids).tobytes() for parts, ok in zip(parted, plain)]
+        parts, counts, odd = [], [], []
+        for word in words:
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):  # most words: one part of letters
+                parts.append(word.lower())
+                counts.append(1)
+            elif (word.isascii() or max(word) <= "\xff") and "<|" not in word:
+                found = self.part(word.lower())
+                parts += found
+                counts.append(len(found))
+            else:
+                odd.append(word)
+                counts.append(-1)
+        ids = self._ids_of_part(parts)
+        whole = iter(self.whole.encode_batch_fast(odd, add_special_tokens=False)) if odd else None
+        out, at = [], 0
+        for n in counts:
+            if n == 1:
+                out.append(ids[at])
+                at += 1
+            elif n < 0:
+                out.append(array("I", next(whole).ids).tobytes())
+            else:
+                out.append(b"".join(ids[at : at + n]))
+                at += n
+        return out
 
 
 @lru_cache(2)
@@ -148,9 +170,12 @@ def best_cuts(positions: list[int], penalties: list[float], window: int, least_p
 def cut_positions(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, sentence_cut: float, word_cut: float) -> list[int]:
     """Token positions of the windows' borders for one run of documents."""
     total = int(doc_ends[-1])
+    # sentences shorter than a stride end where the next one does, but for the ends of documents
+    strides = sentence_ends // STRIDE
+    sentence_ends = sentence_ends[np.append(strides[1:] != strides[:-1], True)] if len(sentence_ends) else sentence_ends
     stops = np.unique(np.concatenate([[0], sentence_ends, doc_ends]))
-    wide = np.flatnonzero(np.diff(stops) > 64)
-    inner = [np.arange(stops[i] + 32, stops[i + 1], 32) for i in wide]
+    wide = np.flatnonzero(np.diff(stops) > 4 * STRIDE)
+    inner = [np.arange(stops[i] + STRIDE, stops[i + 1], STRIDE) for i in wide]
     last = np.arange(max(0, total - window), total)
     positions = np.unique(np.concatenate([stops, last, *inner]))
     penalties = np.full(len(positions), word_cut)
@@ -193,12 +218,12 @@ def pack_documents(
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = tokenizer.words(text)
                 parts = tokenizer.ids_of(words)
-                sizes = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-                stops = np.fromiter((w[-1] in ".!?" for w in words), bool, len(words))
-                parts.append(end)
+                stops = [i for i, w in enumerate(words, 1) if w[-1] in ".!?"]
+                runs = [b"".join(parts[a:b]) for a, b in zip([0, *stops], stops)]
+                runs.append(b"".join(parts[stops[-1] if stops else 0 :]) + end)
                 ids.append(doc_id)
-                streams.append(b"".join(parts))
-                sentences.append(sizes[stops & (sizes > 0)] if len(words) else np.zeros(0, np.int64))
+                streams.append(b"".join(runs))
+                sentences.append(np.cumsum([len(r) for r in runs[:-1]], dtype=np.int64) // 4)
                 held += len(streams[-1]) // 4
                 if held >= run_tokens:
                     out, first = pieces(ids, streams, sentences, first)

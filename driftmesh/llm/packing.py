@@ -58,13 +58,12 @@ class Remembered:
         found = list(map(young.get, keys))
         gaps = [i for i, value in enumerate(found) if value is None]
         if gaps:
-            new = []
-            for key in dict.fromkeys(keys[i] for i in gaps):
-                value = self.old.get(key)
-                if value is None:
-                    new.append(key)
-                else:
-                    young[key] = value
+            wanted = {keys[i] for i in gaps}
+            moved = wanted & self.old.keys()
+            if moved:
+                young.update({key: self.old[key] for key in moved})
+                wanted -= moved
+            new = list(wanted)
             young.update(zip(new, self.fill(new)))
             for i in gaps:
                 found[i] = young[keys[i]]

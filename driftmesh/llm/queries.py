@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from driftmesh.llm import pii
 from driftmesh.llm.byte_bpe import bpe_digests
-from driftmesh.llm.common import table
+from driftmesh.llm.common import crc_of_id, table
 from driftmesh.llm.exact_dedup import exact_dedup
+from driftmesh.llm.lm_scoring import lm_scores
 from driftmesh.llm.packing import pack_documents
 from driftmesh.llm.quality_rules import quality_rules
 from driftmesh.llm.secrets import KINDS, scan_secrets, span_text
@@ -66,6 +67,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), crc_of_id() % 7 == 2, WORD_TOKENIZER)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
@@ -87,5 +92,5 @@ select page_id, n as payload_bytes, d as payload_digest,
 from g
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op5_simhash": op5_simhash, "op7_secret_scan": op7_secret_scan, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op5_simhash": op5_simhash, "op6_lm_scoring": op6_lm_scoring, "op7_secret_scan": op7_secret_scan, "op8_warc": op8_warc, "op4_exact_dedup": op4_exact_dedup, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe}
 SQL = {"op8_warc": OP8_SQL, "op4_exact_dedup": OP4_SQL}

@@ -73,11 +73,16 @@ def base_spans(text: Column) -> Column:
 
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal by the rational approximation of Abramowitz and Stegun 26.2.17 (fixed values)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(x):
+        t = x["t"]
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        upper = F.exp(-x["z"] * x["z"] / 2) / math.sqrt(2 * math.pi) * poly
+        return F.struct(x["z"].alias("z"), upper.alias("upper"))
+
+    # each step is bound once, or the expression would double with every use
+    bound = F.transform(F.array(z), lambda z: F.struct(z.alias("z"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t")))
+    return F.get(F.transform(F.transform(bound, tail), lambda x: F.when(x["z"] >= 0, x["upper"]).otherwise(1 - x["upper"])), F.lit(0))
 
 
 def _two_sided(z: Column) -> Column:
@@ -95,31 +100,44 @@ def battery(token: Column) -> Column:
     plain = F.when(hexish, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
     size = F.length(alphabet).cast("double")
     values = F.transform(F.sequence(F.lit(1), F.length(plain)), lambda i: F.instr(alphabet, F.substr(plain, i, F.lit(1))) - 1)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     facts = F.struct(values.alias("v"), size.alias("a"), F.length(plain).cast("double").alias("n"), mixed.alias("ok"))
 
-    def judge(f):
+    def sums(f):
         v, a, n = f["v"], f["a"], f["n"]
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
         squares = total(F.transform(F.array_distinct(v), lambda d: F.pow(F.size(F.filter(v, lambda x: x == d)).cast("double"), F.lit(2.0))))
-        chi, df = a / n * squares - n, a - 1
-        chi_p = _upper_tail((F.cbrt(chi / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-        high = total(F.transform(v, lambda x: (x * 2 >= a).cast("double")))
-        low = n - high
-        steps = F.sequence(F.lit(0), F.size(v) - 2)
-        runs = 1 + total(F.transform(steps, lambda i: ((F.get(v, i) * 2 >= a) != (F.get(v, i + 1) * 2 >= a)).cast("double")))
-        mean = 2 * high * low / n + 1
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        runs_p = F.when(spread > 0, _two_sided((runs - mean) / F.sqrt(spread))).otherwise(F.lit(1e-30))
-        avg = total(F.transform(v, lambda x: x.cast("double"))) / n
-        var = total(F.transform(v, lambda x: (x - avg) * (x - avg)))
-        cross = total(F.transform(steps, lambda i: (F.get(v, i) - avg) * (F.get(v, i + 1) - avg)))
-        serial_p = F.when(var > 0, _two_sided((cross / var + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-30))
-        half = -(F.log(F.greatest(chi_p, F.lit(1e-30))) + F.log(F.greatest(runs_p, F.lit(1e-30))) + F.log(F.greatest(serial_p, F.lit(1e-30))))
+        highs = F.transform(v, lambda x: x * 2 >= a)
+        turns = total(F.transform(highs, lambda x, i: ((i > 0) & (x != F.get(highs, i - 1))).cast("double")))
+        mean = total(F.transform(v, lambda x: x.cast("double"))) / n
+        return F.struct(v.alias("v"), a.alias("a"), n.alias("n"), squares.alias("squares"), total(F.transform(highs, lambda x: x.cast("double"))).alias("high"), turns.alias("turns"), mean.alias("mean"))
+
+    def statistics(f):
+        v, a, n, high, mean = f["v"], f["a"], f["n"], f["high"], f["mean"]
+        expected = 2 * high * (n - high) / n + 1
+        moved = F.transform(v, lambda x: x - mean)
+        return F.struct(
+            n.alias("n"), (a - 1).alias("df"), (a / n * f["squares"] - n).alias("chi"), (f["turns"] + 1).alias("runs"), expected.alias("expected"),
+            ((expected - 1) * (expected - 2) / (n - 1)).alias("spread"),
+            total(F.transform(moved, lambda x: x * x)).alias("var"), total(F.transform(moved, lambda x, i: F.when(i > 0, x * (F.get(v, i - 1) - mean)).otherwise(F.lit(0.0)))).alias("cross"),
+        )
+
+    def scores(f):
+        share = 2 / (9 * f["df"])
+        chi_p = _upper_tail((F.cbrt(f["chi"] / f["df"]) - (1 - share)) / F.sqrt(share))
+        runs_p = F.when(f["spread"] > 0, _two_sided((f["runs"] - f["expected"]) / F.sqrt(f["spread"]))).otherwise(F.lit(1e-30))
+        serial_p = F.when(f["var"] > 0, _two_sided((f["cross"] / f["var"] + 1 / f["n"]) * F.sqrt(f["n"]))).otherwise(F.lit(1e-30))
+        logs = [F.log(F.greatest(p, F.lit(1e-30))) for p in (chi_p, runs_p, serial_p)]
+        return F.struct(f["n"].alias("n"), (-(logs[0] + logs[1] + logs[2])).alias("half"))
+
+    def joined(f):
+        n, half = f["n"], f["half"]
         p = F.exp(-half) * (1 + half + half * half / 2)  # Fisher: chi-squared with six degrees of freedom
-        stratum = sum((n >= s).cast("int") for s in STRATA)
-        return F.when(f["ok"], F.struct(stratum.alias("stratum"), p.alias("p")))
+        return F.struct(sum((n >= s).cast("int") for s in STRATA).alias("stratum"), p.alias("p"))
 
-    return F.get(F.transform(F.array(facts), judge), F.lit(0))
+    kept = F.filter(F.array(facts), lambda f: f["ok"])
+    for step in (sums, statistics, scores, joined):
+        kept = F.transform(kept, step)
+    return F.get(kept, F.lit(0))
 
 
 def candidates(text: Column, base: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from driftmesh.llm.byte_bpe import byte_characters
 from driftmesh.llm.common import slices
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Candidate cuts within documents are about so many tokens apart.
 STRIDE = 32
 
@@ -88,11 +88,25 @@ class WordTokenizer:
         self.chars = byte_characters()
         self.part = regex.compile(PARTS).findall
         self.find = re.compile(r"[^\x20\x09-\x0D]+").findall
-        self.ids_of = Remembered(self._words, cache_words)  # of words, as little-endian unsigned 32-bit integers
+        self.apart = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=\s)").sub
+        self.ids_of = Remembered(self._fill, cache_words)  # of words, as little-endian unsigned 32-bit integers
         self._ids_of_part = Remembered(self._parts, cache_words)
 
     def words(self, text: str) -> list[str]:
-        return self.find(text) if any(c in text for c in ODD_BLANKS) else text.split()
+        """Strings whose ids, joined, are the text's: words, with stops and commas after a letter set apart."""
+        if any(c in text for c in ODD_BLANKS):
+            return self.find(text)
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return self.apart(r" \1", text.lower()).split()
+
+    def _fill(self, words: list[str]) -> list[bytes]:
+        plain = [w.isalpha() and (w.isascii() or max(w) <= "\xff") for w in words]
+        simple = iter(self._parts([w.lower() for w, ok in zip(words, plain) if ok]))
+        others = iter(self._words([w for w, ok in zip(words, plain) if not ok]))
+        return [next(simple) if ok else next(others) for ok in plain]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         shown = ["".join(map(self.chars.__getitem__, p.encode())) for p in parts]
@@ -189,7 +203,7 @@ PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long,
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_file: str, end_id: int = 2, window: int = 4096, sentence_cut: float = 12.0, word_cut: float = 24.0, run_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_file: str, end_id: int = 2, window: int = 4096, sentence_cut: float = 12.0, word_cut: float = 24.0, run_tokens: int = 262_144, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
 

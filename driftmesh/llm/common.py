@@ -52,6 +52,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+#: Rows of a few small columns that may be broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if it has so few rows, else as it is, for a join by shuffle. df should be read from a table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import materialize, partition_slots
+from driftmesh.llm.common import materialize, partition_slots, small_side
 
 #: Rows of a block: bounds what a partition holds at a time and the size of a message.
 BLOCK_ROWS = 50_000
@@ -155,9 +155,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = fingerprint_rows(docs, id_col, text_col, owner_bits, block_rows)
     suspects = rows.filter("suspect")
-    bodies = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), normalised(text_col).alias("body")
-    ).alias("d").join(suspects.select("doc_id").distinct().alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
+    asked = small_side(suspects.select(F.col("doc_id").alias("__suspect")).distinct())
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("__suspect")), "left_semi")
+    bodies = found.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), normalised("text").alias("body"))
     # grouped by the bytes themselves: copies fold on the map side, so a text that half the corpus repeats stays small
     by_bytes = bodies.groupBy("body", "n_chars").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).select(
         F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("hash"), F.xxhash64("body").alias("other"), "n_chars", "least", "n"
@@ -178,10 +178,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, all columns kept. Rows that repeat a doc_id with an equal text leave one."""
-    stays = exact_dedup(docs, id_col, text_col, **options).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__times"))
-    stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_hash"), "__times")
+    decided = materialize(exact_dedup(docs, id_col, text_col, **options).filter("group_size > 1").select("doc_id", "kept", "text_sha256"), "decided")
+    keys = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_or("kept").alias("__stays"), F.count(F.lit(1)).alias("__times"))
     marked = docs.withColumn("__hash", F.sha2(normalised(text_col).cast("binary"), 256))
-    left = marked.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept_hash")))
-    once = left.filter("__times = 1")
-    repeated = left.filter("__times > 1").dropDuplicates([id_col, "__hash"])
-    return once.unionByName(repeated).select(*docs.columns)
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        return marked.join(small_side(keys), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__sha")), how)
+
+    special = keys.filter("not __stays or __times > 1").select("__id", "__sha")
+    repeated = keys.filter("__stays and __times > 1").select("__id", "__sha")
+    out = among(special, "left_anti")
+    if not repeated.isEmpty():
+        out = out.unionByName(among(repeated, "left_semi").dropDuplicates([id_col, "__hash"]))
+    return out.select(*docs.columns)

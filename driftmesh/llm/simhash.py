@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import connected_components, materialize, slices
+from driftmesh.llm.common import connected_components, materialize, slices, small_side
 
 #: The hash of a shingle is XXH64 with this seed.
 SEED = 42
@@ -160,6 +160,8 @@ def simhash_components(docs: DataFrame, shingle: int = 5, radius: int = 3, id_co
 def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is their component's, all columns kept; rows without an id stay if their component has
     none."""
-    found = simhash_components(docs, shingle, radius, id_col, text_col, **options)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    found = materialize(simhash_components(docs, shingle, radius, id_col, text_col, **options), "components")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # an id may have several texts: it goes if none of them stays
+    gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(stays).alias("__stays")).filter("not __stays").select("__id")
+    return docs.join(small_side(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")

@@ -76,7 +76,10 @@ def polygon_props(corners: Column) -> Column:
     """struct<area,nx,ny,nz> of array<struct<x,y,z>>: a fan about the mean; triangles weigh alike in the normal."""
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     n = F.size(corners)
-    centre = F.struct(*[(total(F.transform(corners, lambda p, c=c: p[c])) / n).alias(c) for c in "xyz"])
+    # a lambda's second argument would be the position, so names are bound by a function around it
+    pick = lambda c: lambda p: p[c]
+    share = lambda k: lambda t: t["c"][k] / t["m"]
+    centre = F.struct(*[(total(F.transform(corners, pick(c))) / n).alias(c) for c in "xyz"])
 
     def fans(bound):
         pts, mid = bound["p"], bound["c"]
@@ -91,7 +94,7 @@ def polygon_props(corners: Column) -> Column:
     normals = F.transform(F.get(bound, F.lit(0)), normal)
     sized = F.transform(normals, lambda c: F.struct(c.alias("c"), F.sqrt(c["x"] * c["x"] + c["y"] * c["y"] + c["z"] * c["z"] + F.lit(EPS_AREA)).alias("m")))
     sums = F.transform(F.array(sized), lambda s: F.struct(
-        total(F.transform(s, lambda t: t["m"] * 0.5)).alias("area"), *[total(F.transform(s, lambda t, k=k: t["c"][k] / t["m"])).alias(k) for k in "xyz"]
+        total(F.transform(s, lambda t: t["m"] * 0.5)).alias("area"), *[total(F.transform(s, share(k))).alias(k) for k in "xyz"]
     ))
     unit = F.transform(sums, lambda s: F.struct(s["area"].alias("area"), *[(s[k] / F.sqrt(s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"])).alias(f"n{k}") for k in "xyz"]))
     return F.get(unit, F.lit(0))

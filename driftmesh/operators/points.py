@@ -40,11 +40,12 @@ def range_buckets(df: DataFrame, keys: list[str], buckets: int, seed: int = 11)
         return F.lit(0)
     rows = df.select(*keys).sample(fraction=min(1.0, 40 * buckets / n), seed=seed).orderBy(*keys).collect()
     borders = [rows[i * len(rows) // buckets] for i in range(1, buckets)] if len(rows) >= buckets else []
+    if not borders:
+        return F.lit(0)
+    kind = "struct<" + ",".join(f"`{k}`:{df.schema[k].dataType.simpleString()}" for k in keys) + ">"
+    list_of = F.array(*[F.struct(*[F.lit(v) for v in b]) for b in borders]).cast(f"array<{kind}>")
     here = F.struct(*keys)
-    out = F.lit(0)
-    for b in borders:
-        out = out + (here >= F.struct(*[F.lit(v) for v in b])).cast("int")
-    return out
+    return F.size(F.filter(list_of, lambda b: b <= here))
 
 
 def running(df: DataFrame, keys: list[str], value: Column, name: str, buckets: int | None = None, exclusive: bool = False) -> DataFrame:

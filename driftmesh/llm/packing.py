@@ -33,7 +33,7 @@ from driftmesh.llm.common import slices
 
 CACHE_WORDS = 500_000
 #: Candidate cuts within documents are about so many tokens apart.
-STRIDE = 32
+STRIDE = 48
 
 #: Separators that str.split() knows and the tokenizer does not.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
@@ -151,25 +151,28 @@ def best_cuts(positions: list[int], penalties: list[float], window: int, least_p
     positions ascend strictly, from the start of the stream to its end; penalties[i] is paid if i is cut. Powers of two
     below least_power are tried in the last window alone.
     """
-    n = len(positions)
+    n, first = len(positions), positions[0]
     every = [1 << k for k in range(window.bit_length()) if 1 << k < window]
     powers, tail = [p for p in every if p >= least_power], positions[-1] - window
     cost, back = [0.0] * n, [0] * n
-    at = {positions[0]: 0}
-    queue = deque([(positions[0] + 0.0, 0)])  # (cost + position, index), both ascending
+    at = [-1] * (positions[-1] - first + window + 1)  # index by position; the first window of it stands for before
+    base = window - first
+    at[window] = 0
+    queue = deque([(first + 0.0, 0)])  # (cost + position, index), both ascending
     for j in range(1, n):
         here = positions[j]
         while positions[queue[0][1]] < here - window:
             queue.popleft()
         low, i = queue[0]
         low += window - here
+        place = here + base
         for p in powers if here < tail else every:
-            k = at.get(here - p)
-            if k is not None and cost[k] < low:
+            k = at[place - p]
+            if k >= 0 and cost[k] < low:
                 low, i = cost[k], k
         cost[j] = low = low + penalties[j]
         back[j] = i
-        at[here] = j
+        at[place] = j
         low += here
         while queue and queue[-1][0] >= low:
             queue.pop()

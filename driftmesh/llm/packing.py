@@ -118,6 +118,9 @@ class WordTokenizer:
             if word.isalpha() and (word.isascii() or max(word) <= "\xff"):  # most words: one part of letters
                 parts.append(word.lower())
                 counts.append(1)
+            elif word[-1] in ".,!?" and word.isascii() and word[:-1].isalpha():  # letters and a stop
+                parts += (word[:-1].lower(), word[-1])
+                counts.append(2)
             elif (word.isascii() or max(word) <= "\xff") and "<|" not in word:
                 found = self.part(word.lower())
                 parts += found

@@ -39,6 +39,8 @@ STRIDE = 48
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
+STOPS = frozenset(".,!?")
+
 #: How the tokenizer parts a lower-case word; fixed value.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -118,7 +120,7 @@ class WordTokenizer:
             if word.isalpha() and (word.isascii() or max(word) <= "\xff"):  # most words: one part of letters
                 parts.append(word.lower())
                 counts.append(1)
-            elif word[-1] in ".,!?" and word.isascii() and word[:-1].isalpha():  # letters and a stop
+            elif word[-1:] in STOPS and word.isascii() and word[:-1].isalpha():  # letters and a stop
                 parts += (word[:-1].lower(), word[-1])
                 counts.append(2)
             elif (word.isascii() or max(word) <= "\xff") and "<|" not in word:

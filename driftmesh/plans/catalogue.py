@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmesh.functions import geometry as G
 from driftmesh.operators import idw, multi, neighbors, patches, points, symmetry, transfer
+from driftmesh.operators.common import shared_dir
 from driftmesh.options import WarpOptions
 from driftmesh.plans.warp import Warper
+from driftmesh.sources import openfoam, plot3d
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -396,13 +399,13 @@ KNOTS = ", ".join(map(str, G.ERROR_KNOTS))
 
 
 @query(
-    f"with k as (select c_custkey as node_id, cast(2 as double) + (c_custkey % 700) as ratio from customer), t as (select [{KNOTS}] as s) "
+    f"with k as (select c_custkey as node_id, cast(2.1370001 as double) + (c_custkey % 700) as ratio from customer), t as (select [{KNOTS}] as s) "
     f"select node_id, {r8s('case when ratio >= 640 then 1.0 / 640 else (1 - (ratio - lo) / (hi - lo)) / lo + (ratio - lo) / (hi - lo) / hi end', 6)} as err "
     "from (select node_id, ratio, list_max(list_filter(s, lambda v: v <= ratio)) as lo, coalesce(list_min(list_filter(s, lambda v: v > ratio)), 640.0) as hi from k, t)"
 )
 def error_lookup(spark, sf_dir):
     errors = F.array(*[F.lit(1.0 / k) for k in G.ERROR_KNOTS])
-    k = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), (F.lit(2.0) + F.col("c_custkey") % 700).alias("ratio"))
+    k = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), (F.lit(2.1370001) + F.col("c_custkey") % 700).alias("ratio"))
     return k.select("node_id", r8(G.error_at(errors, F.col("ratio")), 6).alias("err"))
 
 
@@ -684,4 +687,27 @@ def verify_deriv(spark, sf_dir):
     return w.verify(vol(spark, sf_dir), BEND(lattice(spark, sf_dir)).select("pt_id", "x", "y", "z"), _seeds(spark, sf_dir), 0, 3)
 
 
+# files
+
+
+@query(f"with {SURF} select pt_id as node, x, y, z from surf")
+def openfoam_scan(spark, sf_dir):
+    case = f"{shared_dir(spark)}/case-{uuid.uuid4().hex}"
+    openfoam.write_points(surf(spark, sf_dir).withColumnRenamed("pt_id", "node_id"), f"{case}/constant/polyMesh/points", single=True)
+    return openfoam.read_points(spark, case).drop("part")
+
+
+@query(f"with {VOL}, l as (select *, row_number() over (partition by zone_id order by node_id) - 1 as local from vol) select cast(zone_id as int) as zone_id, local, x0, y0, z0 from l")
+def plot3d_roundtrip(spark, sf_dir):
+    order = Window.partitionBy("zone_id").orderBy("node_id")
+    v = vol(spark, sf_dir).withColumn("zone_id", F.col("zone_id").cast("int")).withColumn("local", F.row_number().over(order).cast("long") - 1)
+    zones = v.groupBy("zone_id").agg(F.count(F.lit(1)).cast("int").alias("il")).withColumns({"jl": F.lit(1), "kl": F.lit(1)})
+    sizes = [(r["il"], 1, 1) for r in zones.orderBy("zone_id").collect()]  # one row a zone
+    written = plot3d.write_volume(v, zones).select(F.struct("zone_id", F.hex("record").alias("r")).alias("z"))
+    body = written.agg(F.array_join(F.transform(F.array_sort(F.collect_list("z")), lambda z: z["r"]), "").alias("body"))
+    file = body.select(F.lit("grid.xyz").alias("path"), F.unhex(F.concat(F.lit(plot3d.head(sizes).hex()), "body")).alias("content"))
+    names = spark.createDataFrame([(i, int(r["zone_id"])) for i, r in enumerate(zones.orderBy("zone_id").collect())], "place int, zone int")
+    return plot3d.decode(file).join(F.broadcast(names), F.col("zone_id") == F.col("place")).select(F.col("zone").alias("zone_id"), "local", "x0", "y0", "z0")
+
+
 assert math.isclose(sum(n * n for n in NORMAL), 1.0)

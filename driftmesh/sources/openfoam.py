@@ -87,19 +87,20 @@ HEADER = """FoamFile
 ("""
 
 
-def _ordered_lines(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Lines in the keys' order as text files that, read by name, follow one another."""
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.text(path)
+def _ordered_lines(df: DataFrame, path: str, keys: list[str], single: bool = False) -> None:
+    """Lines in the keys' order as text files that, read by name, follow one another; or as a single file."""
+    dealt = df.coalesce(1) if single else df.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).select("value").write.text(path)
 
 
-def write_points(nodes: DataFrame, path: str) -> None:
-    """A points file (node_id, x, y, z) as text parts in order, for one part of a case; %.17g keeps every digit."""
+def write_points(nodes: DataFrame, path: str, single: bool = False) -> None:
+    """A points file (node_id, x, y, z) as text parts in order, for one part of a case; numbers are written as short as they read back the same."""
     n = nodes.count()
-    number = lambda c: F.format_string("%.17g", F.col(c))
+    number = lambda c: F.col(c).cast("string")
     body = nodes.select(F.lit(1).alias("k"), "node_id", F.concat(F.lit("("), number("x"), F.lit(" "), number("y"), F.lit(" "), number("z"), F.lit(")")).alias("value"))
     spark = nodes.sparkSession
     ends = spark.createDataFrame([(0, 0, HEADER.format(n=n)), (2, 0, ")")], "k int, node_id long, value string")
-    _ordered_lines(ends.unionByName(body), path, ["k", "node_id"])
+    _ordered_lines(ends.unionByName(body), path, ["k", "node_id"], single)
 
 
 def write_tecplot(nodes: DataFrame, faces: DataFrame, cells: DataFrame, path: str) -> None:

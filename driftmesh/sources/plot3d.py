@@ -59,8 +59,12 @@ def _decode(dims: int):
 
 
 def _read(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_decode(dims), "file string, zone_id int, il int, jl int, kl int, node_id long, local long, x0 double, y0 double, z0 double")
+    return decode(spark.read.format("binaryFile").load(path).select("path", "content"), dims)
+
+
+def decode(files: DataFrame, dims: int = 3) -> DataFrame:
+    """Nodes of files given as rows (path, content)."""
+    return files.select("path", "content").mapInArrow(_decode(dims), "file string, zone_id int, il int, jl int, kl int, node_id long, local long, x0 double, y0 double, z0 double")
 
 
 def read_volume(spark: SparkSession, path: str) -> DataFrame:

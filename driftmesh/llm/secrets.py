@@ -99,7 +99,7 @@ def battery(token: Column) -> Column:
     alphabet = F.when(hexish, ALPHABETS["hex"]).when(b32, ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
     plain = F.when(hexish, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
     size = F.length(alphabet).cast("double")
-    values = F.transform(F.sequence(F.lit(1), F.length(plain)), lambda i: F.instr(alphabet, F.substr(plain, i, F.lit(1))) - 1)
+    values = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     facts = F.struct(values.alias("v"), size.alias("a"), F.length(plain).cast("double").alias("n"), mixed.alias("ok"))
 

@@ -90,7 +90,7 @@ class WordTokenizer:
         self.chars = byte_characters()
         self.part = regex.compile(PARTS).findall
         self.find = re.compile(r"[^\x20\x09-\x0D]+").findall
-        self.apart = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=\s)").sub
+        self.apart = re.compile(r"[.,](?<=[a-z\xdf-\xf6\xf8-\xff][.,])(?=\s)").sub
         self.ids_of = Remembered(self._fill, cache_words)  # of words, as little-endian unsigned 32-bit integers
         self._ids_of_part = Remembered(self._parts, cache_words)
 
@@ -102,7 +102,7 @@ class WordTokenizer:
             text.isascii() or text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split()
-        return self.apart(r" \1", text.lower()).split()
+        return self.apart(r" \g<0>", text.lower()).split()
 
     def _fill(self, words: list[str]) -> list[bytes]:
         plain = [w.isalpha() and (w.isascii() or max(w) <= "\xff") for w in words]

@@ -58,6 +58,11 @@ def check_selection(patches: DataFrame, wanted: DataFrame, name: str = "family")
     return sorted(r["name"] for r in missing_families(patches, wanted, name).collect())
 
 
+def select_surface(faces: DataFrame, patches: DataFrame, wanted: DataFrame | None = None, name: str = "family") -> DataFrame:
+    """Faces (face_id, patch_id, nodes) of the patches that form the surface: the named families, or all walls."""
+    return faces.join(family_select(patches, wanted, name).select("patch_id"), "patch_id", "left_semi")
+
+
 def interval_join(rows: DataFrame, key: str, intervals: DataFrame, lo: str, hi: str, width: int = 4096) -> DataFrame:
     """rows with the intervals lo <= key < hi that hold them: both meet through buckets of the key, not in a product."""
     cut = intervals.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width)))).filter(F.col(hi) > F.col(lo))

@@ -80,6 +80,14 @@ class Warper:
         self._prepare()
         return self
 
+    @classmethod
+    def from_plot3d(cls, spark, path: str, options: WarpOptions | None = None, planes: Planes | None = None) -> Warper:
+        """The surface of a PLOT3D surface file, in the file's orientation."""
+        from driftmesh.sources.plot3d import read_surface
+
+        points, faces = read_surface(spark, path)
+        return cls(points, faces, options, planes)
+
     def _prepare(self) -> None:
         o, s = self.options, self.surface
         self.weights = K.Weights(s.ldef0 * o.ldef_fact, o.a_exp, o.b_exp, o.alpha)

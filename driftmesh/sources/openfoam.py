@@ -103,6 +103,11 @@ def write_points(nodes: DataFrame, path: str, single: bool = False) -> None:
     _ordered_lines(ends.unionByName(body), path, ["k", "node_id"], single)
 
 
+def short(column: Column) -> Column:
+    """A number in six digits at most, without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%g", column), r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+
+
 def write_tecplot(nodes: DataFrame, faces: DataFrame, cells: DataFrame, path: str) -> None:
     """A Tecplot polyhedron grid as text parts in order: nodes (node, x, y, z), faces (face, nodes), cells (face, owner,
     neighbour). Numbers count from 1; a boundary face has right element 0."""
@@ -112,7 +117,7 @@ def write_tecplot(nodes: DataFrame, faces: DataFrame, cells: DataFrame, path: st
     head = ['TITLE = "Example Grid File"', "FILETYPE = GRID", 'VARIABLES = "X" "Y" "Z"', "Zone", "ZoneType=FEPOLYHEDRON", f"NODES={nodes.count()}", f"FACES={size['n']}", f"ELEMENTS={n_cells}", f"TotalNumFaceNodes={size['corners']}", "NumConnectedBoundaryFaces=0", "TotalNumBoundaryConnections=0"]
     parts = [spark.createDataFrame([(0, i, h) for i, h in enumerate(head)], "k int, id long, value string")]
     for k, c in enumerate("xyz", 1):
-        parts.append(nodes.select(F.lit(k).alias("k"), F.col("node").alias("id"), F.format_string("%g", F.col(c)).alias("value")))
+        parts.append(nodes.select(F.lit(k).alias("k"), F.col("node").alias("id"), short(F.col(c)).alias("value")))
     parts.append(faces.select(F.lit(4).alias("k"), F.col("face").alias("id"), F.size("nodes").cast("string").alias("value")))
     parts.append(faces.select(F.lit(5).alias("k"), F.col("face").alias("id"), F.array_join(F.transform("nodes", lambda n: (n + 1).cast("string")), " ").alias("value")))
     parts.append(cells.select(F.lit(6).alias("k"), F.col("face").alias("id"), (F.col("owner") + 1).cast("string").alias("value")))
@@ -121,3 +126,13 @@ def write_tecplot(nodes: DataFrame, faces: DataFrame, cells: DataFrame, path: st
     for p in parts[1:]:
         out = out.unionByName(p)
     _ordered_lines(out, path, ["k", "id"])
+
+
+def write_tree_centres(tree: DataFrame, path: str) -> None:
+    """Centres of a tree's inner nodes (driftmesh.schema.TREE) as Tecplot text, a zone for each level but the deepest."""
+    deepest = tree.agg(F.max("level")).first()[0] or 0
+    inner = tree.filter((F.col("level") < deepest) & (F.col("left_id") >= 0))
+    heads = inner.groupBy("level").agg(F.count(F.lit(1)).alias("n")).select("level", F.lit(-1).alias("node_id"), F.format_string('Zone T="level%d" I=%d', "level", "n").alias("value"))
+    rows = inner.select("level", "node_id", F.concat_ws(" ", *[short(F.col(c)) for c in ("cx", "cy", "cz")]).alias("value"))
+    first = tree.sparkSession.createDataFrame([(-1, -1, 'VARIABLES = "X" "Y" "Z"')], "level int, node_id int, value string")
+    _ordered_lines(first.unionByName(heads).unionByName(rows), path, ["level", "node_id"])

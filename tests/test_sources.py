@@ -35,7 +35,7 @@ def test_poly_mesh_in_parts(spark, tmp_path):
     out = tmp_path / "tec"
     openfoam.write_tecplot(p.filter("part = 0"), f.filter("part = 0"), cells.filter("part = 0"), str(out))
     lines = "".join(x.read_text() for x in sorted(out.glob("part-*"))).splitlines()
-    assert lines[5] == "NODES=12" and len(lines) == 11 + 36 + 5 + 5 + 5 + 5 and lines[-5:] == ["2", "0", "0", "0", "0"]
+    assert lines[5] == "NODES=12" and len(lines) == 11 + 36 + 5 + 5 + 5 + 5 and lines[-5:] == ["2", "0", "0", "0", "0"] and lines[11:14] == ["0", "1", "2"]
 
 
 def test_single_case_and_points_round_trip(spark, tmp_path):
@@ -80,6 +80,10 @@ def test_plot3d_surface(spark, tmp_path):
     assert p.count() == 12 and f.count() == 6 and f.orderBy("face_id").first().nodes == [0, 1, 5, 4]
     w = Warper(p, f, WarpOptions(eval_mode="exact"))
     assert np.isclose(w.surface.area.sum(), 6.0, atol=1e-6)
+    again = Warper.from_plot3d(spark, str(tmp_path / "s.xyz"), WarpOptions(bucket_size=2))
+    openfoam.write_tree_centres(again.tree_frame(), str(tmp_path / "tree"))
+    lines = "".join(x.read_text() for x in sorted((tmp_path / "tree").glob("part-*"))).splitlines()
+    assert lines[1] == 'Zone T="level0" I=1' and lines[2] == "1.5 1 0"
 
 
 def test_native_tables_and_stub(spark, tmp_path):

@@ -69,10 +69,8 @@ def test_declarative_form_agrees(spark, mesh):
     planes = (((0.0, 0.0, 0.0), (0.0, 0.0, 1.0)),)
     w = Warper.from_areas(p, options=o, planes=planes)
     s = p.select("x", "y", "z", F.lit(1.0).alias("a"), (0.1 * F.col("y")).alias("dx"), F.lit(0.0).alias("dy"), (0.2 * F.col("x")).alias("dz"))
-    moved = lambda d: d.withColumn("x", F.col("x") + 0.1 * F.col("y")).withColumn("z", F.col("z") + 0.2 * F.col("x"))
     want = out(w.warp(v, p.select("pt_id", (F.col("x") + 0.1 * F.col("y")).alias("x"), "y", (F.col("z") + 0.2 * F.col("x")).alias("z"))))
     assert np.allclose(out(idw.exact_warp_join(v, s, w.weights.ldef, planes=planes)), want, atol=1e-10)
-    del moved
 
 
 @pytest.mark.parametrize("mode", ["exact", "fast"])
@@ -165,6 +163,8 @@ def test_patch_selection_and_errors(spark):
     assert [r.patch_id for r in patches.family_select(b, wanted).collect()] == [0]
     assert [r.patch_id for r in patches.family_select(b, None).collect()] == [0]
     assert patches.check_selection(b, wanted) == ["tail"]
+    f = spark.createDataFrame([(0, 0, [1, 2, 3]), (1, 1, [2, 3, 4])], "face_id long, patch_id int, nodes array<long>")
+    assert [r.face_id for r in patches.select_surface(f, b).collect()] == [0]
     with pytest.raises(ValueError):
         patches.check_selection(b, wanted.filter("name = 'tail'"))
     assert {r.patch_id: r.family for r in patches.default_family(b).collect()} == {0: " Wing ", 1: "far", 2: "sym1"}

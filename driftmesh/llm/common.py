@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,9 +65,6 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def crc_int(value) -> int:
-    return zlib.crc32(b"" if value is None else str(value).encode())
-
 
 def partition_slots(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

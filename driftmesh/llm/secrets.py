@@ -30,7 +30,6 @@ HEX = r"[0-9a-f]{24,}"  # a shorter run is dropped anyway and holds no longer on
 
 #: Runs that may be encoded secrets; at least so long that the battery has some power.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-LEAST_LENGTH = 20
 
 #: The alphabets of the encodings, each in the order of its digits' values.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
@@ -40,9 +39,6 @@ STRATA = (20, 28, 40, 64, 128)
 BINS_PER_DECADE = 10
 MOST_BINS = 300
 
-SPAN = "struct<start:int,kind:int,end:int>"
-FOUND = "array<struct<start:int,kind:int,end:int,stratum:int,p:double>>"
-
 
 def _placed(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of a pattern's matches; starts come from the lengths between matches."""

@@ -562,8 +562,6 @@ def plane_dedupe(spark, sf_dir):
 
 # several components
 
-SPLIT = "case when c_nationkey < 10 then 'left' when c_nationkey < 20 then 'Right' end"
-
 
 def _components(spark, sf_dir):
     s = surf(spark, sf_dir)

@@ -93,6 +93,14 @@ def test_base_scores_against_brute_force(docs_of, head):
     assert head < 10 or sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_learns_from_rows_beyond_the_first_sample(docs_of):
+    rng = random.Random(4)
+    kinds = [COMMON[:8], COMMON[8:]]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(60))) for i in range(400)]
+    total = lambda n: sum(r.score for r in lm_scoring.lm_scores(docs_of(rows), crc_of_id() % 7 == 2, WORD, sample_rows=n).collect() if r.held_out)
+    assert total(1) > 1.1 * total(400)  # the one row holds words of one kind only
+
+
 def test_lm_without_training_rows_or_rows(docs_of):
     from pyspark.sql import functions as F
 

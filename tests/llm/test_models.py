@@ -101,6 +101,13 @@ def test_lm_learns_from_rows_beyond_the_first_sample(docs_of):
     assert total(1) > 1.1 * total(400)  # the one row holds words of one kind only
 
 
+def test_lm_score_is_that_of_the_whole_vocabulary_whatever_the_head(docs_of):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice([*COMMON, "odd%d" % rng.randrange(40)]) for _ in range(40))) for i in range(80)] + [(500 + k, t) for k, t in enumerate(ODD[:5])]
+    few, many = ({r.doc_id: r.score for r in lm_scoring.lm_scores(docs_of(rows), crc_of_id() % 7 == 2, WORD, head_words=n).collect()} for n in (4, 300_000))
+    assert all(math.isclose(few[i], many[i], rel_tol=1e-5) for i in many)
+
+
 def test_lm_without_training_rows_or_rows(docs_of):
     from pyspark.sql import functions as F
 

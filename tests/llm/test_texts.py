@@ -99,26 +99,55 @@ def rule():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=B.read_ranks(RANKS), special_tokens={})
 
 
+def own_offsets(bpe, text, ids):
+    """From the byte lengths of the ids: characters that each covers, whole or in part."""
+    ends = np.cumsum([len(bpe.table[i]) for i in ids], dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    char_of = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+    return np.stack([char_of[starts], char_of[ends - 1] + 1], axis=1).tolist() if len(ids) else []
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.characters(blacklist_categories=["Cs"]), max_size=60))
+@given(st.text(alphabet=st.characters(blacklist_categories=["Cs"]), max_size=60) | st.text(alphabet="ab=- \n", max_size=80))
 def test_bpe_is_the_rank_rule_and_reverses(rule, text):
     bpe = B.byte_bpe(RANKS, P.PATTERN)
-    ids = bpe.encode(text)
+    ids, spans = bpe.encode(text)
     assert ids.tolist() == rule.encode_ordinary(text) and bpe.decode(ids.tolist()) == text
-    starts, ends = bpe.offsets(text, ids)
-    assert all(a < b for a, b in zip(starts, ends)) and (not ids.size or (starts[0] == 0 and ends[-1] == len(text)))
+    assert spans.tolist() == own_offsets(bpe, text, ids.tolist())
+
+
+def test_bpe_of_tokens_side_by_side_and_split_characters(rule):
+    bpe, rng = B.byte_bpe(RANKS, P.PATTERN), random.Random(11)
+    vocabulary = list(B.read_ranks(RANKS))
+    for _ in range(4000):  # ties and tokens that meet without having been trained to
+        text = b"".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 6))).decode("utf-8", "replace")
+        assert bpe.encode(text)[0].tolist() == rule.encode_ordinary(text), text
+    ids, spans = bpe.encode("𓂀")
+    assert len(ids) > 1 and {tuple(s) for s in spans.tolist()} == {(0, 1)} and bpe.decode(ids[:1].tolist()) == "\ufffd"
+
+
+def test_latin_splitter_is_the_pattern():
+    quick, rng = B.latin_splitter(P.PATTERN), random.Random(12)
+    exact = __import__("regex").compile(P.PATTERN).findall
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(256), 32, 39, 115, 10])) for _ in range(rng.randrange(30)))
+        assert quick(text) == exact(text), repr(text)
+    assert B.latin_splitter(r"\w+") is None
 
 
 def test_bpe_over_tables(docs_of, rule):
     got = {r.doc_id: r for r in B.bpe_digests(docs_of(ODD), RANKS, P.PATTERN).collect()}
-    back = {r.doc_id: r for r in B.bpe_decode(B.bpe_encode(docs_of(ODD), RANKS, P.PATTERN), RANKS, P.PATTERN).collect()}
+    encoded = B.bpe_encode(docs_of(ODD), RANKS, P.PATTERN, offsets=True)
+    spans = {r.doc_id: np.array([r.starts, r.ends], "<u4").T.tobytes() for r in encoded.collect()}
+    back = {r.doc_id: r for r in B.bpe_decode(encoded, RANKS, P.PATTERN).collect()}
     for i, t in enumerate(ODD):
         ids = rule.encode_ordinary(t or "")
         assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() and back[i].text == (t or "")
+        assert got[i].offsets_sha256 == hashlib.sha256(spans[i]).hexdigest()
     assert B.bpe_digests(docs_of([]), RANKS, P.PATTERN).count() == 0
-    one = B.bpe_encode(docs_of(["漢字"]), RANKS, P.PATTERN, offsets=True).first()
-    assert one.starts[0] == 0 and one.ends[-1] == 2
+    odd = docs_of([(None, "ab"), (3, "c"), (3, "c")]).withColumnsRenamed({"lang": "ids", "source": "n_tokens"})
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in B.bpe_digests(odd, RANKS, P.PATTERN).collect()) == [(0, 1), (3, 1), (3, 1)]
 
 
 ASSIGN = re.compile(secrets.ASSIGN)

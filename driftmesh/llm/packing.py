@@ -4,13 +4,16 @@ The token stream of a run of documents is cut into windows of at most `window` t
 length up to `window`; none where its length is a power of two) and each cut costs a truncation penalty: none between
 documents, `sentence_cut` after a sentence, `word_cut` elsewhere. Padding falls by one for every token of length, so the
 best predecessor of a cut is the least of f(i) + position(i) over the last `window` tokens: a monotone queue gives it in
-constant time. Documents keep their order, every token lies in exactly one piece, and a window is one sequence.
+constant time; besides, cuts a power of two before are tried. Every end of a document or a sentence is a candidate, and
+within sentences of over LONG_SENTENCE tokens every WORD_STEP tokens. Documents keep their order, every token lies in
+exactly one piece, and a window is one sequence.
 
 Runs of documents stay within a task, `run_tokens` at most besides the last document, so memory is bounded by that and
 the longest document. In the last window of a run every token may be a cut, and powers of two use up what is left.
 
 Null texts count as empty: such a document is its end id alone. Null and repeated ids pass through; rows are packed
-singly. An empty table gives no rows. Other columns of the input are not looked at.
+singly. An empty table gives no rows. Other columns of the input are not looked at, whatever their names. A very long
+text is one document of its run; its own tokens bound what is held besides.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from driftmesh.llm.byte_bpe import byte_characters
 from driftmesh.llm.common import slices
 
 CACHE_WORDS = 500_000
-#: Candidate cuts within documents are about so many tokens apart.
-STRIDE = 48
+#: Tokens after which a run ends with the document at hand: bounds a worker's memory.
+RUN_TOKENS = 1_048_576
+#: Sentences of more tokens may also be cut within, at every so many tokens.
+LONG_SENTENCE, WORD_STEP = 192, 48
 
 #: Separators that str.split() knows and the tokenizer does not.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
@@ -96,8 +101,8 @@ class WordTokenizer:
 
     def words(self, text: str) -> list[str]:
         """Strings whose ids, joined, are the text's: words, with stops and commas after a letter set apart."""
-        if any(c in text for c in ODD_BLANKS):
-            return self.find(text)
+        if "<|" in text or any(c in text for c in ODD_BLANKS):
+            return self.find(text)  # special tokens are matched before letters are lowered
         try:
             text.isascii() or text.encode("latin-1")
         except UnicodeEncodeError:
@@ -150,19 +155,25 @@ def word_tokenizer(file: str) -> WordTokenizer:
     return WordTokenizer(file)
 
 
-def best_cuts(positions: list[int], penalties: list[float], window: int, least_power: int = 1) -> list[int]:
+def best_cuts(positions: list[int], penalties: list[float], window: int) -> list[int]:
     """Indices of the chosen cuts: the first and last always, no two further than window apart.
 
-    positions ascend strictly, from the start of the stream to its end; penalties[i] is paid if i is cut. Powers of two
-    below least_power are tried in the last window alone.
+    positions ascend strictly, from the start of the stream to its end; penalties[i] is paid if i is cut.
     """
     n, first = len(positions), positions[0]
-    every = [1 << k for k in range(window.bit_length()) if 1 << k < window]
-    powers, tail = [p for p in every if p >= least_power], positions[-1] - window
+    places = np.array(positions, np.int64) - first
+    index_at = np.full(int(places[-1]) + 1, -1)
+    index_at[places] = np.arange(n)
+    # (j, k): cuts a power of two apart, so that the window between them needs no padding
+    met = []
+    for power in (1 << e for e in range(window.bit_length()) if 1 << e < window):
+        later = np.flatnonzero(places >= power)
+        k = index_at[places[later] - power]
+        met.append(np.stack([later[k >= 0], k[k >= 0]]))
+    js, ks = np.concatenate(met, axis=1) if met else np.zeros((2, 0), np.int64)
+    order = np.argsort(js, kind="stable")
+    bounds, ks = np.searchsorted(js[order], np.arange(n + 1)).tolist(), ks[order].tolist()
     cost, back = [0.0] * n, [0] * n
-    at = [-1] * (positions[-1] - first + window + 1)  # index by position; the first window of it stands for before
-    base = window - first
-    at[window] = 0
     queue = deque([(first + 0.0, 0)])  # (cost + position, index), both ascending
     for j in range(1, n):
         here = positions[j]
@@ -170,14 +181,13 @@ def best_cuts(positions: list[int], penalties: list[float], window: int, least_p
             queue.popleft()
         low, i = queue[0]
         low += window - here
-        place = here + base
-        for p in powers if here < tail else every:
-            k = at[place - p]
-            if k >= 0 and cost[k] < low:
-                low, i = cost[k], k
+        lo, hi = bounds[j], bounds[j + 1]
+        if lo != hi:
+            for k in ks[lo:hi]:
+                if cost[k] < low:
+                    low, i = cost[k], k
         cost[j] = low = low + penalties[j]
         back[j] = i
-        at[place] = j
         low += here
         while queue and queue[-1][0] >= low:
             queue.pop()
@@ -191,19 +201,17 @@ def best_cuts(positions: list[int], penalties: list[float], window: int, least_p
 def cut_positions(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, sentence_cut: float, word_cut: float) -> list[int]:
     """Token positions of the windows' borders for one run of documents."""
     total = int(doc_ends[-1])
-    # sentences shorter than a stride end where the next one does, but for the ends of documents
-    strides = sentence_ends // STRIDE
-    sentence_ends = sentence_ends[np.append(strides[1:] != strides[:-1], True)] if len(sentence_ends) else sentence_ends
     stops = np.unique(np.concatenate([[0], sentence_ends, doc_ends]))
-    wide = np.flatnonzero(np.diff(stops) > 4 * STRIDE)
-    inner = [np.arange(stops[i] + STRIDE, stops[i + 1], STRIDE) for i in wide]
+    step = min(WORD_STEP, window)
+    wide = np.flatnonzero(np.diff(stops) > min(LONG_SENTENCE, window))
+    inner = [np.arange(stops[i] + step, stops[i + 1], step) for i in wide]
     last = np.arange(max(0, total - window), total)
     positions = np.unique(np.concatenate([stops, last, *inner]))
     penalties = np.full(len(positions), word_cut)
     penalties[np.isin(positions, sentence_ends)] = sentence_cut
     penalties[np.isin(positions, doc_ends)] = 0.0
     places = positions.tolist()
-    return [places[i] for i in best_cuts(places, penalties.tolist(), window, window // 8)]
+    return [places[i] for i in best_cuts(places, penalties.tolist(), window)]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -211,7 +219,7 @@ PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long,
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_file: str, end_id: int = 2, window: int = 4096, sentence_cut: float = 12.0, word_cut: float = 24.0, run_tokens: int = 262_144, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_file: str, end_id: int = 2, window: int = 4096, sentence_cut: float = 12.0, word_cut: float = 24.0, run_tokens: int = RUN_TOKENS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
 

@@ -72,9 +72,41 @@ def test_words_give_the_tokenizers_ids():
     whole, by_word, rng = Tokenizer.from_file(WORD), packing.WordTokenizer(WORD, cache_words=50), random.Random(5)
     for k in range(3000):
         t = "".join(rng.choice("aAbB zéÉÀß ²½µªs'T'll.,.,!? 12\x1c\x85\xa0\t\n漢ΣσİI😀é<|endoftext|>"[: 40 if k % 2 else None]) for _ in range(rng.randrange(40)))
+        if k % 5 == 0:
+            t += rng.choice(["<|endoftext|>", "<|EndOfText|> b", " <|STARTOFTEXT|>.", "é<|ENDOFTEXT|>", "x<|startoftext|>Y Z"])
         assert np.frombuffer(b"".join(by_word.ids_of(by_word.words(t))), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_cuts_are_the_best_over_all_ends_of_sentences_and_documents():
+    rng, window = random.Random(9), 16
+    for _ in range(60):
+        doc_ends = np.cumsum([rng.randrange(1, 25) for _ in range(rng.randrange(1, 6))])
+        total = int(doc_ends[-1])
+        sentences = np.array(sorted(rng.sample(range(1, total + 1), rng.randrange(0, total + 1))), np.int64)
+        got = packing.cut_positions(doc_ends, sentences, window, 3.0, 7.0)
+        # every cut that the operator may choose: all of these, and every token of the last window
+        allowed = sorted({0, *doc_ends.tolist(), *sentences.tolist(), *range(max(0, total - window), total + 1)})
+        if max(np.diff(allowed)) > window:
+            continue
+        fee = {p: 0.0 if p in doc_ends else 3.0 if p in sentences else 7.0 for p in allowed}
+        pad = lambda n: 0 if n & (n - 1) == 0 else window - n
+        best = {0: 0.0}
+        for p in allowed[1:]:
+            best[p] = min(best[q] + pad(p - q) for q in best if p - q <= window) + fee[p]
+        assert got[0] == 0 and got[-1] == total and max(np.diff(got)) <= window
+        assert abs(sum(pad(b - a) + fee[b] for a, b in zip(got, got[1:])) - best[total]) < 1e-9
+
+
+def test_packing_of_the_whole_table_gives_the_tokenizers_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = Tokenizer.from_file(WORD)
+    got = packing.pack_documents(docs, WORD).toPandas().sort_values(["doc_id", "start"]).groupby("doc_id").ids.agg(b"".join)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert set(got.index) == set(texts)
+    for done, i in zip(whole.encode_batch([texts[i] for i in got.index], add_special_tokens=False), got.index):
+        assert np.frombuffer(got[i], "<u4").tolist() == [*done.ids, 2]
+
+
 def test_packing_covers_every_token_once(docs_of):
     rng = random.Random(6)
     texts = ODD + [" ".join(rng.choice(["alpha", "beta.", "gamma", "delta!", "it's"]) for _ in range(rng.randrange(3000))) for _ in range(40)]

@@ -1,15 +1,17 @@
-"""What the operators share: reading tables, the shared folder, batches of rows, connected components."""
+"""What the operators share: reading tables, batches of rows, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmesh.operators.common import BROADCAST_ROWS, SALTS, discard, fresh, look_up, materialize, shared_dir, small_side
+
+__all__ = ["BROADCAST_ROWS", "SALTS", "connected_components", "crc_of_id", "discard", "fresh", "look_up", "materialize", "partition_slots", "shared_dir", "slices", "small_side", "table"]
+
 #: Rows that a Python kernel turns into objects at a time; bounds its memory whatever the Arrow batch is.
 SLICE_ROWS = 256
 
@@ -18,71 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="driftmesh-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that materialize() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark)):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
-#: Rows of a few small columns that may be broadcast.
-BROADCAST_ROWS = 2_000_000
-
-
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if it has so few rows, else as it is, for a join by shuffle. df should be read from a table."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-
 def partition_slots(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(u, v) edges of longs -> (node, root): root is the smallest node of the component.
+    """(u, v) edges of longs -> (node, root): root is the smallest node of the component, itself among its nodes.
 
-    Alternating large-star and small-star steps: every round links nodes to the least neighbour with one
-    aggregate and one join, so no node's neighbours are ever gathered in one place. Rounds end when the set of
-    edges stays as it was; it is then a star around each root. Each round is written to the shared folder.
+    Alternating large-star and small-star steps: every round links nodes to the least neighbour with one aggregate,
+    combined before its shuffle, and one look-up, which is broadcast or salted, so that a node with most of the edges does
+    not meet them in one task. Rounds end when the set of edges stays as it was; it is then a star around each root. Each
+    round is written to the shared folder and the one before is deleted.
     """
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
+    def star(e: DataFrame, small: bool, edges: int) -> DataFrame:
         # e has u > v. Small: a node's lesser neighbours go to the least of them. Large: its greater ones do.
         both = e if small else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
+        joined = look_up(both, least, "u", most_rows=2 * edges)
         out = (joined if small else joined.filter("v > u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         if small:
             out = out.unionByName(least.select("u", F.col("m").alias("v")))
@@ -96,7 +62,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     before = mark(current)
     for _ in range(max_rounds if before[0] else 0):
-        after_df = materialize(star(star(current, False), True), "edges")
+        after_df = materialize(star(star(current, False, before[0]), True, before[0]), "edges")
         after = mark(after_df)
         discard(current)
         current = after_df

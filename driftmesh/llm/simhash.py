@@ -1,19 +1,28 @@
 """SimHash near-duplicates by exact comparison in tiles.
 
-A text's 64-bit fingerprint has a bit set where over half of its shingles' hashes have it. Distinct fingerprints are
-dealt into cells by the set bits of their halves and cells into tiles of bounded size. Two fingerprints within the
-radius cannot differ by more in their bit counts, so only tiles whose counts are within the radius are paired; within a
-pair, groups by the bit counts of quarters are skipped by the same rule. The rest is compared exactly with exclusive-or
+A text's fingerprint has a bit set where over half of its shingles' hashes have it. Distinct fingerprints are dealt into
+cells, cells into tiles of bounded size, and pairs of tiles that may hold a link are compared exactly with exclusive-or
 and bit counts in numpy. A pair of tiles returns a spanning forest of its links, never the links themselves, so a large
 group of near copies yields a row per member and pair of tiles; components are then found by rounds of star steps.
 
+Two uses. `simhash_components` links 64-bit fingerprints within a few bits: cells are the bit counts of halves (quarters
+on large tables), and as two fingerprints within the radius cannot differ by more in their counts, only such tiles meet;
+within a pair, groups by the counts of quarters are skipped by the same rule. `similar_components` links documents whose
+sets of shingles have a Jaccard similarity of at least `similarity`: a fingerprint of 128 bits, over distinct shingles,
+is compared within a radius that covers that similarity; sets so alike have sizes within the similarity of each other, so
+cells are classes of size, and only neighbouring classes meet (bit counts prune nothing at such a radius); of each
+forest, which prefers the least distances, every edge is then verified on the whole sets.
+
 Null and empty texts, and texts of white space, have fingerprint zero, linked like any other. Rows that repeat an id are
-returned each; a null id is never a component's id while another is in it. Work grows with the square of the distinct
-fingerprints that share a neighbourhood of bit counts, in bounded pieces spread over all tasks.
+returned each; a null id is never a component's id while another is in it. Other columns, whatever their names, are not
+looked at, and stay in drop_near_copies() and drop_similar(). An empty table gives no rows. Texts are read whole, a very
+long one in bounded pieces. Work grows with the square of the distinct fingerprints that share a neighbourhood of cells,
+in bounded pieces spread over all tasks.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import connected_components, materialize, slices, small_side
+from driftmesh.llm.common import SALTS, connected_components, discard, fresh, look_up, materialize, slices, small_side
 
 #: The hash of a shingle is XXH64 with this seed.
 SEED = 42
 TILE_ROWS = 8_192
-#: Comparisons that a kernel holds at a time.
-BLOCK = 1 << 20
-
+#: Comparisons that a kernel holds at a time, and the links after which it reduces them to a forest.
+BLOCK, HELD_LINKS = 1 << 20, 1 << 21
+#: Distinct fingerprints from which cells are counts of quarters instead of halves.
+MANY_PRINTS = 3_000_000
+#: Shingles hashed at a time.
+HASHED = 65_536
+#: Bits in which the 128-bit fingerprints of sets of similarity 0.8 may differ; the mean is 19.4, the deviation 4.1.
+WIDE_RADIUS = 28
+#: Edges of a node from which its set of shingles is sent in SALTS copies.
+HUB_EDGES = 256
 
-def fingerprint(text: str, shingle: int) -> int:
-    import xxhash
 
+def shingle_digests(text: str, shingle: int, digest) -> Iterator[bytes]:
+    """Joined digests of the shingles, some at a time."""
     words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space parts
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -43,13 +59,23 @@ def fingerprint(text: str, shingle: int) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 65_536):
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + 65_536].tolist(), ends[at : at + 65_536].tolist())], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(starts), bitorder="little")
-    return int(bits.view("<u8")[0])
+    for at in range(0, len(starts), HASHED):
+        yield b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + HASHED].tolist(), ends[at : at + HASHED].tolist())])
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    import xxhash
+
+    ones, n = np.zeros(64, np.int64), 0
+    for raw in shingle_digests(text, shingle, xxhash.xxh64_digest):
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(bits)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,8 +86,15 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
             prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, print long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, print long")
+
+
+def _settle(labels: np.ndarray) -> np.ndarray:
+    while True:
+        deeper = labels[labels]
+        if np.array_equal(deeper, labels):
+            return labels
+        labels = deeper
 
 
 def _merge(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -73,11 +106,7 @@ def _merge(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             break
         u, v, a, b = u[differ], v[differ], a[differ], b[differ]
         np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            deeper = labels[labels]
-            if np.array_equal(deeper, labels):
-                break
-            labels = deeper
+        labels = _settle(labels)
     return labels
 
 
@@ -117,24 +146,28 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     return every[moved], every[labels[moved]]
 
 
-def links(prints: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v): edges whose components are those of all pairs of distinct prints within the radius."""
-    halves = prints.select("print", F.bit_count(F.col("print").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.bit_count(F.shiftrightunsigned("print", 32)).alias("high")).distinct()
-    cells = halves.groupBy("low", "high").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("parts"))  # 33 x 33 at most
-    dealt = halves.join(F.broadcast(cells), ["low", "high"]).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
-    tiles = materialize(dealt.groupBy("low", "high", "part").agg(F.collect_list("print").alias("prints"), F.first("parts").alias("parts")), "tiles")
-    sizes = tiles.select("low", "high", "part", "parts")
+def links(prints: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS, parts: int = 2) -> DataFrame:
+    """(u, v): edges whose components are those of all pairs of distinct prints within the radius. parts: the pieces of a
+    print whose bit counts make its cell, 2 or 4."""
+    width = 64 // parts
+    names = [f"c{k}" for k in range(parts)]
+    counts = [F.bit_count(F.shiftrightunsigned("print", k * width).bitwiseAND(F.lit((1 << width) - 1))).alias(c) for k, c in enumerate(names)]
+    counted = prints.select("print", *counts).distinct()
+    cells = counted.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("parts"))  # 33 x 33 at most, or 17 to the fourth
+    dealt = counted.join(F.broadcast(cells), names).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    tiles = materialize(dealt.groupBy(*names, "part").agg(F.collect_list("print").alias("prints"), F.first("parts").alias("parts")), "tiles")
+    sizes = tiles.select(*names, "part", "parts")
     # the cells within the radius of each, the lesser first, and every part of the one with every part of the other
-    steps = [(i, j) for i in range(0, radius + 1) for j in range(-radius, radius + 1) if i + abs(j) <= radius and (i, j) >= (0, 0)]
-    moves = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps]))
-    left = sizes.withColumn("move", moves).select(
-        F.col("low").alias("al"), F.col("high").alias("ah"), F.col("part").alias("ap"), (F.col("low") + F.col("move.i")).alias("low"), (F.col("high") + F.col("move.j")).alias("high")
-    )
-    pairs = left.join(F.broadcast(cells), ["low", "high"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("long") - 1)))
-    same_cell = (F.col("al") == F.col("low")) & (F.col("ah") == F.col("high"))
+    steps = [m for m in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, m)) <= radius and m >= (0,) * parts]
+    moves = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(m, names)]) for m in steps]))
+    left = sizes.withColumn("move", moves).select(*[F.col(c).alias("a" + c) for c in names], F.col("part").alias("ap"), *[(F.col(c) + F.col("move." + c)).alias(c) for c in names])
+    pairs = left.join(F.broadcast(cells), names).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("long") - 1)))
+    same_cell = F.lit(True)
+    for c in names:
+        same_cell = same_cell & (F.col("a" + c) == F.col(c))
     pairs = pairs.filter(~same_cell | (F.col("ap") <= F.col("part"))).withColumn("same", same_cell & (F.col("ap") == F.col("part"))).withColumn("part", F.col("part").cast("int")).drop("parts")
-    with_a = pairs.join(tiles.select(F.col("low").alias("al"), F.col("high").alias("ah"), F.col("part").alias("ap"), F.col("prints").alias("a")), ["al", "ah", "ap"])
-    with_b = with_a.join(tiles.select("low", "high", "part", F.col("prints").alias("b")), ["low", "high", "part"])
+    with_a = pairs.join(tiles.select(*[F.col(c).alias("a" + c) for c in names], F.col("part").alias("ap"), F.col("prints").alias("a")), ["a" + c for c in names] + ["ap"])
+    with_b = with_a.join(tiles.select(*names, "part", F.col("prints").alias("b")), [*names, "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +183,18 @@ def links(prints: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> Dat
 def simhash_components(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, print, component_id) of every row; component_id is the smallest doc_id reachable over links."""
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    distinct = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(distinct.select("print"), radius, tile_rows)).withColumnRenamed("node", "print")
-    rooted = distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
-    return rows.join(named, "print").select("doc_id", "print", "component_id")
+    distinct = materialize(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
+    parts = 2 if distinct.count() < MANY_PRINTS else 4
+    roots = materialize(connected_components(links(distinct.select("print"), radius, tile_rows, parts)).withColumnRenamed("node", "print"), "roots")
+    # only prints that have a link or several rows need a name; all other rows are their own component
+    rooted = roots.join(distinct, "print").unionByName(distinct.filter("n > 1").join(roots, "print", "left_anti").withColumn("root", F.col("print")).select("print", "root", "least", "n"))
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = materialize(look_up(rooted, least, "root").select("print", "component_id"), "named")
+    for done in (distinct, roots, rooted, least):
+        discard(done)
+    met = look_up(rows, named.withColumn("met", F.lit(True)), "print", "left", named.count())
+    return met.select("doc_id", "print", F.when(F.col("met"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -163,5 +203,190 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
     found = materialize(simhash_components(docs, shingle, radius, id_col, text_col, **options), "components")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # an id may have several texts: it goes if none of them stays
-    gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(stays).alias("__stays")).filter("not __stays").select("__id")
-    return docs.join(small_side(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    gone = found.groupBy("doc_id").agg(F.bool_or(stays).alias("stays")).filter("not stays")
+    return _without(docs, gone.select("doc_id"), id_col)
+
+
+def _without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows of these ids (doc_id)."""
+    name = fresh("gone", docs)
+    gone = materialize(ids.select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(small_side(gone), F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
+
+
+# sets of shingles alike
+
+
+def shingle_rows(text: str, shingle: int) -> np.ndarray:
+    """Digests of the distinct shingles, rows of 16 bytes, in the order of their first eight, which tell them apart."""
+    import xxhash
+
+    raw = np.frombuffer(b"".join(shingle_digests(text, shingle, xxhash.xxh128_digest)), np.uint8).reshape(-1, 16)
+    return raw[np.unique(np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel(), return_index=True)[1]]
+
+
+def wide_print(rows: np.ndarray) -> tuple[int, int]:
+    """The 128-bit fingerprint of distinct shingles, as two signed longs."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(rows), HASHED):
+        ones += np.unpackbits(rows[at : at + HASHED], axis=1).sum(axis=0, dtype=np.int64)
+    bits = np.packbits(ones * 2 > len(rows)).tobytes()
+    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)
+
+
+def sketches(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, p0, p1, size): the fingerprint over distinct shingles and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_rows(t, shingle) for t in batch.column(1).to_pylist()]
+            prints = np.array([wide_print(f) for f in found], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(f) for f in found], pa.int32())], names=["doc_id", "p0", "p1", "size"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, p0 long, p1 long, size int")
+
+
+def spanning_forest(u: np.ndarray, v: np.ndarray, distance: np.ndarray, nodes: int) -> np.ndarray:
+    """Places of edges that make a spanning forest of least distances: Kruskal's rule, level by level, and within a level
+    every component joins a lesser one by one edge at a time."""
+    labels, chosen = np.arange(nodes), []
+    for level in np.unique(distance):
+        at = np.flatnonzero(distance == level)
+        while len(at):
+            a, b = labels[u[at]], labels[v[at]]
+            differ = a != b
+            at, a, b = at[differ], a[differ], b[differ]
+            if not len(at):
+                break
+            low = np.minimum(a, b)
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            chosen.append(at[first])
+            labels[high] = low[first]
+            labels = _settle(labels)
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def similar_forest(a: tuple, b: tuple | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (of ids) of a spanning forest of least distances over the links between a and b, or within a where b is
+    None. Each is (ids, p0, p1, sizes). Links: within the radius, and sizes within the similarity of each other."""
+
+    def by_size(tile):
+        order = np.argsort(tile[3], kind="stable")
+        return [np.ascontiguousarray(c[order]) for c in tile]
+
+    ids, p0, p1, sizes = by_size(a)
+    other_ids, q0, q1, other_sizes = (ids, p0, p1, sizes) if b is None else by_size(b)
+    shift = 0 if b is None else len(ids)
+    every = ids if b is None else np.concatenate([ids, other_ids])
+    held, count = [np.zeros((3, 0), np.int64)], 0
+
+    def reduced():
+        u, v, d = np.concatenate(held, axis=1)
+        keep = spanning_forest(u, v, d, len(every))
+        return [np.stack([u[keep], v[keep], d[keep]])]
+
+    step = max(1, BLOCK // max(1, len(other_ids)))
+    for at in range(0, len(ids), step):
+        stop = min(at + step, len(ids))
+        lo = max(at + 1 if b is None else 0, int(np.searchsorted(other_sizes, similarity * sizes[at], "left")))
+        hi = int(np.searchsorted(other_sizes, sizes[stop - 1] / similarity + 1e-9, "right"))
+        if lo >= hi:
+            continue
+        apart = np.bitwise_count(p0[at:stop, None] ^ q0[lo:hi])
+        apart += np.bitwise_count(p1[at:stop, None] ^ q1[lo:hi])
+        i, j = np.nonzero(apart <= radius)
+        d = apart[i, j].astype(np.int64)
+        i, j = i + at, j + lo
+        x, y = sizes[i], other_sizes[j]
+        real = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+        if b is None:
+            real &= i < j
+        held.append(np.stack([i[real], j[real] + shift, d[real]]))
+        count += int(real.sum())
+        if count > HELD_LINKS:
+            held = reduced()
+            count = held[0].shape[1]
+    u, v, _ = reduced()[0]
+    return every[u], every[v]
+
+
+def similar_candidates(prints: DataFrame, similarity: float, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(u, v): forests of links between distinct (id, p0, p1, size), pair of tiles by pair of tiles."""
+    classed = prints.withColumn("cell", F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9)).otherwise(-1).cast("int"))
+    cells = classed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("parts"))  # a cell per class of size
+    dealt = classed.join(F.broadcast(cells), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct("id", "p0", "p1", "size")))
+    tiles = materialize(dealt.groupBy("cell", "part").agg(rows.alias("rows"), F.first("parts").alias("parts")), "tiles")
+    left = tiles.select(F.col("cell").alias("ac"), F.col("part").alias("ap"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    pairs = left.join(F.broadcast(cells), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    pairs = pairs.filter((F.col("ac") != F.col("cell")) | (F.col("ap") <= F.col("part"))).withColumn("same", (F.col("ac") == F.col("cell")) & (F.col("ap") == F.col("part"))).drop("parts")
+    with_a = pairs.join(tiles.select(F.col("cell").alias("ac"), F.col("part").alias("ap"), F.col("rows").alias("a")), ["ac", "ap"])
+    with_b = with_a.join(tiles.select("cell", "part", F.col("rows").alias("b")), ["cell", "part"])
+
+    def tile(cell) -> tuple:
+        flat = cell.values.flatten()
+        p = [np.ascontiguousarray(c.to_numpy()) for c in flat]
+        return p[0], p[1].view(np.uint64), p[2].view(np.uint64), p[3].astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                u, v = similar_forest(tile(batch.column(1)[k]), None if batch.column(0)[k].as_py() else tile(batch.column(2)[k]), radius, similarity)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return with_b.select("same", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) whose sets, from (doc_id, shingles), have a Jaccard similarity of at least `similarity`.
+
+    The set of a node with many edges is sent in copies, and its edges are dealt over them.
+    """
+    ends = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    hubs = materialize(ends.filter(F.col("n") > HUB_EDGES).select("doc_id", F.lit(SALTS).alias("copies")), "hubs")
+    most = hubs.count()
+    marked = edges
+    for end in ("u", "v"):
+        marked = look_up(marked, hubs.select(F.col("doc_id").alias(end), F.col("copies").alias("copies_" + end)), end, "left", most)
+    dealt = marked.select("u", "v", *[F.when(F.col("copies_" + e).isNotNull(), F.pmod(F.xxhash64("u", "v"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt_" + e) for e in ("u", "v")])
+    copied = look_up(sets, hubs, "doc_id", "left", most).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    with_u = dealt.join(copied.select(F.col("doc_id").alias("u"), F.col("salt").alias("salt_u"), F.col("shingles").alias("a")), ["u", "salt_u"])
+    both = with_u.join(copied.select(F.col("doc_id").alias("v"), F.col("salt").alias("salt_v"), F.col("shingles").alias("b")), ["v", "salt_v"])
+    common = F.size(F.array_intersect("a", "b"))
+    return both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(node, root) of the documents that have a link: root is the least id of the component, itself among the nodes.
+
+    Ids are nodes: rows without an id have no links, and rows that repeat one are linked if any of them is.
+    """
+    rows = materialize(sketches(docs.filter(F.col(id_col).isNotNull()), shingle, id_col, text_col), "sketches")
+    # equal fingerprints of sets of one size stand for each other
+    keyed = rows.select("doc_id", F.struct("p0", "p1", "size").alias("key"))
+    distinct = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
+    equal = look_up(keyed, materialize(distinct.filter("n > 1").select("key", "id"), "equal"), "key").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    found = similar_candidates(distinct.select("id", "key.p0", "key.p1", "key.size"), similarity, radius, tile_rows)
+    candidates = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct(), "candidates")
+    name = fresh("met", docs)
+    ends = materialize(candidates.select(F.explode(F.array("u", "v")).alias(name)).distinct(), "ends")
+    asked = docs.join(small_side(ends), F.col(id_col).cast("long") == F.col(name), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            found = [np.ascontiguousarray(shingle_rows(t, shingle)[:, :8]).view(np.int64).ravel() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    sets = materialize(_texts(asked, id_col, text_col).mapInArrow(run, "doc_id long, shingles array<long>"), "sets")
+    links = materialize(verified(candidates, sets, similarity).unionByName(equal), "links")
+    for done in (distinct, candidates, ends, sets):
+        discard(done)
+    return connected_components(links)
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that are not the least id of their component of similar documents, all columns kept; rows
+    without an id stay."""
+    found = materialize(similar_components(docs, shingle, similarity, id_col=id_col, text_col=text_col, **options), "components")
+    return _without(docs, found.filter("node != root").select(F.col("node").alias("doc_id")), id_col)

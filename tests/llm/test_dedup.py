@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from driftmesh.llm import exact_dedup as E
@@ -116,3 +117,93 @@ def test_a_large_near_group_gives_few_edges(spark):
     edges = S.links(spark.createDataFrame([(p,) for p in prints], "print long"), 3, 100)
     assert edges.count() < 20 * len(prints)
     assert len({r.root for r in connected_components(edges).collect()}) == 1
+
+
+@pytest.fixture(params=[2_000_000, 0], ids=["broadcast", "salted"])
+def broadcast_rows(request, monkeypatch):
+    """Both ways of every join that depends on a size."""
+    from driftmesh.operators import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", request.param)
+    monkeypatch.setattr(S, "HUB_EDGES", 3)
+    return request.param
+
+
+def brute_similar(rows, k, similarity):
+    sets = {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[i] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and (len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9):
+                a, b = sorted((label[i], label[j]))
+                label = {x: a if y == b else y for x, y in label.items()}
+    return label
+
+
+def test_similar_documents_against_brute_force(docs_of, broadcast_rows):
+    rng, rows = random.Random(3), []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(rng.choice([3, 40, 120, 300]))]
+        for _ in range(rng.randrange(1, 9)):  # a chain of copies, each with a few changes more
+            for at in rng.sample(range(len(words)), rng.choice([0, 1, 1, 3])):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) * 3 + 1, " ".join(words)))
+    base = [f"h{i}" for i in range(200)]
+    for k in range(30):  # a hub: copies of one text, each with its own change
+        rows.append((1000 + k, " ".join(base[: 6 * k] + [f"z{k}"] + base[6 * k + 1 :])))
+    rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "Ab c"), (2004, "aB  C"), (2005, "word " * 4000), (2006, "word " * 9000)]
+    rng.shuffle(rows)
+    want = brute_similar(rows, 5, 0.8)
+    for tile_rows in (4, 8192):
+        got = {r.node: r.root for r in S.similar_components(docs_of(rows).repartition(3), tile_rows=tile_rows).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+    assert {r.doc_id for r in S.drop_similar(docs_of(rows)).collect()} == set(want.values())
+
+
+def test_forest_prefers_the_least_distances():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        n, m = 12, 40
+        u, v, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 4, m)
+        chosen = S.spanning_forest(u, v, d, n)
+        label, total = list(range(n)), 0
+        for e in np.argsort(d, kind="stable"):  # Kruskal one by one
+            a, b = label[u[e]], label[v[e]]
+            if a != b:
+                total += d[e]
+                label = [a if x == b else x for x in label]
+        assert d[chosen].sum() == total and len(chosen) == n - len(set(label))
+
+
+def test_near_copies_whatever_the_columns_are_called(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    names = ["gone", "met", "print", "key", "u", "v", "root", "doc_id", "text", "salt"]
+    df = spark.createDataFrame([(*["q"] * 7, i, t, "s") for i, t in [(4, text), (2, text + " "), (None, text), (9, "else")]], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for drop, want in ((S.drop_similar, [0, 2, 9]), (S.drop_near_copies, [2, 9])):
+        got = drop(df)
+        assert got.columns == names and sorted(r.doc_id or 0 for r in got.collect()) == want
+        assert drop(df.limit(0)).count() == 0
+
+
+def test_components_over_salted_look_ups(docs_of, broadcast_rows):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(7, " ".join(base)), (3, " ".join(base) + "\n"), (9, " ".join([*base[:-1], "other"])), (5, "something else altogether here"), (None, None), (8, ""), (8, "")]
+    got = sorted(((r.doc_id or 0, r.component_id) for r in S.simhash_components(docs_of(rows), 3, 3).collect()))
+    assert got == [(0, 8), (3, 3), (5, 5), (7, 3), (8, 8), (8, 8), (9, 3)]
+
+
+def test_quarters_as_cells_lose_no_link(spark):
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    for p in list(prints):
+        for _ in range(3):
+            for b in rng.sample(range(64), rng.randrange(1, 4)):
+                p ^= 1 << b
+            prints.append(p)
+    signed = [p - 2**64 if p >= 2**63 else p for p in dict.fromkeys(prints)]
+    frame = spark.createDataFrame([(s,) for s in signed], "print long")
+    roots = [{r.node: r.root for r in connected_components(S.links(frame, 3, 5, parts)).collect()} for parts in (2, 4)]
+    assert roots[0] == roots[1]

@@ -2,11 +2,14 @@
 
 Partitions cut their rows into blocks, sort each block's 64-bit fingerprints by owner (the leading bits) and send
 the owners Golomb-Rice codes of the differences. Owners answer with a bitmap per message: a set bit says that the
-fingerprint occurs elsewhere too. Only the suspects' texts are then shuffled and grouped by their bytes.
+fingerprint occurs elsewhere too. The bitmaps, a bit a row, go back to the blocks (broadcast if they are few bytes, by
+measure), so ids and hashes of the rows are not shuffled. Only the suspects' texts are then shuffled and grouped by their
+bytes; copies fold before the shuffle.
 
 Null texts count as empty; empty texts are equal to each other. Rows with a null doc_id take part; a null is never
 chosen as keep_id while the group has another id. Rows that repeat a doc_id count singly in group_size and share
-`kept`. An empty table gives no rows. Other columns of the input are not looked at.
+`kept`. An empty table gives no rows. Other columns of the input, whatever their names, are not looked at, and stay in
+drop_copies(). Texts are hashed and compared whole; a very long one is one row of its group.
 """
 
 from __future__ import annotations
@@ -19,10 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import materialize, partition_slots, small_side
+from driftmesh.llm.common import discard, fresh, look_up, materialize, partition_slots, small_side
 
-#: Rows of a block: bounds what a partition holds at a time and the size of a message.
-BLOCK_ROWS = 50_000
+#: Rows of a block: bounds what a partition holds at a time; blocks grow with the owners, so that messages stay worth
+#: sending, up to the second figure.
+BLOCK_ROWS, MOST_BLOCK_ROWS = 50_000, 400_000
+#: Rows whose fingerprints one owner sees.
+OWNER_ROWS = 2_000_000
+#: Bytes of bitmaps that may be broadcast.
+BITMAP_BYTES = 64 << 20
 
 WHITE = r"[\x20\x09-\x0D]"
 
@@ -132,31 +140,39 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_bits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_bits: int | None = None, block_rows: int | None = None) -> DataFrame:
     """(doc_id, n_chars, hash, suspect) of every row, after the exchange. owner_bits: owners are 2 to this power; by
-    default at least as many as shuffle partitions, so that an owner's share does not grow with the cluster's input."""
-    bits = max(2, (partition_slots(docs) - 1).bit_length()) if owner_bits is None else owner_bits
+    default as many as shuffle partitions, and more where an owner would see over OWNER_ROWS rows."""
+    if owner_bits is None:
+        owner_bits = max(2, (max(partition_slots(docs), docs.count() // OWNER_ROWS) - 1).bit_length())
+    if block_rows is None:
+        block_rows = min(MOST_BLOCK_ROWS, max(BLOCK_ROWS, 32 << owner_bits))
     light = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
         F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)).alias("hash"),
     )
-    blocks = materialize(light.mapInArrow(_blocks(bits, block_rows), BLOCKS_DDL), "blocks")
+    blocks = materialize(light.mapInArrow(_blocks(owner_bits, block_rows), BLOCKS_DDL), "blocks")
     messages = blocks.select("block", "owner", "n", "k", "payload", "repeated")
-    answers = messages.groupBy("owner").applyInArrow(_answer, "block long, owner int, bitmap binary")
-    returned = blocks.select("block", "owner", "doc_ids", "lengths", "hashes", "slots").join(answers, ["block", "owner"])
-    return materialize(returned.mapInArrow(_rows, "doc_id long, n_chars long, hash binary, suspect boolean"), "prints")
+    answers = materialize(messages.groupBy("owner").applyInArrow(_answer, "block long, owner int, bitmap binary"), "answers")
+    size = answers.agg(F.coalesce(F.sum(F.length("bitmap") + 64), F.lit(0))).first()[0]
+    sent = F.broadcast(answers) if size <= BITMAP_BYTES else answers
+    returned = blocks.select("block", "owner", "doc_ids", "lengths", "hashes", "slots").join(sent, ["block", "owner"])
+    rows = materialize(returned.mapInArrow(_rows, "doc_id long, n_chars long, hash binary, suspect boolean"), "prints")
+    discard(blocks)
+    discard(answers)
+    return rows
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_bits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_bits: int | None = None, block_rows: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of docs.
 
     Texts are equal when they are after deleting white space; the longest original, then the least doc_id, stays.
     """
     rows = fingerprint_rows(docs, id_col, text_col, owner_bits, block_rows)
     suspects = rows.filter("suspect")
-    asked = small_side(suspects.select(F.col("doc_id").alias("__suspect")).distinct())
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("__suspect")), "left_semi")
+    asked = small_side(suspects.select(F.col("doc_id").alias("suspect_id")).distinct())
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
     bodies = found.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), normalised("text").alias("body"))
     # grouped by the bytes themselves: copies fold on the map side, so a text that half the corpus repeats stays small
     by_bytes = bodies.groupBy("body", "n_chars").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).select(
@@ -169,7 +185,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "hash", F.col("best.n_chars").alias("best_chars"), (-F.col("best.neg")).alias("keep_id"),
         F.when(F.col("same"), F.col("group_size")).otherwise(F.raise_error(F.lit("different texts under one sha256")).cast("long")).alias("group_size"),
     )
-    matched = suspects.join(groups, "hash").select(
+    matched = look_up(suspects, materialize(groups, "groups"), "hash").select(
         "doc_id", "keep_id", "group_size", ((F.col("n_chars") == F.col("best_chars")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("hash")).alias("text_sha256")
     )
     alone = rows.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("hash")).alias("text_sha256"))
@@ -179,15 +195,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, all columns kept. Rows that repeat a doc_id with an equal text leave one."""
     decided = materialize(exact_dedup(docs, id_col, text_col, **options).filter("group_size > 1").select("doc_id", "kept", "text_sha256"), "decided")
-    keys = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_or("kept").alias("__stays"), F.count(F.lit(1)).alias("__times"))
-    marked = docs.withColumn("__hash", F.sha2(normalised(text_col).cast("binary"), 256))
+    mine, key, sha = (fresh(c, docs) for c in ("own_sha", "copy_id", "copy_sha"))
+    keys = materialize(decided.groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("times")), "keys")
+    marked = docs.withColumn(mine, F.sha2(normalised(text_col).cast("binary"), 256))
 
-    def among(keys: DataFrame, how: str) -> DataFrame:
-        return marked.join(small_side(keys), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__sha")), how)
+    def among(found: DataFrame, how: str) -> DataFrame:
+        return marked.join(small_side(found.select(key, sha)), F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(sha)), how)
 
-    special = keys.filter("not __stays or __times > 1").select("__id", "__sha")
-    repeated = keys.filter("__stays and __times > 1").select("__id", "__sha")
-    out = among(special, "left_anti")
+    out = among(keys.filter("not stays or times > 1"), "left_anti")
+    repeated = keys.filter("stays and times > 1")
     if not repeated.isEmpty():
-        out = out.unionByName(among(repeated, "left_semi").dropDuplicates([id_col, "__hash"]))
+        out = out.unionByName(among(repeated, "left_semi").dropDuplicates([id_col, mine]))
     return out.select(*docs.columns)

@@ -50,6 +50,21 @@ def test_exact_empty_table_and_extra_columns(spark, docs_of):
     assert E.drop_copies(df).collect()[0].hash == "y"
 
 
+def test_copies_whatever_the_columns_are_called(spark):
+    names = ["own_sha", "copy_id", "copy_sha", "hash", "kept", "doc_id", "text", "suspect_id", "stays", "times"]
+    df = spark.createDataFrame([(*["q"] * 5, i, t, *["r"] * 3) for i, t in [(1, "a b"), (2, "ab"), (3, "c"), (1, "a b")]], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    got = E.drop_copies(df).collect()
+    assert E.drop_copies(df).columns == names and sorted((r.doc_id, r.own_sha, r.times) for r in got) == [(1, "q", "r"), (3, "q", "r")]
+    assert E.drop_copies(df.limit(0)).count() == 0
+
+
+def test_exact_over_salted_look_ups_and_shuffled_bitmaps(docs_of, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(E, "BITMAP_BYTES", 0)
+    rows = [(i, random.Random(i % 7).choice(["ab c", "a bc", "d", "e f"])) for i in range(80)] + [(None, "ab c"), (90, None)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, E.exact_dedup(docs_of(rows).repartition(4), block_rows=9).collect()), key=key) == sorted(brute_exact(rows), key=key)
+
+
 def test_only_one_of_repeated_rows_stays(docs_of):
     got = E.drop_copies(docs_of([(1, "a b"), (1, "a b"), (2, "ab"), (3, "z"), (3, "y"), (None, "q"), (None, "q")])).collect()
     assert sorted(((r.doc_id or 0), r.text) for r in got) == [(0, "q"), (1, "a b"), (3, "y"), (3, "z")]

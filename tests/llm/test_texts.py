@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -191,20 +192,129 @@ def plain_secrets(t):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
-def test_secrets_base_random_and_redaction(docs_of):
+KEYS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+SYLLABLES = "the ing and ver ent ion le ra sto ne mor ket gar den wal ked qui et chil dren eve ning bri dge win ter light mor".split()
+
+
+def plain_words(rng, n):
+    words = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 4))) for _ in range(n)]
+    return " ".join(w.capitalize() if rng.random() < 0.15 else w + str(rng.randrange(99)) if rng.random() < 0.02 else w for w in words)
+
+
+def test_secrets_base_and_edges(spark, docs_of):
     rng = random.Random(7)
     bits = ["token=token:abcdef", 'Password = "hunter22"', "AKIA" + "A1" * 8, "AKIAAKIA", "a" * 30, "0123456789abcdef" * 2, "secret:abc", "API_KEY: x-y_z.1234", " 漢😀 ", "token==abc", "passwd"]
-    texts = [t for t in ODD if t is None or len(t) < 60_000] + ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(8)) for _ in range(60)]
-    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
-    texts += [f"see {key} here", "deadbeefdeadbeefdeadbeefdeadBEEF1", "2024-01-01T00-00-00-file-name-version-2"]
+    texts = [t for t in ODD if t is None or len(t) < 60_000] + ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(8)) for _ in range(60)] + ["token=abcdef " * 3000]
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(docs_of(texts)).collect()}
     for i, t in enumerate(texts):
         assert [s for s in got[i] if s[1] < 3] == plain_secrets(t or ""), t
-    assert got[len(texts) - 3] == [(4, 3, 44)] and not got[len(texts) - 1]
-    clean = secrets.with_spans(docs_of(texts), secrets.rejection_limits(docs_of(texts))).withColumn("text", secrets.redact(F.coalesce("text", F.lit("")), F.col("spans")))
-    after = {r.doc_id: r.text for r in clean.collect()}
-    assert after[len(texts) - 3] == "see [SECRET] here" and after[4] == "a"
     assert secrets.scan_secrets(docs_of([])).count() == 0
+    names = ["secret_base", "secret_found", "spans", "doc_id", "text"]
+    df = spark.createDataFrame([("p", "q", "r", 1, "token = abcdef"), ("p", "q", "r", None, None)], "secret_base string, secret_found string, spans string, doc_id long, text string")
+    out = secrets.with_spans(df, secrets.calibrate(df), spans_col="mine")
+    assert out.columns == [*names, "mine"] and {(r.secret_base, r.secret_found, len(r.mine)) for r in out.collect()} == {("p", "q", 1), ("p", "q", 0)}
+
+
+def test_running_values_of_arrays(spark):
+    rng = random.Random(1)
+    rows = [([rng.randrange(-5, 9) for _ in range(n)],) for n in (0, 1, 2, 3, 17, 100, 1000)]
+    got = spark.createDataFrame(rows, "xs array<int>").select("xs", secrets._prefixes(F.col("xs"), lambda a, x: a + x).alias("s"), secrets._prefixes(F.col("xs"), lambda a, x: F.greatest(a, x)).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.xs[:i]) for i in range(len(r.xs))] and r.m == [max([0, *r.xs[:i]]) for i in range(len(r.xs))]
+
+
+def plain_ordinary(texts):
+    pairs = collections.Counter()
+    for t in texts:
+        for w in re.findall(r"[A-Za-z0-9+/_-]+", t or ""):
+            if len(w) < 20:
+                pairs.update(zip(" " + w, w))
+    out = {}
+    for name, alphabet in secrets.ALPHABETS.items():
+        low, high = secrets.CLASSES[name]
+        case = {"hex": str.lower, "base32": str.upper, "base64": str}[name]
+        at = lambda c: alphabet.find(case(c)) if c != " " else -1  # noqa: E731, B023
+        singles, x, y, w, turns = np.zeros(len(alphabet)), [], [], [], []
+        for (a, b), n in pairs.items():
+            if at(b) >= 0:
+                singles[at(b)] += n
+                if at(a) >= 0:
+                    x.append(at(a)), y.append(at(b)), w.append(n)
+                    turns.append(((at(a) >= low) + (at(a) >= high)) != ((at(b) >= low) + (at(b) >= high)))
+        q, w = singles / singles.sum(), np.array(w) / sum(w)
+        x, y = np.array(x), np.array(y)
+        cov = lambda u, v: (w * (u - (w * u).sum()) * (v - (w * v).sum())).sum()  # noqa: E731, B023
+        out[name] = ((q**2).sum(), (q**3).sum(), max(secrets.LEAST_CHANGES, (w * np.array(turns)).sum()), cov(x, y) / math.sqrt(cov(x, x) * cov(y, y)))
+    return out
+
+
+def plain_p(token, ordinary):
+    name = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else "base32" if re.fullmatch("[A-Z2-7]+", token) else "base64"
+    alphabet, (s2, s3, r, rho0) = secrets.ALPHABETS[name], ordinary[name]
+    v = np.array([alphabet.index(c) for c in (token.lower() if name == "hex" else token) if c in alphabet])
+    if len(v) < 3 or token.isdigit():
+        return None
+    n, phi = len(v), lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    repeats = (np.bincount(v) ** 2).sum() - n
+    spread = 2 / (n * (n - 1)) * (2 * (n - 2) * (s3 - s2**2) + s2 - s2**2)
+    uniform = phi((repeats / (n * (n - 1)) - s2) / math.sqrt(spread))
+    kinds = (v >= secrets.CLASSES[name][0]).astype(int) + (v >= secrets.CLASSES[name][1])
+    x = (np.diff(kinds) != 0).mean()
+    runs = math.exp(-(n - 1) * (x * math.log(x / r) + ((1 - x) * math.log((1 - x) / (1 - r)) if x < 1 else 0))) if x > r else 1.0
+    m = v - v.mean()
+    rho = abs((m[1:] * m[:-1]).sum() / (m * m).sum()) if m.any() else None
+    serial = 1.0 if rho is None else phi((rho - rho0) * math.sqrt(n)) - phi((-rho - rho0) * math.sqrt(n))
+    return min(1.0, 2 * sorted((uniform, runs, serial))[1])
+
+
+def test_battery_against_brute_force(spark, docs_of):
+    rng = random.Random(2)
+    texts = [plain_words(rng, 200) for _ in range(20)] + [None, ""]
+    ordinary = secrets.ordinary_text(docs_of(texts))
+    want = plain_ordinary(texts)
+    for name in want:
+        assert np.allclose(ordinary[name], want[name], rtol=1e-9), name
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for a in KEYS.values() for n in (20, 33, 128)] + ["a" * 30, "--" * 12, "1" * 25, "ab-" * 10, "the_long_name_of_a_thing_v2", "A1" * 12, "".join(SYLLABLES)]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t"), ordinary).alias("b")).collect()
+    for r in got:
+        p = plain_p(r.t, ordinary)
+        assert (r.b is None) == (p is None) and (p is None or math.isclose(r.b.p, p, rel_tol=1e-5, abs_tol=1e-6)), r.t
+    empty = secrets.ordinary_text(docs_of([]))
+    assert spark.createDataFrame([(tokens[0],)], "t string").select(secrets.battery(F.col("t"), empty).alias("b")).first().b.p == 1.0
+
+
+def test_planted_keys_are_found_and_names_are_not(docs_of):
+    rng, rows, planted = random.Random(3), [], {}
+    for name, alphabet in KEYS.items():
+        for n in (20, 24, 32, 40, 64, 128):
+            for _ in range(12):
+                words = plain_words(rng, 30)
+                planted[len(rows)] = (name, n, (len(words) + 1, 3, len(words) + 1 + n))
+                rows.append(words + " " + "".join(rng.choice(alphabet) for _ in range(n)) + " " + plain_words(rng, 5))
+    names = ["articles/2024/05/12/the-long-title-of-a-story", "some_long_snake_case_identifier_name", "Donaudampfschifffahrtsgesellschaft", "2024-01-01T00-00-00-file-name-version-2", "INTERNATIONALIZATION_OF_THINGS", "0" * 26, "abc" * 9, "kubernetes-deployment-production-v2-replica-3", "a" * 32]
+    rows += [plain_words(rng, 30) + f" {n} " + plain_words(rng, 5) for n in names * 6]
+    got = {r.doc_id: [tuple(s) for s in r.spans if s[1] == 3] for r in secrets.scan_secrets(docs_of(rows)).collect()}
+    found = collections.defaultdict(list)
+    for i, (name, n, span) in planted.items():
+        found[n >= 32].append(span in got[i])
+    false = sum(len(s) for i, s in got.items() if i not in planted)
+    assert np.mean(found[True]) > 0.95 and np.mean(found[False]) > 0.7
+    assert false <= 0.1 * (false + sum(map(sum, found.values())))
+
+
+def test_runs_around_base_spans_and_redaction(docs_of):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice(KEYS["base64"][:62]) for _ in range(n))
+    a, b, c = key(40), key(48), key(60)
+    texts = [plain_words(rng, 60) for _ in range(40)] + [f"see {a} here", f"x {b}/AKIA{'Q7' * 8}+{c} y", "my password = hunter2222 and token=abcdef1 ok"]
+    docs = docs_of(texts)
+    calibration = secrets.calibrate(docs)
+    found = secrets.with_spans(docs, calibration).withColumn("clean", secrets.redact(F.coalesce("text", F.lit("")), F.col("spans")))
+    got = {r.doc_id: r for r in found.collect()}
+    assert [tuple(s) for s in got[40].spans] == [(4, 3, 44)] and got[40].clean == "see [SECRET] here" and got[0].clean == texts[0]
+    kinds = [s[1] for s in got[41].spans]
+    assert kinds == [3, 1, 3] and a not in got[40].clean and b not in got[41].clean and c[:40] not in got[41].clean
+    assert got[42].clean == "my [SECRET] and [SECRET] ok"
 
 
 def plain_pii(t):

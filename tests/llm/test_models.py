@@ -218,6 +218,20 @@ def test_pipeline_from_end_to_end(spark, labelled, docs_of, tmp_path):
     assert set(whole.doc_id) == set(seen["packing"].doc_id) and whole.length.sum() == seen["packing"].length.sum()
 
 
+def test_stages_take_any_columns_and_edge_rows(spark, labelled, tmp_path):
+    labelled[1].write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["score", "spans", "secret_base", "own_sha", "copy_id", "gone", "met", "doc_id", "text", "salt"]
+    texts = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, "token = abcdefgh " * 3), (None, "x"), (5, "word " * 5000)]
+    df = spark.createDataFrame([(*["q"] * 7, i, t, "s") for i, t in texts], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == names, name
+            kept = {r.doc_id for r in out.collect()}
+            assert kept == (set() if docs is not df else {1, 3, 4, None, 5} if name in ("exact_dedup", "simhash_dedup") else {1, 2, 3, 4, None, 5}), name
+        corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+
+
 def test_pipeline_on_empty_tables(spark, labelled, docs_of, tmp_path):
     docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
     labelled[1].write.parquet(f"{tmp_path}/labels.parquet")

@@ -338,17 +338,120 @@ def test_pii_base(text):
     assert pii.base_spans(text) == plain_pii(text)
 
 
-def test_pii_bootstrap_finds_unseen_numbers_in_known_places(docs_of):
-    def luhn_number(rng, good):
-        while True:
-            d = "".join(rng.choice("0123456789") for _ in range(16))
-            if pii.luhn(d) == good:
-                return d
-
+def luhn_number(rng, good=True):
+    while True:
+        d = "".join(rng.choice("0123456789") for _ in range(16))
+        if pii.luhn(d) == good:
+            return d
+
+
+def plain_candidates(text, covered):
+    """Stretches of pieces with digits a blank apart, outside what is covered."""
+    out, at = [], 0
+    for s, e in [*covered, (len(text), len(text))]:
+        stop = at
+        for m in re.finditer("[^" + re.escape(pii.SEPARATORS) + "]+", text[at:s]) if s > at else ():
+            a, b = m.start() + at, m.end() + at
+            if not re.search("[0-9]", m[0]):
+                continue
+            if out and out[-1][1] == stop and a == stop + 1 and text[stop] == " " and stop > at:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+            stop = b
+        at = max(at, e)
+    trimmed = []
+    for a, b in out:
+        while a < b and not (text[a].isalnum() or text[a] in "+(#"):
+            a += 1
+        while b > a and not (text[b - 1].isalnum() or (text[b - 1] == ")" and "(" in text[a:b])):
+            b -= 1
+        if b - a >= 6 and len(re.sub("[^0-9]", "", text[a:b])) >= 3:
+            trimmed.append((a, b))
+    return trimmed
+
+
+def plain_found(texts):
+    """The bootstrap over plain dictionaries."""
+    occ, grams = [], collections.Counter()
+    for i, t in enumerate(texts):
+        t = t or ""
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        words = [low[a:b] for a, b in spans]
+        grams.update("1 " + w for w in words)
+        grams.update(f"2 {a} {b}" for a, b in zip(words, words[1:]))
+        covered = sorted({(s, e) for _, s, e in plain_pii(t)})
+        last = 0
+        for s, e, seed in sorted([(*c, True) for c in covered] + [(*c, False) for c in plain_candidates(t, covered)]):
+            k = max(j for j, (a, _) in enumerate(spans) if a <= s)
+            after = min((j for j, (a, _) in enumerate(spans) if a > e - 1), default=None)
+            before = ["", "", *words[:k]]
+            ctx = ["p " + low[max(min(last, s), spans[k][0]) : s]] if spans[k][0] < s else [f"1 {before[-1]}"] * (k > 0) + [f"2 {before[-2]} {before[-1]}"] * (k > 1)
+            ctx += [] if after is None else [f"r {words[after]}"]
+            occ.append((ctx, t[s:e], re.sub("[^\\W\\d_]+", "a", re.sub("[0-9]+", "9", t[s:e])), seed, i, s, e))
+            last = max(last, e)
+    seen = collections.defaultdict(collections.Counter)
+    for ctx, inst, *_ in occ:
+        for c in ctx:
+            seen[c][inst] += 1
+    total = {c: max(sum(n.values()), 0 if c[0] == "p" else grams["1 " + c[2:] if c[0] == "r" else c]) for c, n in seen.items()}
+    seeds = {o[1] for o in occ if o[3]}
+    known = set(seeds)
+
+    def score():
+        return {c for c, n in seen.items() if len(n) >= 5 and len(known & set(n)) >= 5 and sum(n[x] for x in n if x in known) / (total[c] + 1) >= 0.6}
+
+    def shapes(good):
+        times, shape_of = collections.Counter(o[1] for o in occ), {o[1]: o[2] for o in occ}
+        hits = {x: min(times[x], sum(seen[c][x] for c in good)) for x in times}
+        share = collections.defaultdict(lambda: [0, 0])
+        for x, n in times.items():
+            share[shape_of[x]][0] += hits[x]
+            share[shape_of[x]][1] += n
+        fine = {k for k, (a, b) in share.items() if a / b >= 0.3}
+        return {x for x in times if hits[x] and shape_of[x] in fine}, fine
+
+    for _ in range(2):
+        known = seeds | shapes(score())[0]
+    good = score()
+    fine = shapes(good)[1]
+    out = collections.defaultdict(list)
+    for ctx, _, shape, seed, i, s, e in occ:
+        if not seed and good & set(ctx) and shape in fine:
+            out[i].append((4, s, e))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def test_pii_bootstrap_finds_unseen_shapes_in_known_places(docs_of):
     rng = random.Random(8)
-    texts = [f"he paid by card {luhn_number(rng, True)} today" for _ in range(30)] + [f"she paid by card {luhn_number(rng, False)} today", "order number 12345678 shipped", *[t for t in ODD if t is None or len(t) < 60_000]]
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: rng.choice("the a of he she it we they was and then walked home quietly".split())
+    filler = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{filler(9)} contact: +1 {digits(3)} 555-{digits(4)} {filler(5)}" for _ in range(30)]
+    texts += [f"{filler(9)} Contact: user{k}@mail.example.com {filler(5)}" for k in range(20)]
+    unseen = [f"({digits(3)}) 555-{digits(4)}" for _ in range(6)] + [f"AB-{digits(6)}" for _ in range(6)] + [f"{digits(4)} {digits(4)} {digits(2)}" for _ in range(6)]
+    texts += [f"{filler(9)} contact: {u}, {filler(5)}" for u in unseen]
+    texts += [f"{filler(9)} dial {unseen[k]} {filler(5)}" for k in range(6)] + [f"{filler(9)} dial ({digits(3)}) 555-{digits(4)} {filler(4)}" for _ in range(3)]
+    texts += [f"{filler(9)} the {digits(9)} {filler(4)}" for _ in range(40)] + [f"{filler(3)} the {luhn_number(rng)} {filler(3)}" for _ in range(8)]
+    texts += [t for t in ODD if t is None or len(t) < 30_000] + ["a1234567," * 3000]
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(docs_of(texts)).collect()}
-    assert got[0] == [(2, 16, 32)] and got[30] == [(4, 17, 33)] and got[31] == []
+    want = plain_found(texts)
     for i, t in enumerate(texts):
-        assert [s for s in got[i] if s[0] < 4] == plain_pii(t or "")
+        assert [s for s in got[i] if s[0] < 4] == plain_pii(t or "") and [s for s in got[i] if s[0] == 4] == want.get(i, []), t[:200]
+    assert all(any(s[0] == 4 and texts[i][s[1] : s[2]] == u for s in got[i]) for i, u in zip(range(50, 68), unseen))  # other shapes in the same place
+    assert all(any(s[0] == 4 for s in got[i]) for i in range(68, 77))  # another place, learnt from them
+    assert not any(s[0] == 4 for i in range(77, 117) for s in got[i])  # numbers behind a word of all kinds
+
+
+def test_pii_on_empty_tables_and_over_salted_look_ups(docs_of, monkeypatch, spark):
+    from driftmesh.operators import common
+
     assert pii.find_pii(docs_of([])).count() == 0
+    texts = [f"mail {k}@a.example.com now" for k in range(9)] + ["mail AB-12345 now", None]
+    before = sorted(map(str, pii.find_pii(docs_of(texts)).collect()))
+    assert sum("kind=4" in x for x in before) == 1
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, pii.find_pii(docs_of(texts)).collect())) == before
+    odd = spark.createDataFrame([("a", "b", None, "x@y.zz"), ("a", "b", 3, None), ("a", "b", 3, None)], "row string, base string, doc_id long, text string")
+    assert sorted(len(r.spans) for r in pii.find_pii(odd).collect()) == [0, 0, 1]

@@ -108,6 +108,60 @@ def test_lm_score_is_that_of_the_whole_vocabulary_whatever_the_head(docs_of):
     assert all(math.isclose(few[i], many[i], rel_tol=1e-5) for i in many)
 
 
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    got = lm_scoring.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), crc_of_id() % 7 == 2, WORD).toPandas()
+    for rows in (got[got.held_out], got[~got.held_out]):
+        assert rows.score.sum() / rows.n_tokens.sum() > rows.base_score.sum() / rows.n_tokens.sum() + 0.02
+        assert (rows.score > rows.base_score).mean() > 0.6
+
+
+def brute_scores(texts, model, counts, n, norm):
+    """Token by token: the mixture of the network's product over a word's ids and the word's smoothed share."""
+    tok, out = lm_scoring.word_tokenizer(WORD), []
+    for t in texts:
+        words = [*lm_scoring.split_words(t), b""]
+        ids = [np.frombuffer(tok._words([w.decode()])[0], np.uint32).tolist() for w in words[:-1]] + [[lm_scoring.END_ID]]
+        flat = [i for w in ids for i in w]
+        logs = []
+        for at, target in enumerate(flat):  # its window, position by position
+            first = at - at % lm_scoring.STRIDE
+            seen = [lm_scoring.START_ID] * (lm_scoring.CONTEXT + 1) + flat
+            x = seen[first : first + lm_scoring.CONTEXT + 1 + at % lm_scoring.STRIDE]
+            h = model.weights["emb"][x].astype(float) + model.weights["pos"][: len(x)]
+            s = (h[-1] @ model.weights["q"]) @ (h @ model.weights["k"]).T
+            a = np.exp(s - s.max())
+            z = (h[-1] + (a / a.sum()) @ (h @ model.weights["v"])) @ model.weights["out"] + model.weights["bias"]
+            logs.append(z[model.class_of[target]] - z.max() - math.log(np.exp(z - z.max()).sum()) + model.within[target])
+        total, at = 0.0, 0
+        for w, part in zip(words, ids):
+            p = math.exp(sum(logs[at : at + len(part)])) if part else 10**lm_scoring.NO_IDS
+            at += len(part)
+            mix = model.mix[min(lm_scoring.COUNT_SIZES - 1, int(counts.get(w, 0) + 1).bit_length() - 1)]
+            total += math.log10(mix * p + (1 - mix) * (counts.get(w, 0) + 1) / norm)
+        out.append(total)
+    return out
+
+
+def test_scores_against_brute_force():
+    rng = np.random.default_rng(3)
+    totals = rng.random(lm_scoring.IDS) * 9
+    texts = ["the cat's river, Ünï 漢字 walks", "", " ".join(["bridge"] * 40), "a1 b2 c3 " * 15]
+    streams_of = lambda head: zip(*[lm_scoring.TextEncoder(WORD, head).encode(t) for t in texts])
+    words = {w for t in texts for w in lm_scoring.split_words(t)}
+    head = {w: i for i, w in enumerate(sorted(words | {b""}), 1)}
+    counts = {w: int(rng.integers(0, 300)) for w in head}
+    streams, places, rare = streams_of(head)
+    assert not any(rare)
+    model = lm_scoring.train_model([lm_scoring._ids(s) for s in streams], totals, classes=9, width=4, epochs=3)
+    model.mix = rng.random(lm_scoring.COUNT_SIZES)
+    head_counts = np.array([0, *[counts[w] for w in sorted(head)]], float)
+    lengths, _, base, scores, _ = lm_scoring.score_texts(model, head_counts, 5000.0, list(streams), list(places))
+    assert np.allclose(scores, brute_scores(texts, model, counts, 0, 5000.0), rtol=1e-5)
+    assert lengths.tolist() == [len(t.split()) + 1 for t in texts]
+    model.weights = {k: v * 300 for k, v in model.weights.items()}  # no overflow at any weights
+    assert np.isfinite(lm_scoring.score_texts(model, head_counts, 5000.0, list(streams), list(places))[3]).all()
+
+
 def test_lm_without_training_rows_or_rows(docs_of):
     from pyspark.sql import functions as F
 
@@ -148,7 +202,14 @@ def test_gradients_match_differences():
         m = lm_scoring.AttentionModel(model.class_of, np.zeros_like(model.within), w)
         return -m.log_probs(inputs, targets)[targets >= 0].astype(np.float64).mean()
 
-    g, rng = lm_scoring.gradients(w, inputs, classes), np.random.default_rng(1)
+    (met, g), rng = lm_scoring.gradients(w, inputs, classes), np.random.default_rng(1)
+    assert g["emb"].shape == (len(met), 4) and set(met) == set(np.unique(inputs))
+    w["emb"][met[0], 1] += 1e-2
+    up = loss()
+    w["emb"][met[0], 1] -= 2e-2
+    down = loss()
+    w["emb"][met[0], 1] += 1e-2
+    assert abs((up - down) / 2e-2 - g["emb"][0, 1]) < 2e-3
     for name in ("q", "k", "v", "out", "bias", "pos"):
         at = tuple(rng.integers(0, s) for s in w[name].shape)
         old, h = w[name][at], 1e-2

@@ -6,13 +6,16 @@ learns a weight for each and, by factors, an interaction for each pair of terms
 count for more beside a mention of a group than alone.
 
 The machine is fitted on a sample of labelled rows of at most `sample_rows`: those of least hash of doc_id. Everything
-else covers all rows. Null and empty texts have no terms and get the score of the intercept. Labels that are null are
-left out, rows that repeat a doc_id among the labels count once, toxic if any is. Without both labels in the sample the
-score is the smoothed share of toxic rows, at most one half. Other columns of the input are not looked at.
+else covers all rows and whole texts, very long ones too. Null and empty texts have no terms and get the score of the
+intercept. Labels that are null are left out, rows that repeat a doc_id among the labels count once, toxic if any is; of
+documents that repeat one, the least text is learnt from, and each is scored. Without both labels in the sample the score
+is the smoothed share of toxic rows, at most one half. An empty table gives no rows. Other columns of the input, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import crc_of_id, materialize, slices
+from driftmesh.llm.common import SLICE_ROWS, crc_of_id, materialize, slices
 
 SAMPLE_ROWS = 12_000
 TERMS = 2_048
@@ -61,10 +64,19 @@ class FactorizationMachine:
         return self.bias + x @ self.weights + 0.5 * ((met**2) - (x * x) @ (self.factors**2)).sum(axis=1)
 
     def score(self, places: list[int]) -> float:
-        v = self.factors[places]
-        met = v.sum(axis=0)
-        z = self.bias + self.weights[places].sum() + 0.5 * float((met**2 - (v**2).sum(axis=0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(self.scores([places])[0])
+
+    def scores(self, rows: list) -> np.ndarray:
+        """Of each row of places: bias, weights, and half of (sum of factors squared - sum of squared factors)."""
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(sizes.sum()))
+        z, full = np.full(len(rows), self.bias), sizes > 0
+        if len(flat):
+            starts = (np.cumsum(sizes) - sizes)[full]
+            v = self.factors[flat]
+            pairs = np.add.reduceat(v, starts, axis=0) ** 2 - np.add.reduceat(v * v, starts, axis=0)
+            z[full] += np.add.reduceat(self.weights[flat], starts) + 0.5 * pairs.sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(rows: list[list[int]], labels: np.ndarray, buckets: np.ndarray, epochs: int = 25, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
@@ -120,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on the given labels; at most sample_rows rows of at most `terms` small numbers reach the driver."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = materialize(rows.select("toxic", "text").mapInArrow(_terms, "toxic int, terms array<int>"), "terms")
     total = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     if not total["n"]:
@@ -145,9 +158,8 @@ def scorer(model: FactorizationMachine):
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         place = {int(b): i for i, b in enumerate(model.buckets)}
         known: dict[str, tuple[int, ...]] = {}
-        plain = model.score([])
         for texts in parts:
-            out = []
+            rows = []
             for text in texts:
                 if len(known) > CACHE_WORDS:
                     known.clear()
@@ -158,8 +170,8 @@ def scorer(model: FactorizationMachine):
                         terms = known[token] = tuple(place[b] for b in term_buckets(token) if b in place)
                     if terms:
                         found.update(terms)
-                out.append(model.score(sorted(found)) if found else plain)
-            yield pd.Series(out, dtype="float64")
+                rows.append(sorted(found))
+            yield pd.Series(np.concatenate([model.scores(rows[at : at + SLICE_ROWS]) for at in range(0, len(rows), SLICE_ROWS)]) if rows else [], dtype="float64")
 
     return score
 

@@ -58,6 +58,27 @@ def test_toxicity_without_labels_and_rows(spark, docs_of, labelled):
     assert toxicity.score_toxicity(docs_of(["a", None, "b"]), odd).count() == 3
 
 
+def test_toxicity_scores_against_brute_force(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, toxicity.learnable(labels))
+    place = {int(b): k for k, b in enumerate(model.buckets)}
+    assert len(place) > 20 and np.abs(model.factors).max() > 0
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        terms = set()
+        for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            terms |= {zlib.crc32(w.encode()) % 2**22} | {zlib.crc32(w[:k].encode() + b"*") % 2**22 for k in range(4, 10) if len(w) >= k}
+        at = [place[t] for t in sorted(terms) if t in place]
+        z = model.bias + sum(model.weights[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(at) for j in at[:k])
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9), r.doc_id
+
+
+def test_toxicity_sample_is_bounded_by_labels_not_rows(spark, docs_of):
+    docs = docs_of([(1, "bad words"), (1, "bad words"), (1, "a"), (2, "good words"), (3, "x")])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (2, 1, 0)], "score long, predicted int, toxic int").withColumn("doc_id", __import__("pyspark").sql.functions.col("score"))
+    assert toxicity.score_toxicity(docs, labels).count() == 5
+
+
 def test_machine_learns_a_pair():
     rng = random.Random(2)
     rows = [[k for k in range(6) if rng.random() < 0.5] for _ in range(600)]

@@ -3,14 +3,17 @@
 Writing. Each page becomes a record. Of pages with equal payloads of at least `least_bytes`, the one with the largest
 page_id is a response and the others revisit it. Payloads travel in chunked transfer framing; blocks beyond
 `segment_bytes` are cut into a first record and continuations, which may land in any file. Archives are files of raw
-records in the shared folder, written by Spark's own text sink, so any store that Spark writes will do.
+records in the shared folder, written by Spark's own text sink, so any store that Spark writes will do. A row of the sink
+holds a warcinfo record and about ROW_BYTES of records, a file ROWS_PER_FILE rows, so files are bounded by bytes.
 
 Reading. Files are parsed by Content-Length; segments are grouped by the identifier of their origin, ordered by
 number, checked for gaps and against the total length, joined, and the chunked framing of the HTTP body is undone.
 
-Null html counts as empty. Null page_ids are written without the field and come back null; a null never is the largest.
-Pages that repeat the largest page_id are all responses. Other columns of the input are not looked at. A record that
-misses a segment or whose digest or length disagrees raises an error.
+Revisits name the record that they refer to (its identifier comes from page and payload) and, in an extension field, its
+page. Null html counts as empty. Null page_ids are written without the field and come back null; a null never is the
+largest. Pages that repeat the largest page_id are all responses; with equal payloads they are one record written twice.
+Very long pages become many segments. An empty table gives no records. Other columns of the input, whatever their names,
+are not looked at. A record that misses a segment or whose digest or length disagrees raises an error.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import shared_dir, slices
+from driftmesh.llm.common import look_up, materialize, shared_dir, slices
 
 LEAST_BYTES = 1000
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
-RECORDS_PER_FILE = 2_000
+ROW_BYTES, ROWS_PER_FILE = 1 << 20, 64
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -66,57 +69,80 @@ def _uri(url: str | None) -> str:
     return "".join(c if 32 < ord(c) < 127 else "%" + c.encode().hex("%") for c in url or "about:blank")
 
 
+DATE = ("WARC-Date", "2026-01-01T00:00:00Z")
+
+
+def _target(page_id: int | None, digest: str) -> str:
+    """The identifier of a record that others revisit."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
+
+
 def _encode(segment_bytes: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # identifiers are unique by task and place; a task that runs again replaces its files whole
-        space, count = uuid.uuid5(uuid.NAMESPACE_OID, f"{uuid.uuid4()}-{TaskContext.get().partitionId()}"), 0
+        space, count, out, held = uuid.uuid5(uuid.NAMESPACE_OID, f"{uuid.uuid4()}-{TaskContext.get().partitionId()}"), 0, [], 0
+
+        def row():
+            info = _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(space, f'info/{count}')}>"), DATE, ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+            return pa.RecordBatch.from_arrays([pa.array([RECORD_END.encode().join([info, *out])], pa.binary())], names=["record"])
+
         for batch in slices(batches):
-            out = []
-            for row in batch.to_pylist():
-                payload = row["html"]
+            for page in batch.to_pylist():
+                payload = page["html"]
                 digest = hashlib.sha1(payload).hexdigest()
-                name = f"<urn:uuid:{uuid.uuid5(space, str(count))}>"
+                name = _target(page["page_id"], digest) if page["target"] else f"<urn:uuid:{uuid.uuid5(space, str(count))}>"
                 count += 1
-                kind = "revisit" if row["revisits"] else "response"
+                uri = ("WARC-Target-URI", _uri(page["url"]))
                 fields = [
-                    ("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", "2026-01-01T00:00:00Z"), ("WARC-Target-URI", _uri(row["url"])),
-                    ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("X-Page-ID", row["page_id"]),
+                    ("WARC-Type", "revisit" if page["revisits"] else "response"), ("WARC-Record-ID", name), DATE, uri, ("WARC-Payload-Digest", f"sha1:{digest}"),
+                    ("Content-Type", "application/http; msgtype=response"), ("X-Page-ID", page["page_id"]),
                 ]
-                if kind == "revisit":
-                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", row["refers_to"])]
-                    out.append(_record(fields, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)))
-                    continue
-                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
-                parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-                if len(parts) == 1:
-                    out.append(_record(fields, block))
-                    continue
-                out.append(_record([*fields, ("WARC-Segment-Number", 1)], parts[0]))
-                for k, part in enumerate(parts[1:], 2):
-                    total = len(block) if k == len(parts) else None
-                    more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(space, f'{count}/{k}')}>"), ("WARC-Date", "2026-01-01T00:00:00Z"), ("WARC-Target-URI", fields[3][1])]
-                    out.append(_record([*more, ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", total)], part))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+                if page["revisits"]:
+                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _target(page["refers_to"], digest)), ("X-Refers-To-Page-ID", page["refers_to"])]
+                    records = [_record(fields, head + b"Content-Length: %d\r\n\r\n" % len(payload))]
+                else:
+                    block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
+                    parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
+                    records = [_record(fields + [("WARC-Segment-Number", 1)] * (len(parts) > 1), parts[0])]
+                    for k, part in enumerate(parts[1:], 2):
+                        total = len(block) if k == len(parts) else None
+                        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(space, f'{count}/{k}')}>"), DATE, uri]
+                        records.append(_record([*more, ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", total)], part))
+                for record in records:
+                    out.append(record)
+                    held += len(record)
+                    if held >= ROW_BYTES:
+                        yield row()
+                        count, out, held = count + 1, [], 0
+        if out:
+            yield row()
 
     return run
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, url, html as bytes, revisits, refers_to). Groups fold to one row on the map side before the join."""
+    """(page_id, url, html as bytes, revisits, refers_to, target). Payloads stay where they are: hashes that several pages
+    share, with the largest page_id, are looked up."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html")
-    ).withColumn("hash", F.when(F.length("html") >= least_bytes, F.unhex(F.sha2("html", 256))))
-    groups = rows.filter("hash is not null").groupBy("hash").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(groups, "hash", "left")
-    revisits = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    return joined.select("page_id", "url", "html", revisits.alias("revisits"), F.when(revisits, F.col("largest")).alias("refers_to"))
-
-
-def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+    )
+    of_payload = F.unhex(F.sha2("html", 256))
+    long_ones = rows.filter(F.length("html") >= least_bytes).select("page_id", of_payload.alias("hash"))
+    groups = materialize(long_ones.groupBy("hash").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "payloads")
+    # short pages look up a key of their own that no group has
+    own = F.unhex(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")))
+    joined = look_up(rows.withColumn("hash", F.when(F.length("html") >= least_bytes, of_payload).otherwise(own)), groups, "hash", "left")
+    same = F.col("page_id").eqNullSafe(F.col("largest"))
+    revisits = F.col("largest").isNotNull() & ~same
+    return joined.select("page_id", "url", "html", revisits.alias("revisits"), F.when(revisits, F.col("largest")).alias("refers_to"), (F.col("largest").isNotNull() & same).alias("target"))
+
+
+def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, rows_per_file: int = ROWS_PER_FILE, compression: str = "gzip") -> None:
     """Writes pages (page_id, url, html) as archives under path; compression: gzip (of whole files) or none."""
     records = with_revisits(pages, least_bytes).mapInArrow(_encode(segment_bytes, chunk_bytes), "record binary")
     # the text sink writes the bytes of a string as they are
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", rows_per_file).option("compression", compression).text(path)
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -153,6 +179,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             content = gzip.decompress(content)
         rows = []
         for f, block in parse_records(content):
+            if f["warc-type"] == "warcinfo":
+                continue
             rows.append((
                 f.get("warc-segment-origin-id", f["warc-record-id"]), as_int(f.get("warc-segment-number")), as_int(f.get("warc-segment-total-length")), f["warc-type"],
                 as_int(f.get("x-page-id")), as_int(f.get("x-refers-to-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest"), block,

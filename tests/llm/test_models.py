@@ -245,17 +245,26 @@ def test_gradients_match_differences():
 PAGES = "page_id long, url string, html string"
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     big, same = "é漢" * 20_000, "p" * 1000
     rows = [(1, "http://a/é b", big), (2, None, None), (3, "http://c", ""), (4, "u", same), (9, "u", same), (9, "u", same), (6, "u", same), (7, "u", "p" * 999), (8, "u", "p" * 999), (None, "u", same), (10, "x", "a\r\n\r\nWARC/1.1\r\n" * 3000)]
+    monkeypatch.setattr(warc, "ROW_BYTES", 9_000)
     for compression in ("gzip", "none"):
+        if compression == "none":
+            monkeypatch.setattr("driftmesh.operators.common.BROADCAST_ROWS", 0)
         path = f"file://{tmp_path}/{compression}"
-        warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(3), path, segment_bytes=4096, chunk_bytes=1000, records_per_file=4, compression=compression)
+        warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(3), path, segment_bytes=4096, chunk_bytes=1000, rows_per_file=2, compression=compression)
         got = warc.read_warc(spark, path).collect()
         key = lambda r: (r[0] or 0, r[1])
         want = [(i, hashlib.sha1((h or "").encode()).hexdigest(), len((h or "").encode()), "revisit" if h == same and i != 9 else "response", 9 if h == same and i != 9 else None) for i, _, h in rows]
         assert sorted([(r.page_id, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to) for r in got], key=key) == sorted(want, key=key)
         assert next(bytes(r.payload) for r in got if r.page_id == 1) == big.encode()
+    heads = [f for file in tmp_path.glob("none/part-*") for f, _ in warc.parse_records(file.read_bytes())]
+    names = {f["warc-record-id"] for f in heads if f["warc-type"] == "response"}
+    assert sum(f["warc-type"] == "revisit" for f in heads) == 3 and all(f["warc-refers-to"] in names for f in heads if f["warc-type"] == "revisit")
+    assert {f["warc-type"] for f in heads} == {"warcinfo", "response", "revisit", "continuation"}
+    odd = spark.createDataFrame([(1, "u", "h" * 2000, "x", "y"), (2, "u", "h" * 2000, "x", "y")], "page_id long, url string, html string, hash string, largest string")
+    assert sorted((r.page_id, r.record_type) for r in warc.warc_round_trip(odd).collect()) == [(1, "revisit"), (2, "response")]
 
 
 def test_warc_faults_and_framing(spark):

@@ -56,13 +56,13 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most_rows: int | None = None) -> DataFrame:
     """rows joined by `key` with a table that has one row per key, whatever share of the rows one key has.
 
-    The table is broadcast if it is small by count; else it is repeated for each salt, and a key's rows are dealt over
-    the salts by all their columns. table should be read from a table.
+    The table is broadcast if it is small, by most_rows (a bound that is known) or by count (it should then be read from
+    a written table); else it is repeated for each salt, and a key's rows are dealt over the salts by all their columns.
     """
-    if table.count() <= most:
+    if (table.count() if most_rows is None else most_rows) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), key, how)
     salt = fresh("salt", rows, table)
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))

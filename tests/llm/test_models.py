@@ -138,7 +138,7 @@ def test_lm_beats_the_base_on_held_out_documents(spark):
 
 def brute_scores(texts, model, counts, n, norm):
     """Token by token: the mixture of the network's product over a word's ids and the word's smoothed share."""
-    tok, out = lm_scoring.word_tokenizer(WORD), []
+    tok, out = lm_scoring.WordTokenizer(WORD), []
     for t in texts:
         words = [*lm_scoring.split_words(t), b""]
         ids = [np.frombuffer(tok._words([w.decode()])[0], np.uint32).tolist() for w in words[:-1]] + [[lm_scoring.END_ID]]

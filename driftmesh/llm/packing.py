@@ -116,7 +116,8 @@ class WordTokenizer:
         return [next(simple) if ok else next(others) for ok in plain]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        shown = ["".join(map(self.chars.__getitem__, p.encode())) for p in parts]
+        # letters of ASCII stand for themselves in the table of bytes
+        shown = [p if p.isascii() and p.isalpha() else "".join(map(self.chars.__getitem__, p.encode())) for p in parts]
         return [array("I", done.ids).tobytes() for done in self.model.encode_batch_fast(shown, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -248,11 +249,10 @@ def pack_documents(
                 words = tokenizer.words(text)
                 parts = tokenizer.ids_of(words)
                 stops = [i for i, w in enumerate(words, 1) if w[-1] in ".!?"]
-                runs = [b"".join(parts[a:b]) for a, b in zip([0, *stops], stops)]
-                runs.append(b"".join(parts[stops[-1] if stops else 0 :]) + end)
+                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
                 ids.append(doc_id)
-                streams.append(b"".join(runs))
-                sentences.append(np.cumsum([len(r) for r in runs[:-1]], dtype=np.int64) // 4)
+                streams.append(b"".join(parts) + end)
+                sentences.append(ends[np.array(stops, np.int64) - 1])
                 held += len(streams[-1]) // 4
                 if held >= run_tokens:
                     out, first = pieces(ids, streams, sentences, first)

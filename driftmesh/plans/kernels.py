@@ -20,8 +20,23 @@ EPS_ESTIMATE = 1e-16
 #: Costs of a visit and of an accepted node; a leaf costs its number of points.
 COST_VISIT, COST_ACCEPT = 0.5, 1.1
 
-#: Pairs of volume and surface nodes that a kernel holds at a time.
-PAIRS = 1 << 21
+#: Pairs of volume and surface nodes that a kernel holds at a time; they stay in a core's cache.
+PAIRS = 1 << 17
+#: Positions that walk the tree together.
+GROUP = 256
+
+
+def power(q: np.ndarray, e: float) -> np.ndarray:
+    """q to the e; small whole exponents by products."""
+    if e != int(e) or not 1 <= e <= 16:
+        return q**e
+    out, base, n = None, q, int(e)
+    while n:
+        if n & 1:
+            out = base if out is None else out * base
+        n >>= 1
+        base = base * base if n else base
+    return out
 
 
 @dataclass(frozen=True)
@@ -32,12 +47,21 @@ class Weights:
     alpha: float
 
     def of(self, area: np.ndarray, d2: np.ndarray, eps: float) -> np.ndarray:
-        q = self.ldef / np.sqrt(d2 + eps)
-        return area * (q**self.a_exp + self.alpha**self.b_exp * q**self.b_exp)
+        q = np.sqrt(d2 + eps)
+        np.divide(self.ldef, q, out=q)
+        w = power(q, self.b_exp) * self.alpha**self.b_exp
+        w += power(q, self.a_exp)
+        w *= area
+        return w
 
 
 def squared_distances(r: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return ((r[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    out = np.zeros((len(r), len(x)))
+    for c in range(3):
+        d = r[:, c, None] - x[None, :, c]
+        d *= d
+        out += d
+    return out
 
 
 def mirror_points(r: np.ndarray, planes, image: int) -> np.ndarray:
@@ -87,9 +111,9 @@ def sample_sphere() -> np.ndarray:
     return np.array(pts) / np.sqrt(3.0)
 
 
-def build_tree(x: np.ndarray, area: np.ndarray, weights: Weights, bucket: int = 8, errors: bool = True) -> Tree:
-    """Splits at the median of the widest axis until at most bucket + 1 points are left; profiles the error of taking a
-    node whole, at twelve distances."""
+def build_tree(x: np.ndarray, area: np.ndarray, weights: Weights, bucket: int = 8, errors: bool = True, spread_points: int | None = None) -> Tree:
+    """Splits at the median of the widest axis, ties by place, until at most bucket + 1 points are left; profiles the error
+    of taking a node whole, at twelve distances. spread_points: judge the width by so many first points of a node."""
     order = np.arange(len(x))
     rows, stack = [], [(0, len(x), -1, 0, False)]
     while stack:
@@ -100,9 +124,9 @@ def build_tree(x: np.ndarray, area: np.ndarray, weights: Weights, bucket: int =
             rows[parent][3 if is_right else 2] = k
         if hi - lo - 1 > bucket:
             pts = x[order[lo:hi]]
-            axis = int(np.argmax(pts.max(axis=0) - pts.min(axis=0)))
+            axis = int(np.argmax(np.ptp(pts[:spread_points], axis=0)))
             half = (hi - lo + 1) // 2
-            order[lo:hi] = order[lo:hi][np.argpartition(pts[:, axis], half - 1)]
+            order[lo:hi] = order[lo:hi][np.lexsort((order[lo:hi], pts[:, axis]))]
             stack += [(lo + half, hi, k, level + 1, True), (lo, lo + half, k, level + 1, False)]
     table = np.array(rows, np.int64).reshape(-1, 6)
     l, u, left, right, parent, level = table.T  # noqa: E741
@@ -149,61 +173,123 @@ def transposed_sums(r: np.ndarray, seeds: np.ndarray, x: np.ndarray, area: np.nd
     return out
 
 
+def groups(r: np.ndarray) -> list[np.ndarray]:
+    """Places of positions that lie together: by the order of a space-filling key, GROUP at a time."""
+    if len(r) <= GROUP:
+        return [np.arange(len(r))]
+    low, high = r.min(axis=0), r.max(axis=0)
+    cells = ((r - low) / np.where(high > low, high - low, 1.0) * 1023).astype(np.int64)
+    key = np.zeros(len(r), np.int64)
+    for bit in range(10):
+        for c in range(3):
+            key |= (cells[:, c] >> bit & 1) << (3 * bit + c)
+    return np.array_split(np.argsort(key, kind="stable"), -(-len(r) // GROUP))
+
+
 def walk(tree: Tree, r: np.ndarray, accept):
-    """Yields (node, positions' places, distances, whole): leaves (whole False) and accepted nodes (whole True).
+    """Yields (nodes, mask, distances, whole) for a group of positions, a level of the tree at a time: leaves (whole False,
+    mask: which positions need them) and nodes taken whole (mask: by which positions).
 
-    accept(node, places, distances) -> mask of the places that take the node whole.
+    accept(nodes, distances, mask) -> which positions of the mask take which node whole: every position decides for itself.
     """
-    stack = [(0, np.arange(len(r)))]
-    while stack:
-        k, places = stack.pop()
-        if tree.left[k] < 0:
-            yield k, places, None, False
-            continue
-        d = np.sqrt(((r[places] - tree.centre[k]) ** 2).sum(axis=1))
-        whole = accept(k, places, d)
-        if whole.any():
-            yield k, places[whole], d[whole], True
-        rest = places[~whole]
-        if len(rest):
-            stack += [(tree.right[k], rest), (tree.left[k], rest)]
+    nodes, mask = np.zeros(1, np.int64), np.ones((1, len(r)), bool)
+    while len(nodes):
+        leaf = tree.left[nodes] < 0
+        if leaf.any():
+            yield nodes[leaf], mask[leaf], None, False
+            nodes, mask = nodes[~leaf], mask[~leaf]
+        if not len(nodes):
+            return
+        d = np.sqrt(squared_distances(tree.centre[nodes], r))
+        whole = accept(nodes, d, mask)
+        taken = whole.any(axis=1)
+        if taken.any():
+            yield nodes[taken], whole[taken], d[taken], True
+        mask &= ~whole
+        alive = mask.any(axis=1)
+        nodes, mask = nodes[alive], mask[alive]
+        nodes, mask = np.concatenate([tree.left[nodes], tree.right[nodes]]), np.concatenate([mask, mask])
 
 
 def near_enough(tree: Tree, tol_den: np.ndarray):
     """Accepts a node from twice its radius on where its error is below the tolerance times the denominator."""
 
-    def accept(k, places, d):
-        ratio = d * tree.inv_r[k]
-        return (ratio >= 2.0) & (node_error(tree.err[k], ratio) < tol_den[places])
+    def accept(nodes, d, mask):
+        ratio = d * tree.inv_r[nodes, None]
+        out = mask & (ratio >= 2.0)
+        k, q = np.nonzero(out)
+        out[k, q] = _errors(tree.err, nodes[k], ratio[k, q]) < tol_den[q]
+        return out
 
     return accept
 
 
+def _errors(err: np.ndarray, nodes: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """node_error of each node at its ratio."""
+    knots = np.asarray(ERROR_KNOTS)
+    at = np.clip(np.searchsorted(knots, ratio, side="right") - 1, 0, len(knots) - 2)
+    share = np.clip((ratio - knots[at]) / (knots[at + 1] - knots[at]), 0.0, 1.0)
+    low = err[nodes, at]
+    return low + share * (err[nodes, at + 1] - low)
+
+
+def leaf_points(tree: Tree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points of the nodes, the node's place among them for each point)."""
+    sizes = tree.u[nodes] - tree.l[nodes]
+    ends = np.cumsum(sizes)
+    own = np.repeat(np.arange(len(nodes)), sizes)
+    return np.arange(int(ends[-1])) + np.repeat(tree.l[nodes] - (ends - sizes), sizes), own
+
+
+def terms(tree: Tree, r: np.ndarray, x: np.ndarray, area: np.ndarray, weights: Weights, accept, eps: float):
+    """Yields (weights (sources, positions), points, nodes): those of leaves' points (nodes None) and of nodes taken whole
+    (points None), for the positions that need them and zero for the others, in blocks of bounded size."""
+    step = max(1, PAIRS // max(1, len(r)))
+    for nodes, mask, d, whole in walk(tree, r, accept):
+        if whole:
+            for at in range(0, len(nodes), step):
+                part = slice(at, at + step)
+                yield weights.of(tree.area[nodes[part], None], d[part] ** 2, 0.0 if eps == EPS_KERNEL else eps) * mask[part], None, nodes[part]
+        else:
+            points, own = leaf_points(tree, nodes)
+            for at in range(0, len(points), step):
+                part = points[at : at + step]
+                yield weights.of(area[part, None], squared_distances(x[part], r), eps) * mask[own[at : at + step]], part, None
+
+
 def estimate_denominators(tree: Tree, x: np.ndarray, area: np.ndarray, r: np.ndarray, weights: Weights) -> np.ndarray:
     out = np.zeros(len(r))
-    for k, places, d, whole in walk(tree, r, lambda k, p, d: np.sqrt(d * d + EPS_ESTIMATE) * tree.inv_r[k] > ESTIMATE_RATIO):
-        own = slice(tree.l[k], tree.u[k])
-        out[places] += weights.of(tree.area[k], d * d, EPS_ESTIMATE) if whole else exact_sums(r[places], x[own], area[own], np.ones((own.stop - own.start, 1)), weights, EPS_ESTIMATE)[:, 0]
+    far = lambda nodes, d, mask: mask & (np.sqrt(d * d + EPS_ESTIMATE) * tree.inv_r[nodes, None] > ESTIMATE_RATIO)
+    for places in groups(r):
+        for w, _, _ in terms(tree, r[places], x, area, weights, far, EPS_ESTIMATE):
+            out[places] += w.sum(axis=0)
     return out
 
 
 def fast_sums(tree: Tree, r: np.ndarray, x: np.ndarray, area: np.ndarray, columns: np.ndarray, means: np.ndarray, weights: Weights, tol_den: np.ndarray) -> np.ndarray:
     """exact_sums with far nodes taken whole; means: of columns over each tree node."""
     out = np.zeros((len(r), columns.shape[1]), columns.dtype)
-    for k, places, d, whole in walk(tree, r, near_enough(tree, tol_den)):
-        own = slice(tree.l[k], tree.u[k])
-        out[places] += weights.of(tree.area[k], d * d, 0.0)[:, None] * means[k] if whole else exact_sums(r[places], x[own], area[own], columns[own], weights)
+    for places in groups(r):
+        for w, points, nodes in terms(tree, r[places], x, area, weights, near_enough(tree, tol_den[places]), EPS_KERNEL):
+            out[places] += w.T @ (columns[points] if nodes is None else means[nodes])
     return out
 
 
 def fast_transposed(tree: Tree, r: np.ndarray, seeds: np.ndarray, x: np.ndarray, area: np.ndarray, weights: Weights, tol_den: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), seeds.shape[1]))
-    for k, places, d, whole in walk(tree, r, near_enough(tree, tol_den)):
-        own = slice(tree.l[k], tree.u[k])
-        if whole:
-            out[own] += (weights.of(tree.area[k], d * d, 0.0) @ seeds[places]) / (own.stop - own.start)
-        else:
-            out[own] += transposed_sums(r[places], seeds[places], x[own], area[own], weights)
+    out, of_nodes = np.zeros((len(x), seeds.shape[1])), np.zeros((len(tree.l), seeds.shape[1]))
+    for places in groups(r):
+        for w, points, nodes in terms(tree, r[places], x, area, weights, near_enough(tree, tol_den[places]), EPS_KERNEL):
+            if nodes is None:
+                out[points] += w @ seeds[places]  # a point is in one leaf
+            else:
+                of_nodes[nodes] += w @ seeds[places]
+    # what a node took whole is shared evenly by the points under it: down the tree, children after parents
+    share = of_nodes / np.maximum(tree.u - tree.l, 1)[:, None]
+    for k in range(len(tree.l)):
+        if tree.parent[k] >= 0:
+            share[k] += share[tree.parent[k]]
+    for k in np.flatnonzero(tree.left < 0):
+        out[tree.l[k] : tree.u[k]] += share[k]
     return out
 
 
@@ -215,12 +301,13 @@ def node_means(tree: Tree, columns: np.ndarray) -> np.ndarray:
 def costs(tree: Tree, r: np.ndarray, tol_den: np.ndarray) -> np.ndarray:
     """Operations that the fast kernel would need, in units of one surface point."""
     out = np.zeros(len(r))
-    inner = near_enough(tree, tol_den)
+    for places in groups(r):
+        inner = near_enough(tree, tol_den[places])
 
-    def accept(k, places, d):
-        out[places] += COST_VISIT
-        return inner(k, places, d)
+        def accept(nodes, d, mask, places=places, inner=inner):
+            out[places] += COST_VISIT * mask.sum(axis=0)
+            return inner(nodes, d, mask)
 
-    for k, places, _, whole in walk(tree, r, accept):
-        out[places] += COST_ACCEPT if whole else tree.u[k] - tree.l[k]
+        for nodes, mask, _, whole in walk(tree, r[places], accept):
+            out[places] += (np.full(len(nodes), COST_ACCEPT) if whole else (tree.u - tree.l)[nodes]) @ mask
     return out

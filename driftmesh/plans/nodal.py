@@ -20,14 +20,18 @@ def merge_points(points: np.ndarray, tol: float = 1e-12) -> tuple[np.ndarray, np
     exact, first, inverse = np.unique(points, axis=0, return_index=True, return_inverse=True)
     inverse = inverse.ravel()
     rep = np.arange(len(exact))
-    for shift in np.ndindex(2, 2, 2):  # points within tol share a cell of twice that size in one of the shifted grids
-        cells = np.floor(exact / (2 * tol) + 0.5 * np.array(shift))
-        order = np.lexsort((first, *cells.T))
-        same = (cells[order[1:]] == cells[order[:-1]]).all(axis=1)
-        for a, b in zip(order[:-1][same], order[1:][same]):
-            if np.sum((exact[a] - exact[b]) ** 2) <= tol * tol:
-                lo, hi = sorted((rep[a], rep[b]), key=lambda i: first[i])
-                rep[hi] = lo
+    by_x = np.argsort(exact[:, 0], kind="stable")
+    x = exact[by_x, 0]
+    last = np.searchsorted(x, x + tol, side="right")  # a point can only meet those up to there in the order of x
+    shift, open_to = 1, np.flatnonzero(last > np.arange(len(x)) + 1)
+    while len(open_to):
+        a, b = by_x[open_to], by_x[open_to + shift]
+        near = ((exact[a] - exact[b]) ** 2).sum(axis=1) <= tol * tol
+        for i, j in zip(a[near], b[near]):
+            lo, hi = sorted((i, j), key=lambda k: first[k])
+            rep[hi] = min(rep[hi], rep[lo], key=lambda k: first[k])
+        shift += 1
+        open_to = open_to[last[open_to] > open_to + shift]
     while not np.array_equal(rep, rep[rep]):
         rep = rep[rep]
     stays = np.unique(rep)

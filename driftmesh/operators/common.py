@@ -56,6 +56,15 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster runs tasks, for narrow work that costs far more than its rows: a
+    table of few files is dealt anew, one of many stays as it is, and so does what a shuffle has dealt already."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # to ask for its partitions would run the shuffle
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most_rows: int | None = None) -> DataFrame:
     """rows joined by `key` with a table that has one row per key, whatever share of the rows one key has.
 

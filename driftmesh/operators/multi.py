@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmesh.operators.patches import block_to_instance, filtered_reindex
+from driftmesh.operators.transfer import flatten, warp_to_solver
+from driftmesh.options import WarpOptions
 from driftmesh.plans.warp import Warper
 
 
@@ -65,3 +68,83 @@ class MultiWarper:
         """(pt_id, dx, dy, dz): products of all components, added where they share surface points."""
         parts = [c.warper.vjp(self._own(volume, n), c.deform, seeds) for n, c in self.components.items()]
         return self._union(parts).groupBy("pt_id").agg(*[F.sum(f"d{c}").alias(f"d{c}") for c in "xyz"])
+
+
+class MultiMesh:
+    """Instances over the zones of one volume, each with a surface and options of its own; others are background.
+
+    volume: (node_id, zone_id, x0, y0, z0); instances: (inst_id, name, block_lo, block_hi), half-open ranges of zones;
+    options: by the names of the instances that are warped. The external indices come before the surface.
+    """
+
+    def __init__(self, volume: DataFrame, instances: DataFrame, options: dict[str, WarpOptions], planes=()):
+        rows = [(r["inst_id"], r["name"].strip().lower()) for r in instances.select("inst_id", "name").orderBy("inst_id").collect()]  # a row an instance
+        self.options = {name.strip().lower(): o for name, o in options.items()}
+        unknown = set(self.options) - {name for _, name in rows}
+        if unknown:
+            raise ValueError(f"no instance is called {', '.join(sorted(unknown))}")
+        self.ids = {name: inst_id for inst_id, name in rows if name in self.options}
+        self.instances, self.planes = instances, planes
+        named = instances.select("inst_id", F.lower(F.trim("name")).alias("instance"))
+        held = block_to_instance(volume.withColumn("block_id", F.col("zone_id")), instances).join(F.broadcast(named), "inst_id").select("node_id", "instance")
+        self.volume = volume.join(held, "node_id", "left")
+        self.solver_map = self.points = self.faces = self.warper = None
+
+    def set_external_indices(self, solver_map: DataFrame) -> None:
+        """(solver_dof, common_dof) of all instances in one numbering."""
+        self.solver_map = solver_map
+
+    def split_faces(self, faces: DataFrame) -> DataFrame:
+        """(inst_id, face_id, nodes): faces (face_id, block_id, nodes) by the instance that their block belongs to."""
+        return block_to_instance(faces, self.instances).select("inst_id", "face_id", "nodes")
+
+    def local_points(self, faces: DataFrame) -> DataFrame:
+        """(inst_id, node, local_id): the surface's points of each instance, dense from 0, beside their full ids."""
+        return filtered_reindex(self.split_faces(faces).select("inst_id", F.explode("nodes").alias("node")))
+
+    def set_surface(self, points: DataFrame, faces: DataFrame) -> None:
+        """points: (pt_id, x, y, z) of all instances; faces: (face_id, block_id, nodes as pt_ids)."""
+        if self.solver_map is None:
+            raise NameError("set the external indices before the surface")
+        split = self.split_faces(faces)
+        self.points = points.select("pt_id", "x", "y", "z")
+        parts = []
+        for name, inst_id in self.ids.items():
+            own = split.filter(F.col("inst_id") == inst_id)
+            used = own.select(F.explode("nodes").alias("pt_id")).distinct()
+            parts.append(Component(name, Warper(points.join(used, "pt_id", "left_semi"), own.select("face_id", "nodes"), self.options[name], self.planes)))
+        self.warper = MultiWarper(parts)
+        self.set_coordinates(self.points)
+
+    def coordinates(self) -> DataFrame:
+        """(pt_id, x, y, z) of all points as they are now."""
+        return self.points
+
+    def set_coordinates(self, points: DataFrame) -> None:
+        """New positions of all points, of every instance in one table."""
+        self.points = points.select("pt_id", "x", "y", "z")
+        for c in self.warper.components.values():
+            own = c.warper.points_frame().select("pt_id")
+            c.deform = self.points.join(F.broadcast(own), "pt_id", "left_semi")
+
+    def warp(self) -> DataFrame:
+        return self.warper.warp(self.volume)
+
+    def warp_grids(self) -> tuple[dict[str, DataFrame], int]:
+        """The moved (dof, value) of each instance that is warped, and the number of dofs of them all."""
+        moved = self.warp().join(self.volume.select("node_id", "instance"), "node_id")
+        grids = {name: flatten(moved.filter(F.col("instance") == name)) for name in self.ids}
+        return grids, 3 * self.volume.filter(F.col("instance").isin(*self.ids)).count()
+
+    def solver_grid(self) -> DataFrame:
+        """(solver_dof, value): the whole grid with the instances laid over it, in the solver's numbering."""
+        return warp_to_solver(self.solver_map, flatten(self.warper.solver_grid(self.volume)).withColumnRenamed("dof", "common_dof"))
+
+    def jvp(self, tangent: DataFrame) -> DataFrame:
+        """tangent: (pt_id, dx, dy, dz) of all points; zero for the background."""
+        parts = {n: tangent.join(F.broadcast(c.warper.points_frame().select("pt_id")), "pt_id", "left_semi") for n, c in self.warper.components.items()}
+        return self.warper.jvp(self.volume, parts)
+
+    def vjp(self, seeds: DataFrame) -> DataFrame:
+        """(pt_id, dx, dy, dz), added over instances."""
+        return self.warper.vjp(self.volume, seeds)

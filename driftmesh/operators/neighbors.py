@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmesh.operators.common import materialize
+from driftmesh.operators.common import materialize, spread
+
+#: Points that the brute-force searches broadcast, and distances that they hold at a time.
+MOST_POINTS, HELD = 2_000_000, 1 << 20
 
 
 def r_nearest(queries: DataFrame, points: DataFrame, radius: float, decorrelate: int = 0) -> DataFrame:
@@ -74,3 +81,49 @@ def point_in_tree(queries: DataFrame, points: DataFrame, tol: float = 1e-6) -> D
 def with_ids(points: DataFrame) -> DataFrame:
     """Points as their own queries, for the variants around existing points."""
     return points.select(F.col("pt_id").alias("q_id"), "x", "y", "z")
+
+
+def _brute(queries: DataFrame, points: DataFrame, pick, decorrelate: int, ddl: str) -> DataFrame:
+    """Every query against every point, in blocks; the points' side is counted before it is broadcast. pick(d2, ids) gives
+    the chosen places of a row of distances, in order."""
+    n = points.count()
+    if n > MOST_POINTS:
+        raise ValueError(f"{n} points, {MOST_POINTS} at most for a search by brute force; use knn or r_nearest")
+    table = points.select(F.col("pt_id").cast("long"), *[F.col(c).cast("double") for c in "xyz"]).toArrow().sort_by("pt_id")
+    shared = points.sparkSession.sparkContext.broadcast((table["pt_id"].to_numpy(), np.stack([table[c].to_numpy() for c in "xyz"], axis=1)))
+    names = [c.split()[0] for c in ddl.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        step = max(1, HELD // max(1, len(ids)))
+        for batch in batches:
+            q, r = batch.column(0).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)], axis=1)
+            for at in range(0, len(q), step):
+                d2 = sum((r[at : at + step, c, None] - x[None, :, c]) ** 2 for c in range(3))
+                if decorrelate:
+                    d2[np.abs(q[at : at + step, None] - ids) < decorrelate] = np.inf
+                chosen = [pick(row) for row in d2]
+                sizes = [len(c) for c in chosen]
+                flat = np.concatenate(chosen).astype(np.int64) if chosen else np.zeros(0, np.int64)
+                rows = np.repeat(np.arange(len(chosen)), sizes)
+                found = {"q_id": q[at + rows], "rank": np.concatenate([np.arange(1, s + 1) for s in sizes]).astype(np.int32) if sizes else np.zeros(0, np.int32), "pt_id": ids[flat], "d2": d2[rows, flat]}
+                yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in names], names=names)
+
+    return spread(queries.select(F.col("q_id").cast("long"), *[F.col(c).cast("double") for c in "xyz"])).mapInArrow(run, ddl)
+
+
+def brute_knn(queries: DataFrame, points: DataFrame, k: int, decorrelate: int = 0) -> DataFrame:
+    """(q_id, rank, pt_id, d2) as knn gives, by comparing everything."""
+
+    def pick(d2: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1]) if len(d2) > k else np.arange(len(d2))
+        near = near[np.isfinite(d2[near])]
+        return near[np.argsort(d2[near], kind="stable")[:k]]  # places ascend with ids
+
+    return _brute(queries, points, pick, decorrelate, "q_id long, rank int, pt_id long, d2 double")
+
+
+def brute_within(queries: DataFrame, points: DataFrame, radius: float, decorrelate: int = 0, strict: bool = False) -> DataFrame:
+    """(q_id, pt_id, d2) as r_nearest gives, by comparing everything; strict: the border is left out."""
+    r2 = radius * radius
+    return _brute(queries, points, lambda d2: np.flatnonzero(d2 < r2 if strict else d2 <= r2), decorrelate, "q_id long, pt_id long, d2 double")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmesh.schema import DEFAULT_FAMILIES, SURFACE_FACE_TYPES, SYMMETRY_TYPE, WALL_TYPES
+from driftmesh.operators.common import fresh
+from driftmesh.schema import DEFAULT_FAMILIES, MIXED, SURFACE_ELEMENTS, SURFACE_FACE_TYPES, SYMMETRY_TYPE, WALL_TYPES
 
 
 def _plain(column: str):
@@ -25,8 +26,22 @@ def surface_face_filter(patches: DataFrame) -> DataFrame:
     return patches.filter(_plain("bc_type").isin(*SURFACE_FACE_TYPES) & (F.col("n_faces") > 0))
 
 
-def surface_sections(sections: DataFrame) -> DataFrame:
-    return sections.filter("is_surface")
+def surface_sections(sections: DataFrame, elements: DataFrame) -> DataFrame:
+    """Sections (zone_id, sec_id, elem_type, ...) of triangles or quads, or mixed ones that hold nothing else.
+
+    elements: (zone_id, sec_id, elem_type), each element's own type.
+    """
+    kinds = elements.groupBy("zone_id", "sec_id").agg(F.min(F.col("elem_type").isin(*SURFACE_ELEMENTS)).alias("__flat"))
+    met = sections.join(kinds, ["zone_id", "sec_id"], "left")
+    return met.filter(F.col("elem_type").isin(*SURFACE_ELEMENTS) | ((F.col("elem_type") == MIXED) & F.coalesce("__flat", F.lit(False)))).drop("__flat")
+
+
+def section_gaps(sections: DataFrame) -> DataFrame:
+    """(zone_id, sec_id, expected, elem_start) of sections that do not begin where the one before ends. A zone's sections
+    are few, so a window over a zone will do."""
+    before = F.lag("elem_end").over(Window.partitionBy("zone_id").orderBy("elem_start", "sec_id"))
+    seen = sections.select("zone_id", "sec_id", (F.coalesce(before, F.lit(0)) + 1).cast("long").alias("expected"), "elem_start")
+    return seen.filter(F.col("elem_start") != F.col("expected"))
 
 
 def default_family(bocos: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
@@ -63,10 +78,21 @@ def select_surface(faces: DataFrame, patches: DataFrame, wanted: DataFrame | Non
     return faces.join(family_select(patches, wanted, name).select("patch_id"), "patch_id", "left_semi")
 
 
-def interval_join(rows: DataFrame, key: str, intervals: DataFrame, lo: str, hi: str, width: int = 4096) -> DataFrame:
-    """rows with the intervals lo <= key < hi that hold them: both meet through buckets of the key, not in a product."""
-    cut = intervals.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width)))).filter(F.col(hi) > F.col(lo))
-    return rows.withColumn("__bucket", F.floor(F.col(key) / width)).join(cut, "__bucket").filter((F.col(key) >= F.col(lo)) & (F.col(key) < F.col(hi))).drop("__bucket")
+def interval_join(rows: DataFrame, key: str, intervals: DataFrame, lo: str, hi: str) -> DataFrame:
+    """rows with the intervals lo <= key < hi that hold them.
+
+    An interval lies in buckets as wide as its length rounded up to a power of two, two at most, whatever its length; a
+    row asks in its bucket of every width that occurs. No product, and no interval is cut into many.
+    """
+    size, level, bucket = (fresh(c, rows, intervals) for c in ("size", "level", "bucket"))
+    real = intervals.filter(F.col(hi) > F.col(lo)).withColumn(size, (F.col(hi) - F.col(lo)).cast("long"))
+    wide = real.withColumn(level, (F.length(F.bin(F.greatest(F.col(size) - 1, F.lit(0)))) - F.when(F.col(size) > 1, 0).otherwise(1)).cast("int")).drop(size)
+    width = lambda c: F.pow(F.lit(2.0), F.col(c)).cast("long")
+    of = lambda x, c: F.floor(x / width(c))
+    cut = wide.withColumn(bucket, F.explode(F.array_distinct(F.array(of(F.col(lo), level), of(F.col(hi) - 1, level)))))
+    levels = [r[0] for r in wide.select(level).distinct().collect()]  # 63 at most
+    asks = rows.withColumn(level, F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn(bucket, of(F.col(key), level))
+    return asks.join(cut, [level, bucket]).filter((F.col(key) >= F.col(lo)) & (F.col(key) < F.col(hi))).drop(level, bucket)
 
 
 def elem_to_section(elements: DataFrame, sections: DataFrame) -> DataFrame:

@@ -16,9 +16,14 @@ def point_merge(points: DataFrame, tol: float = 1e-12) -> DataFrame:
     """
     distinct = points.groupBy("x", "y", "z").agg(F.min("pt_id").alias("rep_id"))
     size = max(tol, 1e-300)
-    cell = [F.floor(F.col(c) / F.lit(2 * size)).alias(f"c{c}") for c in "xyz"]
+
+    def place(x: Column) -> Column:  # of the cell, as a double: a long would end at 1.8e7 for the smallest cells
+        q = x / F.lit(2 * size)
+        return q - F.pmod(q, F.lit(1.0)) + F.lit(0.0)
+
+    cell = [place(F.col(c)).alias(f"c{c}") for c in "xyz"]
     # a point is asked for in the cells that its ball touches: at most two a side
-    sides = [F.array_distinct(F.array(F.floor((F.col(c) - size) / F.lit(2 * size)), F.floor((F.col(c) + size) / F.lit(2 * size)))) for c in "xyz"]
+    sides = [F.array_distinct(F.array(place(F.col(c) - size), place(F.col(c) + size))) for c in "xyz"]
     homes = distinct.select("x", "y", "z", "rep_id", *cell)
     asks = distinct.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), *[s.alias(f"s{c}") for s, c in zip(sides, "xyz")])
     for c in "xyz":
@@ -61,6 +66,58 @@ def running(df: DataFrame, keys: list[str], value: Column, name: str, buckets: i
     return out.withColumn(name, total - F.col("__value") if exclusive else total).drop("__value", "__bucket", "__inner", "__before")
 
 
+def previous(df: DataFrame, keys: list[str], value: str, name: str, buckets: int | None = None) -> DataFrame:
+    """df with the value of the row before in the keys' order, null at the first: within ranges by a window, at the start of
+    a range from the last row of the nearest range before it that has any."""
+    k = buckets if buckets is not None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = df.withColumn("__bucket", range_buckets(df, keys, k))
+    order = Window.partitionBy("__bucket").orderBy(*keys)
+    ends = marked.groupBy("__bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*keys)).alias("last"))
+    carried = ends.select("__bucket", F.lag("last").over(Window.orderBy("__bucket")).alias("__last"))  # one row a bucket that has rows
+    seen = marked.withColumn("__before", F.lag(F.struct(F.col(value).alias("v"))).over(order)).join(F.broadcast(carried), "__bucket")
+    return seen.withColumn(name, F.coalesce("__before", "__last")["v"]).drop("__bucket", "__before", "__last")
+
+
+def radius_rank(points: DataFrame) -> DataFrame:
+    """(pt_id, radius, rank): dense places from 0 in the order of the distance to the origin, then id."""
+    radius = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return running(points.select("pt_id", radius.alias("radius")), ["radius", "pt_id"], F.lit(1).cast("long"), "__rank").select("pt_id", "radius", (F.col("__rank") - 1).alias("rank"))
+
+
+def radius_merge(points: DataFrame, tol: float = 1e-12) -> DataFrame:
+    """(pt_id, rep_id): the least id strictly within tol, found among points of about equal distance to the origin.
+
+    Points in the order of that distance part into runs where it jumps by tol or more; points within tol of each other
+    share a run. Equal points fold first; within a run the rest meet through cells as in point_merge.
+    """
+    distinct = points.groupBy("x", "y", "z").agg(F.min("pt_id").alias("pt_id"))
+    ranked = radius_rank(distinct).join(distinct, "pt_id")
+    jumps = previous(ranked, ["radius", "pt_id"], "radius", "before")
+    begins = F.coalesce((F.col("radius") - F.col("before") >= tol), F.lit(True)).cast("long")
+    runs = running(jumps.drop("before"), ["radius", "pt_id"], begins, "run").select("pt_id", "run", "x", "y", "z")
+    cells = [F.floor(F.col(c) / F.lit(tol)).alias(f"c{c}") for c in "xyz"]
+    asks = runs.select(F.col("pt_id").alias("a_id"), "run", *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    for c in "xyz":
+        asks = asks.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"a{c}") / F.lit(tol)) - 1, F.floor(F.col(f"a{c}") / F.lit(tol)) + 1)))
+    d2 = sum((F.col(c) - F.col(f"a{c}")) * (F.col(c) - F.col(f"a{c}")) for c in "xyz")
+    near = asks.join(runs.select("pt_id", "run", "x", "y", "z", *cells), ["run", "cx", "cy", "cz"]).filter(d2 < tol * tol).groupBy("a_id").agg(F.min("pt_id").alias("rep_id"))
+    folded = distinct.select("x", "y", "z", F.col("pt_id").alias("a_id")).join(near, "a_id").drop("a_id")
+    return points.join(folded, ["x", "y", "z"]).select("pt_id", "rep_id")
+
+
+def mean_split(points: DataFrame, axis: str) -> DataFrame:
+    """(pt_id, is_left): whether the coordinate is at most the mean of all."""
+    mean = points.agg(F.avg(axis)).first()[0]
+    return points.select("pt_id", (F.col(axis) <= F.lit(mean)).alias("is_left"))
+
+
+def median_split(points: DataFrame, axis: str) -> DataFrame:
+    """(pt_id, is_left): whether a point is among the first half (the greater one) in the order of the coordinate, then id."""
+    ranked = running(points.select("pt_id", axis), [axis, "pt_id"], F.lit(1).cast("long"), "__rank")
+    half = (points.count() + 1) // 2
+    return ranked.select("pt_id", (F.col("__rank") <= half).alias("is_left"))
+
+
 def lexsort_rank(points: DataFrame) -> DataFrame:
     """(pt_id, u_id): dense places from 0 in the order of z, then y, then x, then id."""
     return running(points, ["z", "y", "x", "pt_id"], F.lit(1).cast("long"), "__rank").select("pt_id", (F.col("__rank") - 1).alias("u_id"))

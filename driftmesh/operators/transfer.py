@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.operators.points import running
+from driftmesh.operators.points import previous, running
 
 
 def warp_to_solver(solver_map: DataFrame, values: DataFrame) -> DataFrame:
@@ -47,15 +47,10 @@ def splits(bins: DataFrame) -> DataFrame:
     return bins.groupBy("part_id").agg(F.min("node_id").alias("first_node"))
 
 
-def bin_changes(bins: DataFrame, buckets: int = 64) -> DataFrame:
-    """(node_id, part_id) of the nodes where the part differs from that of the node before."""
-    width = (bins.agg(F.max("node_id")).first()[0] or 0) // buckets + 1
-    marked = bins.withColumn("__b", F.floor(F.col("node_id") / width))
-    own = F.lag("part_id").over(Window.partitionBy("__b").orderBy("node_id"))
-    last = marked.groupBy((F.col("__b") + 1).alias("__b")).agg(F.max_by("part_id", "node_id").alias("__last"))
-    seen = marked.withColumn("__before", own).join(F.broadcast(last), "__b", "left")
-    before = F.coalesce("__before", "__last")
-    return seen.filter(before.isNull() | (before != F.col("part_id"))).select("node_id", "part_id")
+def bin_changes(bins: DataFrame, buckets: int | None = None) -> DataFrame:
+    """(node_id, part_id) of the nodes where the part differs from that of the node before, whatever gaps ids have."""
+    seen = previous(bins, ["node_id"], "part_id", "before", buckets)
+    return seen.filter(F.col("before").isNull() | (F.col("before") != F.col("part_id"))).select("node_id", "part_id")
 
 
 def checksum(nodes: DataFrame) -> DataFrame:

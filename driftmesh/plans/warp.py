@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmesh.operators.common import spread
 from driftmesh.options import WarpOptions
 from driftmesh.plans import kernels as K
 from driftmesh.plans.nodal import Surface
@@ -34,6 +35,11 @@ def _array(df: DataFrame, key: str, columns: list[str]) -> tuple[np.ndarray, np.
     return table[key].to_numpy(), np.stack([table[c].to_numpy() for c in columns], axis=1) if table.num_rows else np.zeros((0, len(columns)))
 
 
+def _volume(volume: DataFrame) -> DataFrame:
+    """(node_id, x0, y0, z0) over as many tasks as run at a time: a node costs a sum over the surface."""
+    return spread(volume.select(F.col("node_id").cast("long").alias("node_id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "z0")]))
+
+
 def _frame(kernel, names: list[str]):
     """An Arrow map from (node_id, positions, more) to (node_id, results)."""
 
@@ -58,6 +64,9 @@ class Warper:
         if n > most_surface:
             raise SurfaceTooLarge(f"{n} surface points, {most_surface} at most; use blocked_warp")
         self.pt_ids, xyz = _array(points, "pt_id", ["x", "y", "z"])
+        n = faces.count()
+        if n > 4 * most_surface:
+            raise SurfaceTooLarge(f"{n} surface faces, {4 * most_surface} at most; use blocked_warp")
         place = {int(p): i for i, p in enumerate(self.pt_ids)}
         polygons = [[place[int(p)] for p in r] for r in faces.select("face_id", "nodes").toArrow().sort_by("face_id")["nodes"].to_pylist()]
         self.surface = Surface.build(xyz, polygons, o.use_rotations, o.corner_angle if o.zero_corner_rotations else None)
@@ -104,7 +113,8 @@ class Warper:
             return self.surface.xu0
         if callable(deform):
             deform = deform(self.points_frame())
-        ids, xyz = _array(deform, "pt_id", ["x", "y", "z"])
+        # no more than one row beyond the surface is collected
+        ids, xyz = _array(deform.limit(len(self.pt_ids) + 1), "pt_id", ["x", "y", "z"])
         if not np.array_equal(ids, self.pt_ids):
             raise ValueError("a deformation has the points of the surface, each once")
         return xyz[self.surface.rep]
@@ -155,7 +165,7 @@ class Warper:
     def warp(self, volume: DataFrame, deform: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
         """(node_id, x, y, z): volume nodes (node_id, x0, y0, z0) moved along with the surface."""
         evaluate = self._evaluator(self._motion_columns(self._positions(deform)), True)
-        rows = volume.select(F.col("node_id").cast("long").alias("node_id"), *[F.col(c).cast("double") for c in ("x0", "y0", "z0")])
+        rows = _volume(volume)
         return rows.mapInArrow(_frame(lambda r: r + evaluate(r)[0], ["node_id", "x", "y", "z"]), "node_id long, x double, y double, z double")
 
     def warp_many(self, volume: DataFrame, deforms: dict[str, DataFrame]) -> DataFrame:
@@ -185,7 +195,7 @@ class Warper:
                     moved = r + total[:, 3 * c : 3 * c + 3] / total[:, -1:]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(r)), batch.column(0), *[pa.array(np.ascontiguousarray(moved[:, i])) for i in range(3)]], names=["case", "node_id", "x", "y", "z"])
 
-        rows = volume.select(F.col("node_id").cast("long").alias("node_id"), *[F.col(c).cast("double") for c in ("x0", "y0", "z0")])
+        rows = _volume(volume)
         return rows.mapInArrow(run, "case string, node_id long, x double, y double, z double")
 
     def denominators(self, volume: DataFrame, estimate: bool = False) -> DataFrame:
@@ -199,7 +209,7 @@ class Warper:
                 den += K.estimate_denominators(tree, x, area, p, weights) if estimate else K.exact_sums(p, x, area, np.ones((len(x), 1)), weights)[:, 0]
             return den[:, None]
 
-        rows = volume.select(F.col("node_id").cast("long").alias("node_id"), "x0", "y0", "z0")
+        rows = _volume(volume)
         return rows.mapInArrow(_frame(kernel, ["node_id", "denominator"]), "node_id long, denominator double")
 
     def costs(self, volume: DataFrame) -> DataFrame:
@@ -212,7 +222,7 @@ class Warper:
             cost = sum(K.costs(tree, p, tol * den) for p in images) / len(x)
             return np.stack([den, cost], axis=1)
 
-        rows = volume.select(F.col("node_id").cast("long").alias("node_id"), "x0", "y0", "z0")
+        rows = _volume(volume)
         return rows.mapInArrow(_frame(kernel, ["node_id", "denominator", "cost"]), "node_id long, denominator double, cost double")
 
     # derivatives
@@ -224,7 +234,7 @@ class Warper:
             raise ValueError("a tangent has the points of the surface, each once")
         dm, db = self.surface.motion_tangent(self._positions(deform), d[self.surface.rep])
         evaluate = self._evaluator(self._columns(dm, db, self.options.use_rotations), False)
-        rows = volume.select(F.col("node_id").cast("long").alias("node_id"), "x0", "y0", "z0")
+        rows = _volume(volume)
         return rows.mapInArrow(_frame(lambda r: evaluate(r)[0], ["node_id", "dx", "dy", "dz"]), "node_id long, dx double, dy double, dz double")
 
     def vjp(self, volume: DataFrame, deform, seeds: DataFrame) -> DataFrame:
@@ -254,7 +264,7 @@ class Warper:
             if len(total) and total.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(total), pa.list_(pa.float64()))], names=["place", "sums"])
 
-        rows = volume.select("node_id", "x0", "y0", "z0").join(seeds.select("node_id", "vx", "vy", "vz"), "node_id").select("x0", "y0", "z0", "vx", "vy", "vz")
+        rows = _volume(volume).join(seeds.select("node_id", "vx", "vy", "vz"), "node_id").select("x0", "y0", "z0", "vx", "vy", "vz")
         width = 12 if turns else 3
         summed = rows.mapInArrow(run, "place long, sums array<double>").groupBy("place").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(width)])
         table = summed.toArrow()  # one row per surface node at most
@@ -272,7 +282,7 @@ class Warper:
         _, d = _array(tangent, "pt_id", ["dx", "dy", "dz"])
         xu = self._positions(deform) + 1j * h * d[self.surface.rep]
         evaluate = self._evaluator(self._motion_columns(xu), True)
-        rows = volume.select(F.col("node_id").cast("long").alias("node_id"), "x0", "y0", "z0")
+        rows = _volume(volume)
         return rows.mapInArrow(_frame(lambda r: evaluate(r)[0].imag / h, ["node_id", "dx", "dy", "dz"]), "node_id long, dx double, dy double, dz double")
 
     def verify(self, volume: DataFrame, deform: DataFrame, seeds: DataFrame, dof_start: int = 0, dof_end: int = 10, h: float = 1e-6) -> DataFrame:
@@ -322,7 +332,7 @@ def blocked_warp(volume: DataFrame, surface: DataFrame, ldef: float, options: Wa
     weights = K.Weights(ldef, options.a_exp, options.b_exp, options.alpha)
     last = surface.agg(F.max("u_id")).first()[0]
     names = [f"m{i}{j}" for i in "123" for j in "123"] + ["b1", "b2", "b3"]
-    rows = volume.select(F.col("node_id").cast("long").alias("node_id"), "x0", "y0", "z0")
+    rows = _volume(volume)
     total = None
     for at in range(0, (-1 if last is None else last) + 1, block_rows):
         _, part = _array(surface.filter((F.col("u_id") >= at) & (F.col("u_id") < at + block_rows)), "u_id", ["x0", "y0", "z0", "a", *names])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("volume", "points", "faces", "patches", "zones", "bocos", "sections", "elements")
 
@@ -25,6 +26,16 @@ def write_instances(path: str, volume: DataFrame, mode: str = "errorifexists") -
     volume.write.mode(mode).partitionBy("instance").parquet(path)
 
 
+def write_moved(volume: DataFrame, moved: DataFrame, instances: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The whole grid, moved nodes laid over it, one folder for each instance name and one for the background."""
+    from driftmesh.operators.multi import overlay
+    from driftmesh.operators.patches import block_to_instance
+
+    held = block_to_instance(volume.withColumn("block_id", F.col("zone_id")), instances).join(F.broadcast(instances.select("inst_id", "name")), "inst_id").select("node_id", F.col("name").alias("instance"))
+    placed = overlay(volume, moved).join(volume.select("node_id", "zone_id"), "node_id").join(held, "node_id", "left")
+    write_instances(path, placed.withColumn("instance", F.coalesce("instance", F.lit("background"))), mode)
+
+
 def read_cgns(*_args, **_options):
     """CGNS needs a native library that this engine does not carry: convert to tables with write_mesh."""
     raise NotImplementedError("CGNS files cannot be read here; write the mesh as tables with driftmesh.sources.mesh_table.write_mesh")

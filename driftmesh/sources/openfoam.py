@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmesh.operators.common import small_side
+
 PART = r"processor(\d+)"
 
 
@@ -69,9 +71,10 @@ def surface_faces(faces: DataFrame, boundary: DataFrame) -> DataFrame:
     """(part, face, name, bc_type, nodes) of the faces whose patch is of a surface type; types count, names do not."""
     from driftmesh.operators.patches import surface_face_filter
 
-    cut = surface_face_filter(boundary).withColumnRenamed("part", "__part")
-    at = (F.col("part") == F.col("__part")) & (F.col("face") >= F.col("start_face")) & (F.col("face") < F.col("start_face") + F.col("n_faces"))
-    return faces.join(cut, at).select("part", "face", "name", "bc_type", "nodes")
+    # a part's patches are a short list: broadcast, so that faces stay where they are
+    cut = surface_face_filter(boundary).groupBy("part").agg(F.collect_list(F.struct("start_face", "n_faces", "name", "bc_type")).alias("cuts"))
+    held = F.filter("cuts", lambda c: (F.col("face") >= c["start_face"]) & (F.col("face") < c["start_face"] + c["n_faces"]))
+    return faces.join(small_side(cut), "part").select("part", "face", "nodes", F.explode(held).alias("c")).select("part", "face", "c.name", "c.bc_type", "nodes")
 
 
 HEADER = """FoamFile
@@ -114,7 +117,7 @@ def write_tecplot(nodes: DataFrame, faces: DataFrame, cells: DataFrame, path: st
     spark = nodes.sparkSession
     size = faces.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("corners")).first()
     n_cells = (cells.agg(F.max("owner")).first()[0] or 0) + 1
-    head = ['TITLE = "Example Grid File"', "FILETYPE = GRID", 'VARIABLES = "X" "Y" "Z"', "Zone", "ZoneType=FEPOLYHEDRON", f"NODES={nodes.count()}", f"FACES={size['n']}", f"ELEMENTS={n_cells}", f"TotalNumFaceNodes={size['corners']}", "NumConnectedBoundaryFaces=0", "TotalNumBoundaryConnections=0"]
+    head = ['TITLE = "driftmesh grid"', "FILETYPE = GRID", 'VARIABLES = "X" "Y" "Z"', "Zone", "ZoneType=FEPOLYHEDRON", f"NODES={nodes.count()}", f"FACES={size['n']}", f"ELEMENTS={n_cells}", f"TotalNumFaceNodes={size['corners']}", "NumConnectedBoundaryFaces=0", "TotalNumBoundaryConnections=0"]
     parts = [spark.createDataFrame([(0, i, h) for i, h in enumerate(head)], "k int, id long, value string")]
     for k, c in enumerate("xyz", 1):
         parts.append(nodes.select(F.lit(k).alias("k"), F.col("node").alias("id"), short(F.col(c)).alias("value")))

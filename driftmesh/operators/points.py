@@ -94,7 +94,7 @@ def radius_merge(points: DataFrame, tol: float = 1e-12) -> DataFrame:
     ranked = radius_rank(distinct).join(distinct, "pt_id")
     jumps = previous(ranked, ["radius", "pt_id"], "radius", "before")
     begins = F.coalesce((F.col("radius") - F.col("before") >= tol), F.lit(True)).cast("long")
-    runs = running(jumps.drop("before"), ["radius", "pt_id"], begins, "run").select("pt_id", "run", "x", "y", "z")
+    runs = running(jumps, ["radius", "pt_id"], begins, "run").select("pt_id", "run", "x", "y", "z")
     cells = [F.floor(F.col(c) / F.lit(tol)).alias(f"c{c}") for c in "xyz"]
     asks = runs.select(F.col("pt_id").alias("a_id"), "run", *[F.col(c).alias(f"a{c}") for c in "xyz"])
     for c in "xyz":

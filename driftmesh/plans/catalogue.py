@@ -828,6 +828,236 @@ def verify_deriv(spark, sf_dir):
     return w.verify(vol(spark, sf_dir), BEND(lattice(spark, sf_dir)).select("pt_id", "x", "y", "z"), _seeds(spark, sf_dir), 0, 3)
 
 
+# meshes from tables
+
+
+def _zones(spark, sf_dir) -> DataFrame:
+    r = F.col("r_regionkey").cast("int")
+    z = read(spark, sf_dir, "region").select(r.alias("zone_id"), (r + 3).alias("il"), F.lit(4).alias("jl"), (r % 2 + 2).alias("kl"))
+    return z.withColumn("n_vertices", (F.col("il") * F.col("jl") * F.col("kl")).cast("long")).withColumn("structured", F.lit(True))
+
+
+def _ranges(zones: DataFrame) -> DataFrame:
+    """Four faces of each zone: low i, high i, low j, high k."""
+    il, jl, kl = (F.col(c) for c in ("il", "jl", "kl"))
+    one = F.lit(1)
+    of = lambda *ends: F.array(F.array(*ends[:3]), F.array(*ends[3:]))
+    faces = [of(one, one, one, one, jl, kl), of(il, one, one, il, jl, kl), of(one, one, one, il, one, kl), of(one, one, kl, il, jl, kl)]
+    kinds = ("BCWallViscous", "BCFarfield", "BCSymmetryPlane", "BCWall")
+    rows = F.array(*[F.struct(F.lit(k).alias("boco_id"), F.lit(kind).alias("bc_type"), f.alias("pt_range")) for k, (f, kind) in enumerate(zip(faces, kinds))])
+    return zones.select("zone_id", F.explode(rows).alias("b")).select("zone_id", "b.boco_id", "b.bc_type", F.lit(None).cast("string").alias("family"), "b.pt_range")
+
+
+_RANGE_SQL = (
+    "z as (select cast(r_regionkey as int) as zone_id, r_regionkey + 3 as il, 4 as jl, r_regionkey % 2 + 2 as kl from region), o as (select *, sum(il * jl * kl) over (order by zone_id) - il * jl * kl as off from z), "
+    "p as (select zone_id * 4 + b as patch_id, b, case when b < 2 then jl else il end as ni, case when b = 3 then jl else kl end as nj, case when b < 2 then il else 1 end as si, case when b = 3 then il else il * jl end as sj, "
+    "off + case b when 1 then il - 1 when 3 then il * jl * (kl - 1) else 0 end as first, b in (0, 2) as low from o, (select unnest([0, 1, 2, 3]) as b)), "
+    "q as (select *, first + si * i + sj * j as n1, first + si * (i + 1) + sj * j as n2, first + si * (i + 1) + sj * (j + 1) as n3, first + si * i + sj * (j + 1) as n4 "
+    "from (select *, unnest(range(0, ni - 1)) as i from (select *, unnest(range(0, nj - 1)) as j from p)))"
+)
+
+
+@query(f"with {_RANGE_SQL} select cast(row_number() over (order by patch_id, j, i) - 1 as bigint) as face_id, cast(patch_id as int) as patch_id, cast(n1 as bigint) as n1, cast(case when low then n2 else n4 end as bigint) as n2, cast(n3 as bigint) as n3, cast(case when low then n4 else n2 end as bigint) as n4 from q")
+def structured_patch_faces(spark, sf_dir):
+    zones = _zones(spark, sf_dir)
+    f = structured.patch_faces(structured.patch_ranges(zones, _ranges(zones)))
+    return f.select("face_id", "patch_id", *[F.get("nodes", F.lit(i)).alias(f"n{i + 1}") for i in range(4)])
+
+
+@query(f"with {_RANGE_SQL} select cast(patch_id as int) as patch_id, cast(j * ni + i as bigint) as pos, cast(first + si * i + sj * j as bigint) as node from (select *, unnest(range(0, ni)) as i from (select *, unnest(range(0, nj)) as j from p))")
+def structured_patch_nodes(spark, sf_dir):
+    zones = _zones(spark, sf_dir)
+    return structured.patch_nodes(structured.patch_ranges(zones, _ranges(zones)))
+
+
+@query("select zone_id, off as \"offset\" from (select cast(r_regionkey as int) as zone_id, cast(sum((r_regionkey + 3) * 4 * (r_regionkey % 2 + 2)) over (order by r_regionkey) - (r_regionkey + 3) * 4 * (r_regionkey % 2 + 2) as bigint) as off from region)")
+def zone_offsets(spark, sf_dir):
+    return structured.zone_offsets(_zones(spark, sf_dir)).select("zone_id", "offset")
+
+
+def _streams(spark, sf_dir) -> DataFrame:
+    """Sections of each zone: mixed triangles and quads, quads, tetrahedra, mixed triangles and tetrahedra."""
+    r = F.col("r_regionkey").cast("int")
+    z = read(spark, sf_dir, "region").select(r.alias("zone_id"), (r + 10).cast("long").alias("m"))
+    e = lambda f: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), f))
+    run = lambda i, kind, k: F.array(*[F.lit(kind).cast("long")] * bool(kind), *[i + n for n in range(1, k + 1)])
+    mixed = e(lambda i: F.when((i + F.col("zone_id")) % 3 == 0, run(i, 7, 4)).otherwise(run(i, 5, 3)))
+    solid = e(lambda i: F.when(i % 2 == 0, run(i, 10, 4)).otherwise(run(i, 5, 3)))
+    parts = [(0, 20, mixed), (1, 7, e(lambda i: run(i * 2, 0, 4))), (2, 10, e(lambda i: run(i * 3, 0, 4))), (3, 20, solid)]
+    rows = F.array(*[F.struct(F.lit(k).alias("sec_id"), F.lit(t).alias("elem_type"), (F.col("m") * k + 1).alias("elem_start"), c.alias("conn")) for k, t, c in parts])
+    return z.select("zone_id", F.explode(rows).alias("s")).select("zone_id", "s.sec_id", "s.elem_type", "s.elem_start", "s.conn")
+
+
+_ELEMENTS = (
+    "el as (select zone_id, sec_id, m * sec_id + 1 + i as elem_id, case sec_id when 0 then case when (i + zone_id) % 3 = 0 then 7 else 5 end when 1 then 7 when 2 then 10 else case when i % 2 = 0 then 10 else 5 end end as elem_type, "
+    "i * case sec_id when 1 then 2 when 2 then 3 else 1 end + 1 as a from (select cast(r_regionkey as int) as zone_id, r_regionkey + 10 as m, unnest(range(0, r_regionkey + 10)) as i from region), (select unnest([0, 1, 2, 3]) as sec_id)), "
+    "els as (select zone_id, cast(sec_id as int) as sec_id, cast(elem_id as bigint) as elem_id, cast(elem_type as int) as elem_type, a, case when elem_type = 5 then 3 else 4 end as k from el)"
+)
+
+
+@query(f"with {_ELEMENTS} select zone_id, sec_id, elem_id, elem_type, array_to_string(range(a, a + k), ',') as nodes from els")
+def decode_elements(spark, sf_dir):
+    return structured.decode_elements(_streams(spark, sf_dir)).withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
+
+
+@query("select cast(r_regionkey as int) as zone_id, cast(s as int) as sec_id from region, (select unnest([0, 1]) as s)")
+def surface_sections(spark, sf_dir):
+    streams = _streams(spark, sf_dir)
+    return patches.surface_sections(streams.select("zone_id", "sec_id", "elem_type"), structured.decode_elements(streams)).select("zone_id", "sec_id")
+
+
+@query("with s as (select n_regionkey as zone_id, cast(n_nationkey as int) as sec_id, row_number() over (partition by n_regionkey order by n_nationkey) as r, n_nationkey % 4 = 0 as late from nation), t as (select *, (r - 1) * 100 + 1 + late::int as elem_start, r * 100 as elem_end from s), "
+    "u as (select *, coalesce(lag(elem_end) over (partition by zone_id order by elem_start, sec_id), 0) + 1 as expected from t) select cast(zone_id as int) as zone_id, sec_id, cast(expected as bigint) as expected, cast(elem_start as bigint) as elem_start from u where expected <> elem_start")
+def section_gaps(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("long")
+    s = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("int").alias("zone_id"), F.col("n_nationkey").cast("int").alias("sec_id"), rank.alias("r"), (F.col("n_nationkey") % 4 == 0).cast("long").alias("late"))
+    return patches.section_gaps(s.select("zone_id", "sec_id", ((F.col("r") - 1) * 100 + 1 + F.col("late")).alias("elem_start"), (F.col("r") * 100).alias("elem_end")))
+
+
+def _element_bocos(spark, sf_dir) -> DataFrame:
+    """Two conditions a zone: some elements of the first two sections, and some that no surface section has."""
+    r = F.col("r_regionkey").cast("int")
+    z = read(spark, sf_dir, "region").select(r.alias("zone_id"), (r + 10).cast("long").alias("m"))
+    rows = F.array(*[F.struct(F.lit(k).alias("boco_id"), F.sequence(F.lit(a).cast("long"), F.col("m") * 2 + b, F.lit(3).cast("long")).alias("elements")) for k, (a, b) in enumerate(((1, 0), (2, 5)))])
+    return z.select("zone_id", F.explode(rows).alias("b")).select("zone_id", "b.boco_id", "b.elements", F.lit("wing").alias("family"), F.lit("BCWall").alias("bc_type"))
+
+
+_BOCO_ELEMENTS = "be as (select zone_id, b as boco_id, unnest(range(case b when 0 then 1 else 2 end, m * 2 + case b when 0 then 1 else 6 end, 3)) as elem_id from (select cast(r_regionkey as int) as zone_id, r_regionkey + 10 as m from region), (select unnest([0, 1]) as b))"
+
+
+def _element_zones(spark, sf_dir) -> DataFrame:
+    r = F.col("r_regionkey").cast("int")
+    return read(spark, sf_dir, "region").select(r.alias("zone_id"), (r * 7 + 50).cast("long").alias("n_vertices"), *[F.lit(0).alias(c) for c in ("il", "jl", "kl")], F.lit(False).alias("structured"))
+
+
+@query(f"with {_ELEMENTS}, {_BOCO_ELEMENTS}, zo as (select r_regionkey as zone_id, sum(r_regionkey * 7 + 50) over (order by r_regionkey) - (r_regionkey * 7 + 50) as off from region), "
+    "m as (select be.zone_id * 2 + boco_id as patch_id, be.elem_id, a, k, off from be join els using (zone_id, elem_id) join zo using (zone_id) where elem_type in (5, 7) and sec_id < 2) "
+    "select cast(row_number() over (order by patch_id, elem_id) - 1 as bigint) as face_id, cast(patch_id as int) as patch_id, array_to_string(list_transform(range(a, a + k), lambda n: cast(n - 1 + off as bigint)), ',') as nodes from m")
+def boco_faces(spark, sf_dir):
+    found = Mesh.unstructured(None, _element_zones(spark, sf_dir), _streams(spark, sf_dir), _element_bocos(spark, sf_dir), EXACT)
+    return found.faces.withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
+
+
+@query(f"with {_ELEMENTS}, {_BOCO_ELEMENTS} select be.zone_id, cast(boco_id as int) as boco_id, count(*) as n from be left join (select * from els where elem_type in (5, 7) and sec_id < 2) e using (zone_id, elem_id) where e.a is null group by be.zone_id, boco_id")
+def unmatched_elements(spark, sf_dir):
+    flat = structured.decode_elements(_streams(spark, sf_dir)).filter("sec_id < 2")
+    return structured.unmatched_elements(_element_bocos(spark, sf_dir), flat)
+
+
+def _block(spark, sf_dir, options: WarpOptions) -> Mesh:
+    """One zone, the lattice in two layers: a wall below, a symmetry plane at y = 0."""
+    p = lattice(spark, sf_dir).select("pt_id", "x", "y", "z")
+    n = p.count()
+    layers = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    volume = p.select("*", layers).select((F.col("pt_id") + F.col("k") * n).alias("node_id"), F.lit(0).alias("zone_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("z") + 0.5 * F.col("k")).alias("z0"))
+    zones = spark.createDataFrame([(0, True, 40, n // 40, 2, 2 * n)], "zone_id int, structured boolean, il int, jl int, kl int, n_vertices long")
+    rows = [(0, 0, "BCWallViscous", "Wing", [[1, 1, 1], [40, n // 40, 1]]), (0, 1, "BCSymmetryPlane", None, [[1, 1, 1], [40, 1, 2]]), (0, 2, "BCFarfield", None, [[1, 1, 2], [40, n // 40, 2]])]
+    return Mesh.structured(volume, zones, spark.createDataFrame(rows, "zone_id int, boco_id int, bc_type string, family string, pt_range array<array<int>>"), options)
+
+
+LAYERS = "cnt as (select count(*) as n from lattice), block as (select pt_id + k * n as node_id, x as x0, y as y0, z + cast(0.5 as double) * k as z0 from lattice, cnt, (select unnest([0, 1]) as k))"
+
+
+@query(
+    FACED + f"surf as (select pt_id, x, y, z from lattice), {EXTENT}, {LAYERS}, sums as (select node_id, sum(w) as w, sum(w * sy * dy) as dy, sum(w * dz) as dz from (select b.node_id, sy, cast(0.02 as double) * s.x as dy, cast(0.1 as double) * s.x * s.x as dz, "
+    + weight_sql("(b.x0 - s.x) ** 2 + (sy * b.y0 - s.y) ** 2 + (b.z0 - s.z) ** 2", "n0.a")
+    + f" as w from block b, surf s join n0 on n0.node = s.pt_id, extent, (select unnest([1, -1]) as sy)) group by node_id) select node_id, {r8s('x0')} as x, {r8s('y0 + dy / w')} as y, {r8s('z0 + dz / w')} as z from block join sums using (node_id)"
+)
+def mesh_warp(spark, sf_dir):
+    """From tables to the warped grid: the default surface of walls, planes found by themselves."""
+    mesh = _block(spark, sf_dir, EXACT)
+    moved = lambda d: d.select("pt_id", "x", (F.col("y") + 0.02 * F.col("x")).alias("y"), (F.col("z") + 0.1 * F.col("x") * F.col("x")).alias("z"))
+    return rounded(mesh.warper().warp(mesh.volume, moved), "x", "y", "z")
+
+
+@query(f"with {LATTICE}, {QUADS} select f.name as family, f.chosen, case when f.chosen then (select count(*) from quads) else 0 end as n_faces from (select 'wing' as name, true as chosen union all select 'sym', false union all select 'far', false) f")
+def mesh_surface_families(spark, sf_dir):
+    mesh = _block(spark, sf_dir, WarpOptions(eval_mode="exact", use_rotations=False, specified_surfaces=("WING ",)))
+    counts = mesh.surface().groupBy("patch_id").agg(F.count(F.lit(1)).alias("n_faces"))
+    named = mesh.patches.select("patch_id", F.lower("family").alias("family"))
+    return named.join(counts, "patch_id", "left").select("family", F.col("n_faces").isNotNull().alias("chosen"), F.coalesce("n_faces", F.lit(0)).cast("long").alias("n_faces"))
+
+
+@query("select " + ", ".join(f"cast({v} as double) as {c}" for c, v in (("px", 0), ("py", 0), ("pz", 0), ("nx", 0), ("ny", 1), ("nz", 0))))
+def mesh_planes(spark, sf_dir):
+    planes = _block(spark, sf_dir, EXACT).planes()
+    rows = [(*(round(v, 8) + 0.0 for v in p), *(round(abs(v), 8) + 0.0 for v in n)) for p, n in planes]
+    return spark.createDataFrame(rows, "px double, py double, pz double, nx double, ny double, nz double").select(*[F.col(c) for c in ("px", "py", "pz", "nx", "ny", "nz")])
+
+
+@query(f"with {LATTICE}, {LAYERS}, map as (select l_orderkey * 10 + l_linenumber as solver_dof, l_partkey * 3 + l_linenumber % 3 as common_dof from lineitem) select solver_dof, case common_dof % 3 when 0 then x0 when 1 then y0 else z0 end as value from map join block on node_id = common_dof // 3")
+def mesh_solver_grid(spark, sf_dir):
+    k = F.col("l_linenumber").cast("long")
+    solver = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + k).alias("solver_dof"), (F.col("l_partkey") * 3 + k % 3).alias("common_dof"))
+    return _block(spark, sf_dir, EXACT).set_external_indices(solver).solver_grid()
+
+
+# several instances over one volume
+
+
+def _multi_mesh(spark, sf_dir) -> multi.MultiMesh:
+    rows = [(0, "Left", 0, 10), (1, "right ", 10, 20), (2, "rest", 20, 25)]
+    instances = spark.createDataFrame(rows, "inst_id int, name string, block_lo int, block_hi int")
+    mesh = multi.MultiMesh(vol(spark, sf_dir), instances, {"LEFT": EXACT, "Right": EXACT})
+    mesh.set_external_indices(_map(spark, sf_dir))
+    p, f = lattice(spark, sf_dir), _blocked_faces(spark, sf_dir)
+    mesh.set_surface(p, f)
+    mesh.set_coordinates(BEND(p))
+    return mesh
+
+
+def _blocked_faces(spark, sf_dir) -> DataFrame:
+    return points.lattice_quads(lattice(spark, sf_dir)).withColumn("block_id", (F.floor(F.col("face_id") / 40) % 25).cast("int"))
+
+
+def _instance_sql(name: str, lo: int) -> str:
+    """CTEs {name}s: nodes of the instance's faces with their areas; {name}w: shares of the weights at its zones' nodes."""
+    return (
+        f"{name}a as (select c.node, sum(f0.area / 4) as a from corners c join f0 using (face_id) where face_id // 40 % 25 >= {lo} and face_id // 40 % 25 < {lo + 10} group by c.node), "
+        f"{name}s as (select l.pt_id, l.x, l.y, l.z, q.a from {name}a q join lattice l on l.pt_id = q.node), {name}c as (select avg(x) as mx, avg(y) as my, avg(z) as mz from {name}s), "
+        f"{name}e as (select max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)) as ldef from {name}s, {name}c), "
+        f"{name}w as (select *, w / sum(w) over (partition by node_id) as share from (select v.node_id, s.pt_id, s.x, {weight_sql('(v.x0 - s.x) ** 2 + (v.y0 - s.y) ** 2 + (v.z0 - s.z) ** 2', 's.a')} as w from vol v, {name}s s, {name}e where zone_id >= {lo} and zone_id < {lo + 10})), "
+    )
+
+
+INSTANCES = FACED + f"{VOL}, " + _instance_sql("l", 0) + _instance_sql("r", 10) + "both_w as (select * from lw union all select * from rw) "
+
+
+@query(INSTANCES + f"select node_id, {r8s('any_value(x0)')} as x, {r8s('any_value(y0)')} as y, {r8s('any_value(z0) + coalesce(sum(share * cast(0.1 as double) * x * x), 0)')} as z from vol left join both_w using (node_id) group by node_id")
+def multi_mesh_warp(spark, sf_dir):
+    return rounded(_multi_mesh(spark, sf_dir).warp(), "x", "y", "z")
+
+
+@query(INSTANCES + f"select pt_id, {r8s('sum(share * y0)', 6)} as dx, {r8s('sum(share * z0)', 6)} as dy, {r8s('sum(share * (x0 + 1))', 6)} as dz from both_w join vol using (node_id) group by pt_id")
+def multi_mesh_vjp(spark, sf_dir):
+    return rounded(_multi_mesh(spark, sf_dir).vjp(_seeds(spark, sf_dir)), "dx", "dy", "dz", digits=6)
+
+
+@query(INSTANCES + f"select node_id, {r8s('coalesce(sum(share * s.y), 0)')} as dx, {r8s('coalesce(sum(share * s.z), 0)')} as dy, {r8s('coalesce(sum(share * s.x * s.y), 0)')} as dz from vol left join both_w using (node_id) left join lattice s using (pt_id) group by node_id")
+def multi_mesh_jvp(spark, sf_dir):
+    return rounded(_multi_mesh(spark, sf_dir).jvp(_lattice_tangent(spark, sf_dir)), "dx", "dy", "dz")
+
+
+@query(f"with {LATTICE}, {QUADS}, {CORNERS} select inst_id, node, row_number() over (partition by inst_id order by node) - 1 as local_id from (select distinct cast(least(2, face_id // 40 % 25 // 10) as int) as inst_id, node from corners)")
+def multi_mesh_local_points(spark, sf_dir):
+    return _multi_mesh(spark, sf_dir).local_points(_blocked_faces(spark, sf_dir))
+
+
+@query(f"with {LATTICE}, {BENT} select pt_id, {r8s('x')} as x, {r8s('y')} as y, {r8s('z')} as z from bent")
+def multi_mesh_surface(spark, sf_dir):
+    return rounded(_multi_mesh(spark, sf_dir).coordinates(), "x", "y", "z")
+
+
+@query(INSTANCES + f", m as (select node_id, any_value(zone_id) as zone_id, any_value(x0) as x, any_value(y0) as y, any_value(z0) + coalesce(sum(share * cast(0.1 as double) * x * x), 0) as z from vol left join both_w using (node_id) group by node_id) select case when zone_id < 10 then 'left' else 'right' end as instance, node_id * 3 + i as dof, {r8s('case i when 0 then x when 1 then y else z end')} as value from m, (select unnest([0, 1, 2]) as i) where zone_id < 20")
+def multi_mesh_warp_grids(spark, sf_dir):
+    grids, _ = _multi_mesh(spark, sf_dir).warp_grids()
+    out = None
+    for name, grid in grids.items():
+        part = grid.select(F.lit(name).alias("instance"), "dof", r8(F.col("value")).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # files
 
 

@@ -15,19 +15,21 @@ def mirror_images(points: DataFrame, planes) -> DataFrame:
     return points.select(*others, F.explode(F.array(*images)).alias("m")).select(*others, "m.image", "m.x", "m.y", "m.z")
 
 
-def patch_normals(corners: DataFrame) -> DataFrame:
-    """(patch_id, nx, ny, nz): the unit mean of unit normals of triangles over each three points that follow one another.
+def patch_normals(faces: DataFrame, points: DataFrame) -> DataFrame:
+    """(patch_id, nx, ny, nz): the unit mean of unit normals of triangles over each three corners that follow one another
+    within a face.
 
-    corners: (patch_id, pos, x, y, z), pos dense within the patch. Points meet their followers in joins, so a patch of
-    any size is spread over tasks.
+    faces: (face_id, patch_id, nodes); points: (pt_id, x, y, z). Faces are groups of their corners, patches fold by
+    partial sums, so a patch of any size is spread over tasks.
     """
-    p = corners.select("patch_id", "pos", F.struct("x", "y", "z").alias("p1"))
-    shift = lambda k, name: corners.select("patch_id", (F.col("pos") - k).alias("pos"), F.struct("x", "y", "z").alias(name))
-    tri = p.join(shift(1, "p2"), ["patch_id", "pos"]).join(shift(2, "p3"), ["patch_id", "pos"])
-    at = lambda n: tuple(F.col(f"{n}.{c}") for c in "xyz")
-    c = cross(minus(at("p3"), at("p2")), minus(at("p1"), at("p2")))
-    size = F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2])
-    units = tri.select("patch_id", *[F.try_divide(v, size).alias(f"n{k}") for v, k in zip(c, "xyz")])
+    corners = faces.select("patch_id", "face_id", F.posexplode("nodes").alias("pos", "pt_id")).join(points.select("pt_id", "x", "y", "z"), "pt_id")
+    grouped = corners.groupBy("patch_id", "face_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("c"))
+    three = grouped.filter(F.size("c") >= 3).select("patch_id", "c", F.explode(F.sequence(F.lit(0), F.size("c") - 3)).alias("j"))
+    at = lambda k: tuple(F.get("c", F.col("j") + k)[x] for x in "xyz")
+    c = cross(minus(at(2), at(1)), minus(at(0), at(1)))
+    sized = three.select("patch_id", *[v.alias(f"c{k}") for v, k in zip(c, "xyz")])
+    size = F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy") + F.col("cz") * F.col("cz"))
+    units = sized.select("patch_id", *[F.try_divide(F.col(f"c{k}"), size).alias(f"n{k}") for k in "xyz"])
     mean = units.groupBy("patch_id").agg(*[F.avg(f"n{k}").alias(f"m{k}") for k in "xyz"])
     length = F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz"))
     return mean.select("patch_id", *[F.try_divide(F.col(f"m{k}"), length).alias(f"n{k}") for k in "xyz"])
@@ -52,14 +54,15 @@ def plane_feet(planes: DataFrame) -> DataFrame:
     return planes.select("plane_id", *[v.alias(f"f{c}") for v, c in zip(foot, "xyz")], "nx", "ny", "nz")
 
 
-def derive_planes(patches: DataFrame, corners: DataFrame, families: DataFrame | None = None, structured: bool = True) -> list:
-    """Planes of the symmetry patches (patch_id, family, bc_type) or of the families named; for structured meshes only."""
+def derive_planes(patches: DataFrame, faces: DataFrame, points: DataFrame, families: DataFrame | None = None, structured: bool = True) -> list:
+    """Planes of the symmetry patches (patch_id, family, bc_type) or of the families named, through the first corner of the
+    first face; for structured meshes only."""
     from driftmesh.operators.patches import family_select, symmetry_filter
 
     if not structured:
         raise ValueError("symmetry planes of an unstructured mesh must be given in the options")
     chosen = symmetry_filter(patches) if families is None else family_select(patches, families)
-    own = corners.join(chosen.select("patch_id"), "patch_id", "left_semi")
-    first = own.groupBy("patch_id").agg(F.min_by(F.struct("x", "y", "z"), "pos").alias("p"))
-    rows = patch_normals(own).join(first, "patch_id").orderBy("patch_id").collect()  # a row a patch
-    return unique_planes([((r["p"]["x"], r["p"]["y"], r["p"]["z"]), (r["nx"], r["ny"], r["nz"])) for r in rows if r["nx"] is not None])
+    own = faces.join(chosen.select("patch_id"), "patch_id", "left_semi")
+    first = own.groupBy("patch_id").agg(F.min_by(F.get("nodes", F.lit(0)), "face_id").alias("pt_id")).join(points, "pt_id")
+    rows = patch_normals(own, points).join(first, "patch_id").orderBy("patch_id").collect()  # a row a patch
+    return unique_planes([((r["x"], r["y"], r["z"]), (r["nx"], r["ny"], r["nz"])) for r in rows if r["nx"] is not None])

@@ -298,15 +298,17 @@ def rotation_matrix(spark, sf_dir):
 
 
 @query(
-    f"with {LATTICE}, p as (select j as patch_id, i as pos, x, y + cast(0.01 as double) * i * i as y, z from lattice), "
-    "t as (select a.patch_id, (c.y - b.y) * (a.z - b.z) - (c.z - b.z) * (a.y - b.y) as cx, (c.z - b.z) * (a.x - b.x) - (c.x - b.x) * (a.z - b.z) as cy, (c.x - b.x) * (a.y - b.y) - (c.y - b.y) * (a.x - b.x) as cz "
-    "from p a join p b on b.patch_id = a.patch_id and b.pos = a.pos + 1 join p c on c.patch_id = a.patch_id and c.pos = a.pos + 2), "
+    f"with {LATTICE}, {QUADS}, p as (select pt_id, x, y + cast(0.01 as double) * i * i as y, z from lattice), "
+    "e as (select q.patch_id, unnest([q.n1, q.n2]) as a, unnest([q.n2, q.n3]) as b, unnest([q.n3, q.n4]) as c from (select *, face_id // 40 % 5 as patch_id from quads) q), "
+    "t as (select e.patch_id, (c.y - b.y) * (a.z - b.z) - (c.z - b.z) * (a.y - b.y) as cx, (c.z - b.z) * (a.x - b.x) - (c.x - b.x) * (a.z - b.z) as cy, (c.x - b.x) * (a.y - b.y) - (c.y - b.y) * (a.x - b.x) as cz "
+    "from e join p a on a.pt_id = e.a join p b on b.pt_id = e.b join p c on c.pt_id = e.c), "
     "u as (select patch_id, avg(cx / sqrt(cx ** 2 + cy ** 2 + cz ** 2)) as x, avg(cy / sqrt(cx ** 2 + cy ** 2 + cz ** 2)) as y, avg(cz / sqrt(cx ** 2 + cy ** 2 + cz ** 2)) as z from t group by patch_id) "
-    f"select patch_id, {r8s('x / sqrt(x ** 2 + y ** 2 + z ** 2)', 6)} as nx, {r8s('y / sqrt(x ** 2 + y ** 2 + z ** 2)', 6)} as ny, {r8s('z / sqrt(x ** 2 + y ** 2 + z ** 2)', 6)} as nz from u"
+    f"select cast(patch_id as int) as patch_id, {r8s('x / sqrt(x ** 2 + y ** 2 + z ** 2)', 6)} as nx, {r8s('y / sqrt(x ** 2 + y ** 2 + z ** 2)', 6)} as ny, {r8s('z / sqrt(x ** 2 + y ** 2 + z ** 2)', 6)} as nz from u"
 )
 def patch_average_normal(spark, sf_dir):
-    p = lattice(spark, sf_dir).select(F.col("j").alias("patch_id"), F.col("i").alias("pos"), "x", (F.col("y") + 0.01 * F.col("i") * F.col("i")).alias("y"), "z")
-    return rounded(symmetry.patch_normals(p), "nx", "ny", "nz", digits=6)
+    p = lattice(spark, sf_dir)
+    faces = points.lattice_quads(p).withColumn("patch_id", (F.floor(F.col("face_id") / 40) % 5).cast("int"))
+    return rounded(symmetry.patch_normals(faces, p.select("pt_id", "x", (F.col("y") + 0.01 * F.col("i") * F.col("i")).alias("y"), "z")), "nx", "ny", "nz", digits=6)
 
 
 def _flat(q: DataFrame) -> DataFrame:

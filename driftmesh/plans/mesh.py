@@ -19,13 +19,13 @@ from driftmesh.plans.warp import Warper
 @dataclass
 class Mesh:
     """volume: (node_id, zone_id, x0, y0, z0) in file order, which is the common ordering; faces: (face_id, patch_id, nodes
-    as node_ids); patches: (patch_id, family, bc_type); lattice: (patch_id, pos, node) of structured patches, or None."""
+    as node_ids); patches: (patch_id, family, bc_type)."""
 
     volume: DataFrame
     faces: DataFrame
     patches: DataFrame
     options: WarpOptions
-    lattice: DataFrame | None = None
+    is_structured: bool = False
     solver_map: DataFrame | None = None
 
     @classmethod
@@ -34,7 +34,7 @@ class Mesh:
             raise ValueError("the zones are unstructured")
         ranges = S.patch_ranges(zones, bocos)
         named = P.default_family(ranges).select("patch_id", "family", "bc_type")
-        return cls(volume, S.patch_faces(ranges), named, options, S.patch_nodes(ranges))
+        return cls(volume, S.patch_faces(ranges), named, options, True)
 
     @classmethod
     def unstructured(cls, volume: DataFrame, zones: DataFrame, streams: DataFrame, bocos: DataFrame, options: WarpOptions, sections: DataFrame | None = None) -> Mesh:
@@ -48,6 +48,27 @@ class Mesh:
         named = dense.select((F.col("__rank") - 1).cast("int").alias("patch_id"), "family", "bc_type")
         return cls(volume, S.boco_faces(bocos, flat, zones), named, options)
 
+    @classmethod
+    def cgns(cls, spark: SparkSession, path: str, options: WarpOptions) -> Mesh:
+        from driftmesh.sources import cgns
+
+        t = cgns.read(spark, path)
+        if S.kind_of(t["zones"]):
+            return cls.structured(t["volume"], t["zones"], t["bocos"], options)
+        sizes = t["streams"].select("zone_id", "sec_id", "elem_type", "elem_start", F.size("conn").alias("n"))
+        decoded = S.decode_elements(t["streams"]).groupBy("zone_id", "sec_id").agg(F.count(F.lit(1)).alias("n_elements"))
+        sections = sizes.join(decoded, ["zone_id", "sec_id"]).withColumn("elem_end", F.col("elem_start") + F.col("n_elements") - 1)
+        return cls.unstructured(t["volume"], t["zones"], t["streams"], t["bocos"], options, sections)
+
+    @classmethod
+    def read(cls, spark: SparkSession, options: WarpOptions) -> Mesh:
+        """The mesh of options.grid_file; its kind is options.file_type."""
+        if options.grid_file is None:
+            raise ValueError("grid_file is not set")
+        if options.file_type == "plot3d":
+            raise ValueError("a PLOT3D grid has no boundary conditions; give its surface to Warper.from_plot3d")
+        return (cls.cgns if options.file_type == "cgns" else cls.openfoam)(spark, options.grid_file, options)
+
     @classmethod
     def openfoam(cls, spark: SparkSession, case: str, options: WarpOptions) -> Mesh:
         """A polyhedral case, cut up or not: parts follow one another, equal nodes of two parts stay apart."""
@@ -85,13 +106,10 @@ class Mesh:
         if self.options.symmetry_planes is not None:
             return tuple(self.options.symmetry_planes)
         families = self._names(self.options.symmetry_surfaces)
-        if self.lattice is None:
-            if families is None and P.symmetry_filter(self.patches).isEmpty():
-                return ()
-            return tuple(derive_planes(self.patches, None, families, structured=False))
-        xyz = self.volume.select(F.col("node_id").alias("node"), *[F.col(f"{c}0").alias(c) for c in "xyz"])
-        corners = self.lattice.join(xyz, "node").select("patch_id", "pos", "x", "y", "z")
-        return tuple(derive_planes(self.patches, corners, families))
+        if not self.is_structured and families is None and P.symmetry_filter(self.patches).isEmpty():
+            return ()
+        points = self.volume.select(F.col("node_id").alias("pt_id"), *[F.col(f"{c}0").alias(c) for c in "xyz"])
+        return tuple(derive_planes(self.patches, self.faces, points, families, self.is_structured))
 
     def surface_points(self) -> DataFrame:
         """(pt_id, x, y, z) of the nodes that the surface's faces use; a point's id is its node's."""

@@ -34,8 +34,3 @@ def write_moved(volume: DataFrame, moved: DataFrame, instances: DataFrame, path:
     held = block_to_instance(volume.withColumn("block_id", F.col("zone_id")), instances).join(F.broadcast(instances.select("inst_id", "name")), "inst_id").select("node_id", F.col("name").alias("instance"))
     placed = overlay(volume, moved).join(volume.select("node_id", "zone_id"), "node_id").join(held, "node_id", "left")
     write_instances(path, placed.withColumn("instance", F.coalesce("instance", F.lit("background"))), mode)
-
-
-def read_cgns(*_args, **_options):
-    """CGNS needs a native library that this engine does not carry: convert to tables with write_mesh."""
-    raise NotImplementedError("CGNS files cannot be read here; write the mesh as tables with driftmesh.sources.mesh_table.write_mesh")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmesh.sources.files import save_bytes
+
 BATCH = 65_536
 
 
@@ -104,9 +106,12 @@ def head(sizes: list[tuple[int, ...]]) -> bytes:
 
 
 def save(volume: DataFrame, zones: DataFrame, path: str) -> None:
-    """Writes a local or mounted file, zone by zone, holding one zone at a time."""
-    rows = zones.select("zone_id", "il", "jl", "kl").orderBy("zone_id").collect()
-    with open(path, "wb") as out:
-        out.write(head([(r["il"], r["jl"], r["kl"]) for r in rows]))
+    """Writes a file zone by zone, holding one zone at a time, on any store that Spark's file systems reach."""
+    rows = zones.select("zone_id", "il", "jl", "kl").orderBy("zone_id").collect()  # a row a zone
+
+    def parts():
+        yield head([(r["il"], r["jl"], r["kl"]) for r in rows])
         for r in write_volume(volume, zones).orderBy("zone_id").toLocalIterator():
-            out.write(bytes(r["record"]))
+            yield bytes(r["record"])
+
+    save_bytes(volume.sparkSession, path, parts())

@@ -92,8 +92,6 @@ def test_native_tables_and_stub(spark, tmp_path):
     assert mesh_table.read_mesh(spark, str(tmp_path / "m"), "volume").count() == 1
     with pytest.raises(ValueError):
         mesh_table.write_mesh(str(tmp_path / "n"), nosuch=df)
-    with pytest.raises(NotImplementedError):
-        mesh_table.read_cgns("x.cgns")
 
 
 def test_restart_cache_is_used_verified_and_rebuilt(spark, tmp_path):

@@ -173,12 +173,61 @@ def test_patch_selection_and_errors(spark):
 
 
 def test_symmetry_planes_from_patches(spark):
-    c = spark.createDataFrame([(k, i, float(np.cos(i)), float(np.sin(i)) * (-1) ** k, 2.0) for k in (0, 1) for i in range(6)], "patch_id int, pos long, x double, y double, z double")
+    pts = spark.createDataFrame([(10 * k + i, float(np.cos(i)), float(np.sin(i)) * (-1) ** k, 2.0) for k in (0, 1) for i in range(6)], "pt_id long, x double, y double, z double")
+    faces = spark.createDataFrame([(k, k, [10 * k + i for i in range(6)]) for k in (0, 1)], "face_id long, patch_id int, nodes array<long>")
     b = spark.createDataFrame([(0, "s", "BCSymmetryPlane"), (1, "s", "BCSymmetryPlane")], "patch_id int, family string, bc_type string")
-    planes = symmetry.derive_planes(b, c)
+    planes = symmetry.derive_planes(b, faces, pts)
     assert len(planes) == 1 and np.allclose(np.abs(planes[0][1]), [0, 0, 1]) and np.allclose(planes[0][0], [0, 0, 2])
     with pytest.raises(ValueError):
-        symmetry.derive_planes(b, c, structured=False)
+        symmetry.derive_planes(b, faces, pts, structured=False)
+
+
+def test_intervals_of_any_length_and_parts_with_gaps(spark):
+    lengths = [1, 2, 3, 4, 5, 7, 8, 1000, 10**12]
+    cut = [(k, 5 * k, 5 * k + n) for k, n in enumerate(lengths)] + [(99, 7, 7)]
+    keys = sorted({x for _, lo, hi in cut for x in (lo - 1, lo, hi - 1, hi)} | {10**11})
+    got = patches.interval_join(spark.createDataFrame([(x,) for x in keys], "key long"), "key", spark.createDataFrame(cut, "id int, lo long, hi long"), "lo", "hi")
+    assert sorted((r.key, r.id) for r in got.collect()) == sorted((x, k) for x in keys for k, lo, hi in cut if lo <= x < hi)
+    bins = spark.createDataFrame([(0, 0), (1, 0), (1_000_000, 0), (1_000_001, 1), (10**12, 1), (10**13, 0)], "node_id long, part_id int")
+    for buckets in (1, 3, 64):
+        assert sorted(tuple(r) for r in transfer.bin_changes(bins, buckets).collect()) == [(0, 0), (1_000_001, 1), (10**13, 0)]
+
+
+def test_merging_near_and_far_from_the_origin(spark):
+    from driftmesh.plans.nodal import merge_points
+
+    near = np.array([[1.05, 1.05, 1.05], [1.95, 1.95, 1.05], [1.05, 1.05, 1.55]])
+    reps, link = merge_points(near, 1.0)
+    assert reps.tolist() == [0, 1] and link[0] == link[2] != link[1]
+    far = [(k, 3e7 + k // 2, -5e8, 1e-9 * (k // 2)) for k in range(40)]
+    got = {r.pt_id: r.rep_id for r in points.point_merge(spark.createDataFrame(far, "pt_id long, x double, y double, z double")).collect()}
+    assert got == {k: k - k % 2 for k in range(40)}
+
+
+def test_multi_mesh_in_order_and_written_by_instance(spark, mesh, tmp_path):
+    from driftmesh.sources import mesh_table
+
+    p, f, v = mesh
+    zoned = v.withColumn("zone_id", (F.col("node_id") % 3).cast("int"))
+    instances = spark.createDataFrame([(0, "A", 0, 1), (1, "b ", 1, 2)], "inst_id int, name string, block_lo int, block_hi int")
+    faces = f.withColumn("block_id", F.lit(0))
+    m = multi.MultiMesh(zoned, instances, {"a": WarpOptions(eval_mode="exact", use_rotations=False)})
+    with pytest.raises(NameError):
+        m.set_surface(p, faces)
+    m.set_external_indices(spark.range(9).select(F.col("id").alias("solver_dof"), F.col("id").alias("common_dof")))
+    m.set_surface(p, faces)
+    m.set_coordinates(p.withColumn("z", F.col("z") + 0.5))
+    moved = m.warp()
+    d = out(moved) - start(v)
+    zone = zoned.toPandas().sort_values("node_id").zone_id.to_numpy()
+    assert np.allclose(d[zone == 0], [0, 0, 0.5]) and np.allclose(d[zone != 0], 0)
+    grids, dofs = m.warp_grids()
+    assert list(grids) == ["a"] and grids["a"].count() == dofs == 3 * int((zone == 0).sum())
+    assert m.solver_grid().count() == 9
+    mesh_table.write_moved(zoned, moved, instances, f"{tmp_path}/w")
+    assert {x.name for x in tmp_path.glob("w/instance=*")} == {"instance=A", "instance=b%20", "instance=background"} or {r.instance.strip() for r in spark.read.parquet(f"{tmp_path}/w").select("instance").distinct().collect()} == {"A", "b", "background"}
+    with pytest.raises(ValueError, match="no instance"):
+        multi.MultiMesh(zoned, instances, {"c": WarpOptions()})
 
 
 def test_dofs_round_trip_and_scatter(spark):

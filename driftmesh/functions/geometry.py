@@ -48,10 +48,23 @@ def distance_to_box(p: Vector, low: Vector, high: Vector) -> Column:
     return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
 
 
+def power(q: Column, e: float) -> Column:
+    """q to the e; small whole exponents by products, whose shared parts are computed once."""
+    if e != int(e) or not 1 <= e <= 16:
+        return F.pow(q, F.lit(e))
+    out, base, n = None, q, int(e)
+    while n:
+        if n & 1:
+            out = base if out is None else out * base
+        n >>= 1
+        base = base * base
+    return out
+
+
 def idw_weight(area: Column, d2: Column, ldef, a_exp: float, b_exp: float, alpha: float, eps: float = EPS_KERNEL) -> Column:
     """area * (q^a + alpha^b q^b), q = ldef over the distance."""
     ratio = ldef / F.sqrt(d2 + F.lit(eps))
-    return area * (F.pow(ratio, F.lit(a_exp)) + F.lit(alpha**b_exp) * F.pow(ratio, F.lit(b_exp)))
+    return area * (power(ratio, a_exp) + F.lit(alpha**b_exp) * power(ratio, b_exp))
 
 
 def rotation_matrix(n0: Vector, n1: Vector) -> list[Column]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1082,5 +1081,3 @@ def plot3d_roundtrip(spark, sf_dir):
     names = spark.createDataFrame([(i, int(r["zone_id"])) for i, r in enumerate(zones.orderBy("zone_id").collect())], "place int, zone int")
     return plot3d.decode(file).join(F.broadcast(names), F.col("zone_id") == F.col("place")).select(F.col("zone").alias("zone_id"), "local", "x0", "y0", "z0")
 
-
-assert math.isclose(sum(n * n for n in NORMAL), 1.0)

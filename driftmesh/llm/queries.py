@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmesh.llm import pii
@@ -78,6 +78,15 @@ select doc_id, k as keep_id, cast(g as bigint) as group_size, doc_id = k as kept
 """
 
 
+def _counts(kinds: tuple[str, ...]) -> list[Column]:
+    """n_<kind> of each kind; a second argument of the condition, even one with a default, would be the place in spans."""
+
+    def of(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+
+    return [of(k).alias(f"n_{name}") for k, name in enumerate(kinds)]
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
@@ -100,7 +109,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = _counts(KINDS[:3])
     base = span_text(F.filter("spans", lambda s: s["kind"] < 3))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 

@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((0, start, last))
         at = text.find("@", max(at + 1, last))
     if "." in text:
-        out += [(1, *m.span()) for m in _ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in _ip.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split(".")))]
     for m in _card.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _not_digits.sub("", m[0])

@@ -10,8 +10,10 @@ on large tables), and as two fingerprints within the radius cannot differ by mor
 within a pair, groups by the counts of quarters are skipped by the same rule. `similar_components` links documents whose
 sets of shingles have a Jaccard similarity of at least `similarity`: a fingerprint of 128 bits, over distinct shingles,
 is compared within a radius that covers that similarity; sets so alike have sizes within the similarity of each other, so
-cells are classes of size, and only neighbouring classes meet (bit counts prune nothing at such a radius); of each
-forest, which prefers the least distances, every edge is then verified on the whole sets.
+cells are classes of size, and only neighbouring classes meet (bit counts prune nothing at such a radius). A link is a
+pair within the radius whose whole sets have the similarity. Of each forest, which prefers the least distances, every
+edge is verified on the whole sets; where one fails, a link beside it may join what the forest does not, so all pairs
+within the radius whose ends the verified edges leave apart are then verified as well: no link is lost.
 
 Null and empty texts, and texts of white space, have fingerprint zero, linked like any other. Rows that repeat an id are
 returned each; a null id is never a component's id while another is in it. Other columns, whatever their names, are not
@@ -235,15 +237,19 @@ def wide_print(rows: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p0, p1, size): the fingerprint over distinct shingles and their number."""
+    """(doc_id, p0, p1, size, whole): the fingerprint over distinct shingles, their number, and a hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in slices(batches):
             found = [shingle_rows(t, shingle) for t in batch.column(1).to_pylist()]
             prints = np.array([wide_print(f) for f in found], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(f) for f in found], pa.int32())], names=["doc_id", "p0", "p1", "size"])
+            whole = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(f) for f in found], pa.int32()), pa.array(whole)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "p0", "p1", "size", "whole"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, p0 long, p1 long, size int")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, p0 long, p1 long, size int, whole long")
 
 
 def spanning_forest(u: np.ndarray, v: np.ndarray, distance: np.ndarray, nodes: int) -> np.ndarray:
@@ -266,28 +272,19 @@ def spanning_forest(u: np.ndarray, v: np.ndarray, distance: np.ndarray, nodes: i
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
-def similar_forest(a: tuple, b: tuple | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (of ids) of a spanning forest of least distances over the links between a and b, or within a where b is
-    None. Each is (ids, p0, p1, sizes). Links: within the radius, and sizes within the similarity of each other."""
-
-    def by_size(tile):
-        order = np.argsort(tile[3], kind="stable")
-        return [np.ascontiguousarray(c[order]) for c in tile]
+def _by_size(tile: tuple) -> list[np.ndarray]:
+    order = np.argsort(tile[3], kind="stable")
+    return [np.ascontiguousarray(c[order]) for c in tile]
 
-    ids, p0, p1, sizes = by_size(a)
-    other_ids, q0, q1, other_sizes = (ids, p0, p1, sizes) if b is None else by_size(b)
-    shift = 0 if b is None else len(ids)
-    every = ids if b is None else np.concatenate([ids, other_ids])
-    held, count = [np.zeros((3, 0), np.int64)], 0
-
-    def reduced():
-        u, v, d = np.concatenate(held, axis=1)
-        keep = spanning_forest(u, v, d, len(every))
-        return [np.stack([u[keep], v[keep], d[keep]])]
 
-    step = max(1, BLOCK // max(1, len(other_ids)))
-    for at in range(0, len(ids), step):
-        stop = min(at + step, len(ids))
+def _within(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in a, places in b, distances) of all links between a and b, or within a where b is None, some at a time.
+    Both are (ids, p0, p1, sizes, ...) by size. Links: within the radius, and sizes within the similarity of each other."""
+    _, p0, p1, sizes, *_ = a
+    _, q0, q1, other_sizes, *_ = a if b is None else b
+    step = max(1, BLOCK // max(1, len(q0)))
+    for at in range(0, len(p0), step):
+        stop = min(at + step, len(p0))
         lo = max(at + 1 if b is None else 0, int(np.searchsorted(other_sizes, similarity * sizes[at], "left")))
         hi = int(np.searchsorted(other_sizes, sizes[stop - 1] / similarity + 1e-9, "right"))
         if lo >= hi:
@@ -301,8 +298,25 @@ def similar_forest(a: tuple, b: tuple | None, radius: int, similarity: float) ->
         real = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
         if b is None:
             real &= i < j
-        held.append(np.stack([i[real], j[real] + shift, d[real]]))
-        count += int(real.sum())
+        yield i[real], j[real], d[real]
+
+
+def similar_forest(a: tuple, b: tuple | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (of ids) of a spanning forest of least distances over the links between a and b, or within a where b is
+    None. Each is (ids, p0, p1, sizes)."""
+    a, b = _by_size(a), None if b is None else _by_size(b)
+    shift = 0 if b is None else len(a[0])
+    every = a[0] if b is None else np.concatenate([a[0], b[0]])
+    held, count = [np.zeros((3, 0), np.int64)], 0
+
+    def reduced():
+        u, v, d = np.concatenate(held, axis=1)
+        keep = spanning_forest(u, v, d, len(every))
+        return [np.stack([u[keep], v[keep], d[keep]])]
+
+    for i, j, d in _within(a, b, radius, similarity):
+        held.append(np.stack([i, j + shift, d]))
+        count += len(i)
         if count > HELD_LINKS:
             held = reduced()
             count = held[0].shape[1]
@@ -310,12 +324,24 @@ def similar_forest(a: tuple, b: tuple | None, radius: int, similarity: float) ->
     return every[u], every[v]
 
 
+def open_pairs(a: tuple, b: tuple | None, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links (of ids) between a and b, or within a, whose ends have different roots, some at a time. Each is (ids, p0,
+    p1, sizes, roots)."""
+    a, b = _by_size(a), None if b is None else _by_size(b)
+    other = a if b is None else b
+    for i, j, _ in _within(a, b, radius, similarity):
+        apart = a[4][i] != other[4][j]
+        yield a[0][i[apart]], other[0][j[apart]]
+
+
 def similar_candidates(prints: DataFrame, similarity: float, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v): forests of links between distinct (id, p0, p1, size), pair of tiles by pair of tiles."""
+    """(u, v): forests of links between distinct (id, p0, p1, size), pair of tiles by pair of tiles; where prints have a
+    root, all links between different roots instead."""
+    rooted = "root" in prints.columns
     classed = prints.withColumn("cell", F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9)).otherwise(-1).cast("int"))
     cells = classed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("parts"))  # a cell per class of size
     dealt = classed.join(F.broadcast(cells), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = F.array_sort(F.collect_list(F.struct("id", "p0", "p1", "size")))
+    rows = F.array_sort(F.collect_list(F.struct("id", "p0", "p1", "size", *["root"] * rooted)))
     tiles = materialize(dealt.groupBy("cell", "part").agg(rows.alias("rows"), F.first("parts").alias("parts")), "tiles")
     left = tiles.select(F.col("cell").alias("ac"), F.col("part").alias("ap"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
     pairs = left.join(F.broadcast(cells), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
@@ -326,14 +352,15 @@ def similar_candidates(prints: DataFrame, similarity: float, radius: int, tile_r
     def tile(cell) -> tuple:
         flat = cell.values.flatten()
         p = [np.ascontiguousarray(c.to_numpy()) for c in flat]
-        return p[0], p[1].view(np.uint64), p[2].view(np.uint64), p[3].astype(np.float64)
+        return p[0], p[1].view(np.uint64), p[2].view(np.uint64), p[3].astype(np.float64), *p[4:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                u, v = similar_forest(tile(batch.column(1)[k]), None if batch.column(0)[k].as_py() else tile(batch.column(2)[k]), radius, similarity)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                sides = tile(batch.column(1)[k]), None if batch.column(0)[k].as_py() else tile(batch.column(2)[k])
+                for u, v in open_pairs(*sides, radius, similarity) if rooted else [similar_forest(*sides, radius, similarity)]:
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return with_b.select("same", "a", "b").mapInArrow(run, "u long, v long")
 
@@ -363,12 +390,17 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     Ids are nodes: rows without an id have no links, and rows that repeat one are linked if any of them is.
     """
     rows = materialize(sketches(docs.filter(F.col(id_col).isNotNull()), shingle, id_col, text_col), "sketches")
-    # equal fingerprints of sets of one size stand for each other
-    keyed = rows.select("doc_id", F.struct("p0", "p1", "size").alias("key"))
+    # equal sets stand for each other
+    keyed = rows.select("doc_id", F.struct("p0", "p1", "size", "whole").alias("key"))
     distinct = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
     equal = look_up(keyed, materialize(distinct.filter("n > 1").select("key", "id"), "equal"), "key").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    found = similar_candidates(distinct.select("id", "key.p0", "key.p1", "key.size"), similarity, radius, tile_rows)
-    candidates = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct(), "candidates")
+    prints = distinct.select("id", "key.p0", "key.p1", "key.size")
+
+    def pairs(prints: DataFrame) -> DataFrame:
+        found = similar_candidates(prints, similarity, radius, tile_rows)
+        return materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct(), "candidates")
+
+    candidates = pairs(prints)
     name = fresh("met", docs)
     ends = materialize(candidates.select(F.explode(F.array("u", "v")).alias(name)).distinct(), "ends")
     asked = docs.join(small_side(ends), F.col(id_col).cast("long") == F.col(name), "left_semi")
@@ -379,7 +411,15 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     sets = materialize(_texts(asked, id_col, text_col).mapInArrow(run, "doc_id long, shingles array<long>"), "sets")
-    links = materialize(verified(candidates, sets, similarity).unionByName(equal), "links")
+    good = materialize(verified(candidates, sets, similarity), "good")
+    links = good
+    if good.count() < candidates.count():
+        # every node of a link is in an edge of some forest, so none but the ends can be in a link that is still missing
+        roots = materialize(connected_components(good).select(F.col("node").alias("id"), "root"), "roots")
+        asked = look_up(look_up(prints, ends.withColumnRenamed(name, "id"), "id"), roots, "id", "left")
+        more = pairs(asked.withColumn("root", F.coalesce("root", "id")))
+        links = good.unionByName(materialize(verified(more, sets, similarity), "more"))
+    links = materialize(links.unionByName(equal), "links")
     for done in (distinct, candidates, ends, sets):
         discard(done)
     return connected_components(links)

@@ -222,3 +222,20 @@ def test_quarters_as_cells_lose_no_link(spark):
     frame = spark.createDataFrame([(s,) for s in signed], "print long")
     roots = [{r.node: r.root for r in connected_components(S.links(frame, 3, 5, parts)).collect()} for parts in (2, 4)]
     assert roots[0] == roots[1]
+
+
+def test_links_beside_a_refuted_edge_of_the_forest_are_kept(docs_of):
+    rng = random.Random(11)
+    sketch = lambda t: (lambda rows: (S.wide_print(rows), set(map(bytes, rows))))(S.shingle_rows(t, 5))
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[0], b[0]))
+    alike = lambda a, b: len(a[1] & b[1]) / len(a[1] | b[1])
+    texts = []
+    while len(texts) < 9:  # x and y are linked, w and y too; w is nearer to x than y is, but not similar to it
+        x = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        y = [*x[:20], "other", *x[21:]]
+        w = [*y[:40], "third", *y[41:]]
+        a, b, c = (sketch(" ".join(t)) for t in (x, y, w))
+        if apart(a, c) < apart(a, b) <= S.WIDE_RADIUS and apart(b, c) < apart(a, b) and alike(a, c) < 0.8 <= min(alike(a, b), alike(b, c)):
+            texts += [" ".join(t) for t in (x, y, w)]
+    got = {r.node: r.root for r in S.similar_components(docs_of(texts)).collect()}
+    assert got == {i: i // 3 * 3 for i in range(9)}

@@ -11,8 +11,9 @@ class ids follow their counts over all training texts (taken from the counts of
 a fit in numpy on at most `sample_rows` training rows; from there each shard of all training rows fits an epoch of its own
 (more where it is small), and the weights are averaged, an id's by its occurrences, so every training row counts whatever
 their number. A word's probability mixes the product over its ids with its smoothed share (c+1)/(N+V+1), as in the base;
-the weight of the network goes by the size of c, two dozen numbers, which the sample gives with each word left out of its
-own count. Windows overlap: each has `context` ids that only give context and `stride` ids that are scored, so every id is
+the weight of the network goes by the size of c, two dozen numbers, fitted to all tokens of all training rows with each
+word left out of its own count (tokens are counted by how the network's probability compares with the share, in steps of
+two hundredths of its logarithm). Windows overlap: each has `context` ids that only give context and `stride` ids that are scored, so every id is
 scored once, in batches with a causal mask. Both softmaxes are taken from their maximum.
 
 Texts are lower-cased A-Z; words part at ASCII white space; null counts as empty, whose only token is the end. Rows whose
@@ -61,6 +62,9 @@ NO_IDS = -9.0
 MARK = 0xFFFF
 #: Sizes of counts by which the network's weight in the mixture goes: powers of two up to this.
 COUNT_SIZES = 24
+#: Steps to one, and the end either way, of the natural logs by which tokens are counted when the mixture is fitted.
+RATIO_STEPS, RATIO_END = 50, 60
+RATIOS = 2 * RATIO_STEPS * RATIO_END
 #: Steps to each doubling of counts when head words are chosen.
 LEVELS = 8
 
@@ -367,16 +371,59 @@ def score_texts(model: AttentionModel, head_counts: np.ndarray, norm: float, str
     return lengths, n_known, base, scores, rest
 
 
-def fit_mix(of_ids: np.ndarray, counts: np.ndarray, norm: float) -> np.ndarray:
-    """The network's weight by the size of a count, by expectation maximisation over the sample's tokens, each left out
-    of its own count."""
+#: The least probability of the network that is told apart from zero.
+LEAST = 1e-300
+
+
+def ratio_places(of_ids: np.ndarray, counts: np.ndarray, norm: float) -> np.ndarray:
+    """Of each token its place in a table (COUNT_SIZES x RATIOS): the size of its count, from which it is left out, and the
+    log of the network's probability over its share."""
     left = np.maximum(counts - 1, 0)
-    size, share, mix = count_size(left), (left + 1) / norm, np.full(COUNT_SIZES, 0.5)
-    tokens = np.bincount(size, minlength=COUNT_SIZES)
+    ratio = np.floor(np.log(np.maximum(of_ids, LEAST) * norm / (left + 1)) * RATIO_STEPS) + RATIOS // 2
+    return count_size(left).astype(np.int64) * RATIOS + np.clip(ratio, 0, RATIOS - 1).astype(np.int64)
+
+
+def fit_mix(tokens: np.ndarray) -> np.ndarray:
+    """The network's weight by the size of a count, by expectation maximisation over tokens counted by ratio_places()."""
+    ratio = np.exp((np.arange(RATIOS) + 0.5) / RATIO_STEPS - RATIO_END)
+    tokens, mix = tokens.reshape(COUNT_SIZES, RATIOS), np.full((COUNT_SIZES, 1), 0.5)
     for _ in range(30):
-        part = mix[size] * of_ids
-        mix = (np.bincount(size, part / (part + (1 - mix[size]) * share), minlength=COUNT_SIZES) + 0.5) / (tokens + 1)
-    return np.clip(mix, 0.02, 0.98)
+        part = mix * ratio / (mix * ratio + 1 - mix)
+        mix = ((tokens * part).sum(axis=1, keepdims=True) + 0.5) / (tokens.sum(axis=1, keepdims=True) + 1)
+    return np.clip(mix[:, 0], 0.02, 0.98)
+
+
+def ratio_table(encoded: DataFrame, others: DataFrame, model: AttentionModel, head_counts: np.ndarray, norm: float) -> np.ndarray:
+    """The counts that fit_mix() takes, over all tokens of (stream, places, rare); others: (word, c) of words that are no
+    head words. A count a place reaches the driver."""
+    shared = encoded.sparkSession.sparkContext.broadcast((model, head_counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, head_counts = shared.value
+        table = np.zeros(COUNT_SIZES * RATIOS, np.int64)
+        for batch in slices(batches, 64):
+            of_ids = word_probs(model, batch.column(0).to_pylist())[0]
+            at = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32)
+            head = at > 0
+            table += np.bincount(ratio_places(of_ids[head], head_counts[at[head]], norm), minlength=len(table))
+            rest = of_ids[~head]
+            if len(rest):
+                nothing = pa.nulls(len(rest), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array([w for words in batch.column(2).to_pylist() for w in words], pa.binary()), pa.array(rest)], names=names)
+        found = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(table[found]), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.float64())], names=names)
+
+    names = ["place", "n", "word", "p"]
+    met = materialize(encoded.select("stream", "places", "rare").mapInArrow(run, "place long, n long, word binary, p double"), "ratios")
+    left = F.greatest(F.col("c") - 1, F.lit(0))
+    size = F.least(F.length(F.bin(left + 1)) - 1, F.lit(COUNT_SIZES - 1)).cast("long")
+    ratio = F.floor(F.ln(F.greatest(F.col("p"), F.lit(LEAST)) * F.lit(float(norm)) / (left + 1)) * RATIO_STEPS) + RATIOS // 2
+    rare = met.filter("word is not null").join(others, "word").select((size * RATIOS + F.greatest(F.lit(0), F.least(F.lit(RATIOS - 1), ratio))).alias("place"), F.lit(1).cast("long").alias("n"))
+    counted = met.filter("word is null").select("place", "n").unionByName(rare).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(COUNT_SIZES * RATIOS, np.int64)
+    table[counted["place"].to_numpy()] = counted["n"].to_numpy()
+    discard(met)
+    return table
 
 
 def _ids(raw: bytes) -> np.ndarray:
@@ -499,7 +546,7 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
             row += batch.num_rows
 
     encoded = materialize(rows.mapInArrow(encode, _ENCODED), "encoded")
-    training = encoded.filter(~F.col("held_out")).select("row", "stream")
+    training = encoded.filter(~F.col("held_out"))
     n_rows = training.count()
     place = common_places(totals)
 
@@ -520,12 +567,11 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
             table[i, at.values.to_numpy()] = times.values.to_numpy()
 
     chosen = encoded.filter(~F.col("held_out")).select("doc_id", "row").orderBy(F.xxhash64("doc_id"), "row").limit(sample_rows).select("row")
-    sample = encoded.join(F.broadcast(chosen), "row", "left_semi").select("stream", "places", "rare").toArrow().to_pylist()
-    sample.sort(key=lambda r: r["stream"])
-    model = train_model([_ids(r["stream"]) for r in sample], totals, table=table)
+    sample = sorted(encoded.join(F.broadcast(chosen), "row", "left_semi").select("stream").toArrow()["stream"].to_pylist())
+    model = train_model([_ids(s) for s in sample], totals, table=table)
     if n_rows:
-        model.weights = averaged_weights(training, model, -(-n_rows // SHARD_ROWS))
-        model.mix = _sample_mix(sample, counts, model, head_counts, norm)
+        model.weights = averaged_weights(training.select("row", "stream"), model, -(-n_rows // SHARD_ROWS))
+        model.mix = fit_mix(ratio_table(training, counts.filter(level < least), model, head_counts, norm - 1))
     shared = spark.sparkContext.broadcast((model, head_counts))  # the tokenizer's ids and head_words bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,22 +594,3 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"),
     )
-
-
-def _sample_mix(sample: list[dict], counts: DataFrame, model: AttentionModel, head_counts: np.ndarray, norm: float) -> np.ndarray:
-    """The mixture's weights from the sample's tokens with their true counts."""
-    rare = sorted({w for r in sample for w in r["rare"]})
-    of_rare: dict[bytes, int] = {}
-    if rare:
-        words = counts.sparkSession.createDataFrame([(bytearray(w),) for w in rare], "word binary")
-        of_rare = {bytes(r["word"]): r["c"] for r in counts.join(F.broadcast(words), "word").collect()}
-    probs, times = [], []
-    for at in range(0, len(sample), 64):
-        part = sample[at : at + 64]
-        probs.append(word_probs(model, [r["stream"] for r in part])[0])
-        for r in part:
-            place = np.frombuffer(r["places"], np.uint32)
-            found = head_counts[place]
-            found[place == 0] = [of_rare.get(w, 0) for w in r["rare"]]
-            times.append(found)
-    return fit_mix(np.concatenate(probs), np.concatenate(times), norm - 1)

@@ -327,3 +327,15 @@ def test_pipeline_on_empty_tables(spark, labelled, docs_of, tmp_path):
     docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
     labelled[1].write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_lm_mixture_is_fitted_to_all_training_tokens(docs_of, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60)))) for i in range(200)]
+    fit, seen = lm_scoring.fit_mix, []
+    monkeypatch.setattr(lm_scoring, "fit_mix", lambda tokens, *rest: seen.append(tokens) or fit(tokens, *rest))
+    for head in (3, 300_000):
+        got = lm_scoring.lm_scores(docs_of(rows), crc_of_id() % 7 == 2, WORD, head_words=head, sample_rows=5).collect()
+        assert seen[-1].sum() == got[0].train_tokens
+    of_count = [t.reshape(lm_scoring.COUNT_SIZES, -1).sum(axis=1).tolist() for t in seen]
+    assert of_count[0] == of_count[1] and sum(map(bool, of_count[0])) > 3

@@ -1,5 +1,7 @@
 """Numeric kernels against each other, finite differences and plain loops; no Spark."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -107,3 +109,14 @@ def test_mirrors_undo_themselves():
         back = K.mirror_vectors(K.mirror_vectors(r, planes, k), planes, k, reverse=True)
         assert np.allclose(back, r)
     assert np.allclose(K.mirror_points(r, planes, 1)[:, 0], 0.4 - r[:, 0])
+
+
+def test_merge_of_points_that_share_a_coordinate_takes_no_pairs_of_them():
+    i = np.arange(240_000)
+    p = np.stack([i % 4 / 4, i // 4 / 40, i % 20_000 / 200_000], axis=1)
+    p[1] = p[0] + 4e-13
+    p[2] = p[1] + 4e-13
+    begun = time.perf_counter()
+    rep, link = merge_points(p)
+    assert time.perf_counter() - begun < 15  # pairs of one x: 7.2e9
+    assert len(rep) == len(p) - 2 and link[0] == link[1] == link[2] and rep[link[0]] == 0

@@ -236,3 +236,16 @@ def test_dofs_round_trip_and_scatter(spark):
     m = spark.createDataFrame([(0, 5), (1, 5), (2, 6)], "solver_dof long, common_dof long")
     got = transfer.solver_to_warp(m, spark.createDataFrame([(0, 1.0), (1, 2.0)], "solver_dof long, value double"), spark.createDataFrame([(5,), (6,), (7,)], "common_dof long"))
     assert {r.common_dof: r.value for r in got.collect()} == {5: 3.0, 6: 0.0, 7: 0.0}
+
+
+def test_errors_of_a_large_tree_are_dealt_over_tasks(spark, monkeypatch):
+    from driftmesh.plans import catalogue, warp
+
+    one = catalogue._lattice_warper(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(warp, "SMALL_TREE", 0)
+    many = catalogue._lattice_warper(spark, "/root/testdata/sf0.001")
+    assert not many.tree.err.any()  # sizes of nodes need none
+    sizes = {(r.level, r.n) for r in many.tree_sizes().collect()}
+    assert not many.tree.err.any() and sizes == {(r.level, r.n) for r in one.tree_frame().select("level", "n").collect()}
+    many.tree_frame()
+    assert many.tree.err.any() and np.allclose(many.tree.err, one.tree.err, rtol=1e-12)

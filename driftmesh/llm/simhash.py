@@ -12,8 +12,9 @@ sets of shingles have a Jaccard similarity of at least `similarity`: a fingerpri
 is compared within a radius that covers that similarity; sets so alike have sizes within the similarity of each other, so
 cells are classes of size, and only neighbouring classes meet (bit counts prune nothing at such a radius). A link is a
 pair within the radius whose whole sets have the similarity. Of each forest, which prefers the least distances, every
-edge is verified on the whole sets; where one fails, a link beside it may join what the forest does not, so all pairs
-within the radius whose ends the verified edges leave apart are then verified as well: no link is lost.
+edge is verified on the whole sets; where one fails, a link beside it may join what the forest does not, so in the
+components that refuted edges split, all pairs within the radius whose ends are still apart are verified as well, in
+tiles that hold the sets and return only the edges that join: no link is lost, and no pair becomes a row.
 
 Null and empty texts, and texts of white space, have fingerprint zero, linked like any other. Rows that repeat an id are
 returned each; a null id is never a component's id while another is in it. Other columns, whatever their names, are not
@@ -45,6 +46,8 @@ MANY_PRINTS = 3_000_000
 HASHED = 65_536
 #: Bits in which the 128-bit fingerprints of sets of similarity 0.8 may differ; the mean is 19.4, the deviation 4.1.
 WIDE_RADIUS = 28
+#: Shingles of the sets that a tile holds, about.
+TILE_SHINGLES = 1 << 19
 #: Edges of a node from which its set of shingles is sent in SALTS copies.
 HUB_EDGES = 256
 
@@ -324,24 +327,52 @@ def similar_forest(a: tuple, b: tuple | None, radius: int, similarity: float) ->
     return every[u], every[v]
 
 
-def open_pairs(a: tuple, b: tuple | None, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links (of ids) between a and b, or within a, whose ends have different roots, some at a time. Each is (ids, p0,
-    p1, sizes, roots)."""
-    a, b = _by_size(a), None if b is None else _by_size(b)
-    other = a if b is None else b
-    for i, j, _ in _within(a, b, radius, similarity):
-        apart = a[4][i] != other[4][j]
-        yield a[0][i[apart]], other[0][j[apart]]
+def joining_links(a: tuple, b: tuple | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (of ids) that join, beside the roots, all between a and b, or within a, whose fingerprints are within the
+    radius and whose whole sets have the similarity: fewer than there are roots. Each is (ids, p0, p1, sizes, roots, sets).
+
+    A pair whose ends are joined already is passed over; every other one is verified here, so none of them is a row.
+    """
+    sides = [(*side[:4], side[4], np.arange(len(side[0]))) for side in ([a] if b is None else [a, b])]
+    sides = [_by_size(side) for side in sides]
+    every, sizes, roots = (np.concatenate([side[k] for side in sides]) for k in (0, 3, 4))
+    shift = 0 if b is None else len(a[0])
+    sets = [whole[5][i] for whole, side in zip([a] if b is None else [a, b], sides) for i in side[5]]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    stops = np.cumsum([len(x) for x in sets])
+    starts = stops - [len(x) for x in sets]
+    labels, met = np.unique(roots, return_inverse=True)[1].ravel(), np.zeros(len(codes), bool)
+    out_u, out_v = [], []
+    for i, j, _ in _within(sides[0], None if b is None else sides[1], radius, similarity):
+        j = j + shift
+        apart = labels[i] != labels[j]
+        i, j = i[apart], j[apart]
+        for u, theirs in zip(np.unique(i), np.split(j, np.flatnonzero(np.diff(i)) + 1)):
+            theirs = theirs[labels[theirs] != labels[u]]
+            if not len(theirs):
+                continue
+            met[codes[starts[u] : stops[u]]] = True
+            ends = np.cumsum(stops[theirs] - starts[theirs])
+            firsts = ends - (stops[theirs] - starts[theirs])
+            sums = np.concatenate([[0], np.cumsum(met[codes[np.repeat(starts[theirs] - firsts, stops[theirs] - starts[theirs]) + np.arange(ends[-1])]])])
+            met[codes[starts[u] : stops[u]]] = False
+            common = sums[ends] - sums[firsts]
+            good = theirs[common >= similarity * (sizes[u] + sizes[theirs] - common) - 1e-9]
+            joined, first = np.unique(labels[good], return_index=True)
+            if len(joined):
+                out_u.append(np.full(len(joined), every[u]))
+                out_v.append(every[good[first]])
+                labels[np.isin(labels, joined)] = labels[u]
+    nothing = np.zeros(0, np.int64)
+    return np.concatenate([nothing, *out_u]), np.concatenate([nothing, *out_v])
 
 
 def similar_candidates(prints: DataFrame, similarity: float, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v): forests of links between distinct (id, p0, p1, size), pair of tiles by pair of tiles; where prints have a
-    root, all links between different roots instead."""
-    rooted = "root" in prints.columns
+    """(u, v): forests of links between distinct (id, p0, p1, size), pair of tiles by pair of tiles."""
     classed = prints.withColumn("cell", F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9)).otherwise(-1).cast("int"))
     cells = classed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("parts"))  # a cell per class of size
     dealt = classed.join(F.broadcast(cells), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = F.array_sort(F.collect_list(F.struct("id", "p0", "p1", "size", *["root"] * rooted)))
+    rows = F.array_sort(F.collect_list(F.struct("id", "p0", "p1", "size")))
     tiles = materialize(dealt.groupBy("cell", "part").agg(rows.alias("rows"), F.first("parts").alias("parts")), "tiles")
     left = tiles.select(F.col("cell").alias("ac"), F.col("part").alias("ap"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
     pairs = left.join(F.broadcast(cells), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
@@ -352,15 +383,15 @@ def similar_candidates(prints: DataFrame, similarity: float, radius: int, tile_r
     def tile(cell) -> tuple:
         flat = cell.values.flatten()
         p = [np.ascontiguousarray(c.to_numpy()) for c in flat]
-        return p[0], p[1].view(np.uint64), p[2].view(np.uint64), p[3].astype(np.float64), *p[4:]
+        return p[0], p[1].view(np.uint64), p[2].view(np.uint64), p[3].astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 sides = tile(batch.column(1)[k]), None if batch.column(0)[k].as_py() else tile(batch.column(2)[k])
-                for u, v in open_pairs(*sides, radius, similarity) if rooted else [similar_forest(*sides, radius, similarity)]:
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                u, v = similar_forest(*sides, radius, similarity)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return with_b.select("same", "a", "b").mapInArrow(run, "u long, v long")
 
@@ -384,7 +415,44 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
+def missing_links(sets: DataFrame, nodes: DataFrame, similarity: float, radius: int, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """(u, v): verified links that join what nodes (doc_id, comp, root) of the same comp but different roots leave apart.
+
+    sets: (doc_id, p0, p1, shingles). A comp is one tile, or is dealt into tiles of bounded size that meet in pairs; a pair
+    of tiles gives fewer edges than it has roots, however many pairs it verifies.
+    """
+    held = materialize(look_up(sets, nodes, "doc_id"), "held")
+    cells = materialize(held.groupBy("comp").agg(F.ceil(F.sum(F.size("shingles") + F.lit(1)) / tile_shingles).cast("int").alias("parts")), "cells")
+    dealt = look_up(held, cells, "comp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    tiles = materialize(dealt.groupBy("comp", "part").agg(F.collect_list(F.struct("doc_id", "p0", "p1", "root", "shingles")).alias("rows"), F.first("parts").alias("parts")), "tiles")
+    pairs = tiles.select("comp", F.col("part").alias("ap"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"))
+    with_a = pairs.join(tiles.select("comp", F.col("part").alias("ap"), F.col("rows").alias("a")), ["comp", "ap"])
+    other = tiles.select("comp", "part", F.col("rows").alias("b"))
+    with_b = with_a.filter("ap = part").select("a", F.expr("array()").cast(other.schema["b"].dataType).alias("b"))
+    with_b = with_b.unionByName(with_a.filter("ap < part").join(other, ["comp", "part"]).select("a", "b"))
+
+    def tile(cell) -> tuple | None:
+        if not len(cell.values):
+            return None
+        ids, p0, p1, roots, sets = cell.values.flatten()
+        p0, p1 = (np.ascontiguousarray(c.to_numpy()).view(np.uint64) for c in (p0, p1))
+        sets = [x.values.to_numpy() for x in sets]
+        return ids.to_numpy(), p0, p1, np.array([len(x) for x in sets], np.float64), roots.to_numpy(), sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                u, v = joining_links(tile(batch.column(0)[k]), tile(batch.column(1)[k]), radius, similarity)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    found = materialize(with_b.mapInArrow(run, "u long, v long"), "more")
+    for done in (held, cells, tiles):
+        discard(done)
+    return found
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """(node, root) of the documents that have a link: root is the least id of the component, itself among the nodes.
 
     Ids are nodes: rows without an id have no links, and rows that repeat one are linked if any of them is.
@@ -396,29 +464,29 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     equal = look_up(keyed, materialize(distinct.filter("n > 1").select("key", "id"), "equal"), "key").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     prints = distinct.select("id", "key.p0", "key.p1", "key.size")
 
-    def pairs(prints: DataFrame) -> DataFrame:
-        found = similar_candidates(prints, similarity, radius, tile_rows)
-        return materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct(), "candidates")
-
-    candidates = pairs(prints)
+    found = similar_candidates(prints, similarity, radius, tile_rows)
+    candidates = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct(), "candidates")
     name = fresh("met", docs)
     ends = materialize(candidates.select(F.explode(F.array("u", "v")).alias(name)).distinct(), "ends")
     asked = docs.join(small_side(ends), F.col(id_col).cast("long") == F.col(name), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            found = [np.ascontiguousarray(shingle_rows(t, shingle)[:, :8]).view(np.int64).ravel() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            found = [shingle_rows(t, shingle) for t in batch.column(1).to_pylist()]
+            prints = np.array([wide_print(f) for f in found], np.int64)
+            sets = pa.array([np.ascontiguousarray(f[:, :8]).view(np.int64).ravel() for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), sets], names=["doc_id", "p0", "p1", "shingles"])
 
-    sets = materialize(_texts(asked, id_col, text_col).mapInArrow(run, "doc_id long, shingles array<long>"), "sets")
-    good = materialize(verified(candidates, sets, similarity), "good")
+    sets = materialize(_texts(asked, id_col, text_col).mapInArrow(run, "doc_id long, p0 long, p1 long, shingles array<long>"), "sets")
+    good = materialize(verified(candidates, sets.select("doc_id", "shingles"), similarity).distinct(), "good")
     links = good
     if good.count() < candidates.count():
-        # every node of a link is in an edge of some forest, so none but the ends can be in a link that is still missing
-        roots = materialize(connected_components(good).select(F.col("node").alias("id"), "root"), "roots")
-        asked = look_up(look_up(prints, ends.withColumnRenamed(name, "id"), "id"), roots, "id", "left")
-        more = pairs(asked.withColumn("root", F.coalesce("root", "id")))
-        links = good.unionByName(materialize(verified(more, sets, similarity), "more"))
+        # every link that is still missing lies in a component of the forests that refuted edges have split
+        nodes = materialize(connected_components(candidates).withColumnRenamed("root", "comp"), "nodes")
+        roots = materialize(connected_components(good), "roots")
+        nodes = materialize(look_up(nodes, roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+        split = materialize(nodes.groupBy("comp").agg((F.min("root") != F.max("root")).alias("split")).filter("split").select("comp"), "split")
+        links = good.unionByName(missing_links(sets, look_up(nodes, split, "comp").withColumnRenamed("node", "doc_id"), similarity, radius, tile_shingles))
     links = materialize(links.unionByName(equal), "links")
     for done in (distinct, candidates, ends, sets):
         discard(done)

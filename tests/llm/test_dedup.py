@@ -239,3 +239,43 @@ def test_links_beside_a_refuted_edge_of_the_forest_are_kept(docs_of):
             texts += [" ".join(t) for t in (x, y, w)]
     got = {r.node: r.root for r in S.similar_components(docs_of(texts)).collect()}
     assert got == {i: i // 3 * 3 for i in range(9)}
+
+
+def test_a_group_of_refuted_links_gives_few_rows(docs_of, monkeypatch):
+    rng, base = random.Random(12), [f"w{i}" for i in range(100)]
+    rows = []
+    for k in range(60):  # alike by 0.7 or so, near in their fingerprints: hardly any pair is a link, most are candidates
+        words = list(base)
+        for at in rng.sample(range(0, 100, 8), 3):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, t + " tail") for k, t in rows[:20]]  # each links with its own original
+    want = brute_similar(rows, 5, 0.8)
+    assert len(set(want.values())) > 20
+    made, plain = [], S.missing_links
+    monkeypatch.setattr(S, "missing_links", lambda *a: made.append(plain(*a)) or made[-1])
+    for tile_shingles in (400, S.TILE_SHINGLES):
+        got = {r.node: r.root for r in S.similar_components(docs_of(rows).repartition(3), tile_shingles=tile_shingles).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+    assert len(made) == 2 and made[1].count() < len(rows)
+
+
+def test_joining_links_against_all_pairs():
+    rng = np.random.default_rng(13)
+    for _ in range(20):
+        sets = [np.unique(rng.choice(40, rng.integers(0, 12))) if rng.random() < 0.3 else np.delete(np.arange(30), rng.choice(30, rng.integers(0, 5), replace=False)) for _ in range(30)]
+        roots = rng.integers(0, 25, 30)
+        tile = lambda at: (at, np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), np.array([len(sets[i]) for i in at], float), roots[at], [sets[i] for i in at])
+        links = [(i, j) for i in range(30) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+
+        def groups(edges):
+            label = roots.copy()
+            for i, j in edges:
+                label[label == label[i]] = label[j]
+            return [[label[i] == label[j] for i in range(30)] for j in range(30)]
+
+        every = np.arange(30)
+        got = list(zip(*S.joining_links(tile(every), None, 28, 0.8)))
+        assert groups(got) == groups(links) and len(got) < len(set(roots)) and set(got) <= {(i, j) for a, b in links for i, j in ((a, b), (b, a))}
+        got = list(zip(*S.joining_links(tile(every[:12]), tile(every[12:]), 28, 0.8)))
+        assert groups(got) == groups([(i, j) for i, j in links if (i < 12) != (j < 12)])

@@ -120,3 +120,19 @@ def test_merge_of_points_that_share_a_coordinate_takes_no_pairs_of_them():
     rep, link = merge_points(p)
     assert time.perf_counter() - begun < 15  # pairs of one x: 7.2e9
     assert len(rep) == len(p) - 2 and link[0] == link[1] == link[2] and rep[link[0]] == 0
+
+
+def test_blocks_bound_both_sides_and_cover_all_pairs(monkeypatch):
+    n, q = 3 * K.SPAN + 5, 70
+    r, x, area, cols, seeds = RNG.uniform(size=(q, 3)), RNG.uniform(size=(n, 3)), RNG.uniform(size=n), RNG.normal(size=(n, 4)), RNG.normal(size=(q, 2))
+    for a_exp, b_exp in ((3.0, 5.0), (2.0, 4.0), (1.0, 3.0), (2.5, 4.5)):
+        w = K.Weights(1.3, a_exp, b_exp, 0.25)
+        d = w.ldef / np.sqrt(((r[:, None] - x) ** 2).sum(axis=2) + 1e-15)
+        want = area * (d**a_exp + 0.25**b_exp * d**b_exp)
+        assert np.allclose(K.exact_sums(r, x, area, cols, w), want @ cols, rtol=1e-9, atol=1e-9 * np.abs(want).sum())
+        assert np.allclose(K.transposed_sums(r, seeds, x, area, w), want.T @ seeds, rtol=1e-9, atol=1e-9)
+    shapes, plain = [], K.squared_distances
+    monkeypatch.setattr(K, "squared_distances", lambda r, x: shapes.append((len(r), len(x))) or plain(r, x))
+    K.exact_sums(r, x, area, cols, w)
+    K.transposed_sums(r, seeds, x, area, w)
+    assert max(s[1] for s in shapes) <= K.SPAN and max(a * b for a, b in shapes) <= K.PAIRS and sum(a * b for a, b in shapes) == 2 * n * q

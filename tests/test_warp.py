@@ -249,3 +249,23 @@ def test_errors_of_a_large_tree_are_dealt_over_tasks(spark, monkeypatch):
     assert not many.tree.err.any() and sizes == {(r.level, r.n) for r in one.tree_frame().select("level", "n").collect()}
     many.tree_frame()
     assert many.tree.err.any() and np.allclose(many.tree.err, one.tree.err, rtol=1e-12)
+
+
+def test_verify_takes_all_steps_from_one_pass(spark, mesh, monkeypatch):
+    from driftmesh.plans import warp as module
+
+    p, f, v = mesh
+    bend = p.select("pt_id", "x", "y", (F.col("z") + 0.15 * F.col("x") * F.col("x")).alias("z"))
+    seeds = v.select("node_id", F.sin("x0").alias("vx"), F.cos("y0").alias("vy"), F.col("z0").alias("vz"))
+    passes, plain = [], Warper._evaluator
+    monkeypatch.setattr(Warper, "_evaluator", lambda *a: passes.append(1) or plain(*a))
+    for options in ({"eval_mode": "exact"}, {"eval_mode": "exact", "use_rotations": False}, {"err_tol": 5e-5}):
+        w = Warper(p, f, WarpOptions(**options), planes=(((0.0, 0.0, 0.0), (0.0, 0.0, 1.0)),))
+        tables = []
+        for most, want in ((1 << 24, 1), (1, 6)):
+            monkeypatch.setattr(module, "MOST_COLUMN_VALUES", most)
+            passes.clear()
+            tables.append(w.verify(v, bend, seeds, 3, 6).toPandas())
+            assert len(passes) == want and tables[-1].err_pct.abs().max() < 1e-2
+        assert np.allclose(tables[0][["ad", "fd"]], tables[1][["ad", "fd"]], rtol=1e-6)
+    assert w.verify(v, bend, seeds, 3, 3).count() == 0

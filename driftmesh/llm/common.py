@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftmesh.operators.common import BROADCAST_ROWS, SALTS, discard, fresh, look_up, materialize, shared_dir, small_side
 
-__all__ = ["BROADCAST_ROWS", "SALTS", "connected_components", "crc_of_id", "discard", "fresh", "look_up", "materialize", "partition_slots", "shared_dir", "slices", "small_side", "table"]
+__all__ = ["BROADCAST_ROWS", "SALTS", "connected_components", "crc_of_id", "discard", "fresh", "give_back", "giving_back", "look_up", "materialize", "partition_slots", "shared_dir", "slices", "small_side", "table"]
 
 #: Rows that a Python kernel turns into objects at a time; bounds its memory whatever the Arrow batch is.
 SLICE_ROWS = 256
@@ -26,6 +29,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system: else a worker that waits for its next task, or whose
+    executor runs a stage without Python, keeps the most that it ever held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def giving_back(kernel: Callable) -> Callable:
+    """A map over batches that gives memory back when it ends, or is ended."""
+
+    @wraps(kernel)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import discard, fresh, look_up, materialize, partition_slots, small_side
+from driftmesh.llm.common import discard, fresh, giving_back, look_up, materialize, partition_slots, small_side
 
 #: Rows of a block: bounds what a partition holds at a time; blocks grow with the owners, so that messages stay worth
 #: sending, up to the second figure.
@@ -152,13 +152,13 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
         F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)).alias("hash"),
     )
-    blocks = materialize(light.mapInArrow(_blocks(owner_bits, block_rows), BLOCKS_DDL), "blocks")
+    blocks = materialize(light.mapInArrow(giving_back(_blocks(owner_bits, block_rows)), BLOCKS_DDL), "blocks")
     messages = blocks.select("block", "owner", "n", "k", "payload", "repeated")
     answers = materialize(messages.groupBy("owner").applyInArrow(_answer, "block long, owner int, bitmap binary"), "answers")
     size = answers.agg(F.coalesce(F.sum(F.length("bitmap") + 64), F.lit(0))).first()[0]
     sent = F.broadcast(answers) if size <= BITMAP_BYTES else answers
     returned = blocks.select("block", "owner", "doc_ids", "lengths", "hashes", "slots").join(sent, ["block", "owner"])
-    rows = materialize(returned.mapInArrow(_rows, "doc_id long, n_chars long, hash binary, suspect boolean"), "prints")
+    rows = materialize(returned.mapInArrow(giving_back(_rows), "doc_id long, n_chars long, hash binary, suspect boolean"), "prints")
     discard(blocks)
     discard(answers)
     return rows

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import discard, materialize, slices
+from driftmesh.llm.common import discard, giving_back, materialize, slices
 from driftmesh.llm.packing import Remembered, WordTokenizer
 
 HEAD_WORDS = 300_000
@@ -92,7 +92,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(giving_back(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -414,7 +414,7 @@ def ratio_table(encoded: DataFrame, others: DataFrame, model: AttentionModel, he
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(table[found]), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.float64())], names=names)
 
     names = ["place", "n", "word", "p"]
-    met = materialize(encoded.select("stream", "places", "rare").mapInArrow(run, "place long, n long, word binary, p double"), "ratios")
+    met = materialize(encoded.select("stream", "places", "rare").mapInArrow(giving_back(run), "place long, n long, word binary, p double"), "ratios")
     left = F.greatest(F.col("c") - 1, F.lit(0))
     size = F.least(F.length(F.bin(left + 1)) - 1, F.lit(COUNT_SIZES - 1)).cast("long")
     ratio = F.floor(F.ln(F.greatest(F.col("p"), F.lit(LEAST)) * F.lit(float(norm)) / (left + 1)) * RATIO_STEPS) + RATIOS // 2
@@ -473,7 +473,7 @@ def averaged_weights(encoded: DataFrame, model: AttentionModel, shards: int, rat
 
     names = ["id", "n", *[f"w{k}" for k in range(width)]]
     dealt = encoded.select(F.pmod(F.xxhash64("stream"), F.lit(shards)).alias("shard"), "row", "stream").repartition("shard").sortWithinPartitions("shard", "row").drop("row")
-    sums = dealt.mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in names[1:])).groupBy("id").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    sums = dealt.mapInArrow(giving_back(run), "id long, " + ", ".join(f"{c} double" for c in names[1:])).groupBy("id").agg(*[F.sum(c).alias(c) for c in names[1:]])
     got = sums.orderBy("id").toPandas()
     ids, means = got["id"].to_numpy(), (got[names[2:]].to_numpy() / got[["n"]].to_numpy()).astype(np.float32)
     mine = ids < IDS
@@ -529,7 +529,7 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sums[found], pa.float64())], names=["id", "n"])
 
     totals = np.zeros(IDS)
-    for r in counts.mapInArrow(id_counts, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id of the tokenizer at most
+    for r in counts.mapInArrow(giving_back(id_counts), "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id of the tokenizer at most
         totals[r["id"]] = r["n"]
 
     # every text as ids, once for all that follows
@@ -545,7 +545,7 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
             ], names=_names(_ENCODED))
             row += batch.num_rows
 
-    encoded = materialize(rows.mapInArrow(encode, _ENCODED), "encoded")
+    encoded = materialize(rows.mapInArrow(giving_back(encode), _ENCODED), "encoded")
     training = encoded.filter(~F.col("held_out"))
     n_rows = training.count()
     place = common_places(totals)
@@ -560,7 +560,7 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(i + at, pa.int32()), pa.array(j, pa.int32()), pa.array(table[i + at, j], pa.int64())], names=["id", "place", "n"])
 
     table = np.zeros((IDS, 2 * COMMON_IDS), np.float32)
-    found = training.select("stream").mapInArrow(neighbours, "id int, place int, n long").groupBy("id", "place").agg(F.sum("n").cast("float").alias("n"))
+    found = training.select("stream").mapInArrow(giving_back(neighbours), "id int, place int, n long").groupBy("id", "place").agg(F.sum("n").cast("float").alias("n"))
     by_id = found.groupBy("id").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("times"))
     for part in by_id.select("id", "places", "times").toArrow().to_batches():  # a row per id of the tokenizer at most
         for i, at, times in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
@@ -581,7 +581,7 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(lengths, pa.int64()), pa.array(n_known), pa.array(base), pa.array(scores), batch.column(5), pa.array(rest, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=_names(_SCORED))
 
-    scored = materialize(encoded.mapInArrow(run, _SCORED), "scored")
+    scored = materialize(encoded.mapInArrow(giving_back(run), _SCORED), "scored")
     discard(encoded)
     asked = scored.select("row", F.explode(F.arrays_zip("rare", "probs")).alias("o")).select("row", F.col("o.rare").alias("word"), F.col("o.probs").alias("p"))
     met = asked.join(counts.filter(level < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.llm.byte_bpe import byte_characters
-from driftmesh.llm.common import slices
+from driftmesh.llm.common import give_back, giving_back, slices
 
 CACHE_WORDS = 500_000
 #: Tokens after which a run ends with the document at hand: bounds a worker's memory.
@@ -256,10 +256,12 @@ def pack_documents(
                 held += len(streams[-1]) // 4
                 if held >= run_tokens:
                     out, first = pieces(ids, streams, sentences, first)
-                    yield out
                     ids, streams, sentences, held = [], [], [], 0
+                    yield out
+                    del out
+                    give_back()
         if ids:
             yield pieces(ids, streams, sentences, first)[0]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, PIECES_DDL)
+    return rows.mapInArrow(giving_back(run), PIECES_DDL)

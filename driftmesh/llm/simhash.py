@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import SALTS, connected_components, discard, fresh, look_up, materialize, slices, small_side
+from driftmesh.llm.common import SALTS, connected_components, discard, fresh, giving_back, look_up, materialize, slices, small_side
 
 #: The hash of a shingle is XXH64 with this seed.
 SEED = 42
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
             prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, print long")
+    return _texts(docs, id_col, text_col).mapInArrow(giving_back(run), "doc_id long, print long")
 
 
 def _settle(labels: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def links(prints: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS, parts:
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return with_b.select("same", "a", "b").mapInArrow(run, "u long, v long")
+    return with_b.select("same", "a", "b").mapInArrow(giving_back(run), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -252,7 +252,7 @@ def sketches(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col
             columns = [batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(f) for f in found], pa.int32()), pa.array(whole)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "p0", "p1", "size", "whole"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, p0 long, p1 long, size int, whole long")
+    return _texts(docs, id_col, text_col).mapInArrow(giving_back(run), "doc_id long, p0 long, p1 long, size int, whole long")
 
 
 def spanning_forest(u: np.ndarray, v: np.ndarray, distance: np.ndarray, nodes: int) -> np.ndarray:
@@ -393,7 +393,7 @@ def similar_candidates(prints: DataFrame, similarity: float, radius: int, tile_r
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return with_b.select("same", "a", "b").mapInArrow(run, "u long, v long")
+    return with_b.select("same", "a", "b").mapInArrow(giving_back(run), "u long, v long")
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -446,7 +446,7 @@ def missing_links(sets: DataFrame, nodes: DataFrame, similarity: float, radius:
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    found = materialize(with_b.mapInArrow(run, "u long, v long"), "more")
+    found = materialize(with_b.mapInArrow(giving_back(run), "u long, v long"), "more")
     for done in (held, cells, tiles):
         discard(done)
     return found
@@ -477,7 +477,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
             sets = pa.array([np.ascontiguousarray(f[:, :8]).view(np.int64).ravel() for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), sets], names=["doc_id", "p0", "p1", "shingles"])
 
-    sets = materialize(_texts(asked, id_col, text_col).mapInArrow(run, "doc_id long, p0 long, p1 long, shingles array<long>"), "sets")
+    sets = materialize(_texts(asked, id_col, text_col).mapInArrow(giving_back(run), "doc_id long, p0 long, p1 long, shingles array<long>"), "sets")
     good = materialize(verified(candidates, sets.select("doc_id", "shingles"), similarity).distinct(), "good")
     links = good
     if good.count() < candidates.count():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.llm.common import SLICE_ROWS, crc_of_id, materialize, slices
+from driftmesh.llm.common import SLICE_ROWS, crc_of_id, give_back, giving_back, materialize, slices
 
 SAMPLE_ROWS = 12_000
 TERMS = 2_048
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = materialize(rows.select("toxic", "text").mapInArrow(_terms, "toxic int, terms array<int>"), "terms")
+    found = materialize(rows.select("toxic", "text").mapInArrow(giving_back(_terms), "toxic int, terms array<int>"), "terms")
     total = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     if not total["n"]:
         return fit([], np.zeros(0), np.zeros(0, np.int64))
@@ -172,6 +172,8 @@ def scorer(model: FactorizationMachine):
                         found.update(terms)
                 rows.append(sorted(found))
             yield pd.Series(np.concatenate([model.scores(rows[at : at + SLICE_ROWS]) for at in range(0, len(rows), SLICE_ROWS)]) if rows else [], dtype="float64")
+        del place, known
+        give_back()
 
     return score
 

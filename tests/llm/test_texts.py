@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from driftmesh.llm import byte_bpe as B
 from driftmesh.llm import packing, pii, quality_rules, secrets
+from driftmesh.llm.common import giving_back
 
 from .conftest import ODD
 
@@ -455,3 +456,27 @@ def test_pii_on_empty_tables_and_over_salted_look_ups(docs_of, monkeypatch, spar
     assert sorted(map(str, pii.find_pii(docs_of(texts)).collect())) == before
     odd = spark.createDataFrame([("a", "b", None, "x@y.zz"), ("a", "b", 3, None), ("a", "b", 3, None)], "row string, base string, doc_id long, text string")
     assert sorted(len(r.spans) for r in pii.find_pii(odd).collect()) == [0, 0, 1]
+
+
+def resident_mb() -> float:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 / 1e6
+
+
+def test_a_kernel_that_ends_gives_its_memory_back():
+    """What a kernel freed must not stay with the worker: blocks that live on keep the heap's end where it was."""
+    last = []
+
+    def kernel(batches):
+        for _ in batches:
+            blocks = [bytearray(2_000) for _ in range(60_000)]
+            last.append(blocks[-1])
+            yield len(blocks)
+
+    for ended in (False, True):
+        run = giving_back(kernel)(iter([1]))
+        next(run)
+        held = resident_mb()
+        list(run) if ended else run.close()
+        assert held - resident_mb() > 80
+    assert len(last) == 2

@@ -136,3 +136,28 @@ def test_blocks_bound_both_sides_and_cover_all_pairs(monkeypatch):
     K.exact_sums(r, x, area, cols, w)
     K.transposed_sums(r, seeds, x, area, w)
     assert max(s[1] for s in shapes) <= K.SPAN and max(a * b for a, b in shapes) <= K.PAIRS and sum(a * b for a, b in shapes) == 2 * n * q
+
+
+def test_large_leaves_are_summed_by_clusters(monkeypatch):
+    """A leaf of many points, most of them far: all count, to rounding, and few pairs are worked out."""
+    rng = np.random.default_rng(8)
+    n, q = 70_000, 300
+    k = np.arange(n)
+    x = np.stack([k % 40 / 40, k // 40 / 40, rng.uniform(0.05, 0.1, n)], axis=1)
+    x[:50] = x[0]
+    r = np.concatenate([rng.uniform(0, 6, (q - 2, 3)), x[[0, 777]]])
+    area, weights = rng.random(n), K.Weights(20.0, 3, 5, 0.25)
+    tree = K.build_tree(x, area, weights, n // 2, errors=False)
+    x, area = x[tree.order], area[tree.order]
+    columns = np.concatenate([rng.normal(size=(n, 3)), np.ones((n, 1))], axis=1)
+    den = K.exact_sums(r, x, area, np.ones((n, 1)), weights, K.EPS_ESTIMATE)[:, 0]
+    exact, size = (K.exact_sums(r, x, area, c, weights) for c in (columns, np.abs(columns)))
+    pairs, of = [], K.Weights.of
+    monkeypatch.setattr(K.Weights, "of", lambda self, area, d2, eps: pairs.append(d2.size) or of(self, area, d2, eps))
+    for _ in range(2):  # the second time from known clusters
+        np.testing.assert_allclose(K.estimate_denominators(tree, x, area, r, weights), den, rtol=1e-12)
+        sums = K.fast_sums(tree, r, x, area, columns, K.node_means(tree, columns), weights, np.zeros(q))
+        assert (np.abs(sums - exact) / size).max() < 1e-12
+    assert sum(pairs) < 4 * n * q / 3
+    other = np.ones((n, 2))  # other columns are not mistaken for those known
+    np.testing.assert_allclose(K.fast_sums(tree, r, x, area, other, K.node_means(tree, other), weights, np.zeros(q))[:, 1], exact[:, 3], rtol=1e-12)

@@ -1,11 +1,14 @@
 """Properties of the warp that need no golden data, and the relational operators on small tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from driftmesh.operators import idw, multi, neighbors, patches, points, symmetry, transfer
 from driftmesh.options import WarpOptions
+from driftmesh.plans import kernels as K
+from driftmesh.plans import warp
 from driftmesh.plans.warp import SurfaceTooLarge, Warper, blocked_warp
 
 N = 8
@@ -269,3 +272,27 @@ def test_verify_takes_all_steps_from_one_pass(spark, mesh, monkeypatch):
             assert len(passes) == want and tables[-1].err_pct.abs().max() < 1e-2
         assert np.allclose(tables[0][["ad", "fd"]], tables[1][["ad", "fd"]], rtol=1e-6)
     assert w.verify(v, bend, seeds, 3, 3).count() == 0
+
+
+def test_fast_warp_with_large_leaves_is_that_of_small_ones(mesh, monkeypatch):
+    p, f, v = mesh
+    w = Warper(p, f, WarpOptions(bucket_size=N * N // 2, err_tol=1e-9))
+    columns = w._motion_columns(w._positions(lambda df: df.withColumn("z", F.col("z") + 0.1 * F.col("x") * F.col("x"))))
+    r = start(v)
+    plain = w._evaluator(columns, True)(r)
+    monkeypatch.setattr(K, "MANY", N)
+    monkeypatch.setattr(K, "CLUSTER", 4)
+    sizes, sums = [], K.Clusters.sums
+    monkeypatch.setattr(K.Clusters, "sums", lambda self, r: sizes.append(len(self.x)) or sums(self, r))
+    for got, known in zip(w._evaluator(columns, True)(r), plain):
+        np.testing.assert_allclose(got, known, rtol=1e-11, atol=1e-12)
+    assert sizes == [N * N // 2] * 4  # both leaves went that way, for the estimate and for the sums
+
+
+def test_batches_are_gathered(monkeypatch):
+    monkeypatch.setattr(warp, "GATHERED", 10)
+    parts = [pa.record_batch({"a": pa.array(range(k, k + n), pa.int64())}) for k, n in ((0, 4), (4, 7), (11, 0), (11, 25), (36, 1))]
+    got = list(warp.gathered(iter(parts)))
+    assert [b.num_rows for b in got] == [11, 25, 1]
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(37))
+    assert list(warp.gathered(iter([]))) == []

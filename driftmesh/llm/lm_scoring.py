@@ -5,7 +5,8 @@ those of all training tokens, the end of each text among them. The most frequent
 broadcast with their counts; the others meet their counts in a join, with the network's probability of each occurrence,
 so that both scores use the true count of every word, for any vocabulary.
 
-Model. Every text is encoded to subword ids once, and written. One layer of causal attention over a window of ids
+Model. Every text is written once as the places of its words among the head words; a table of the head words' ids, small
+enough for a broadcast, turns places into subword ids, and only other words are written with their ids. One layer of causal attention over a window of ids
 predicts the class of the next id; classes are learnt from the neighbourhoods of ids in all training texts, and within a
 class ids follow their counts over all training texts (taken from the counts of words). The network's weights start from
 a fit in numpy on at most `sample_rows` training rows; from there each shard of all training rows fits an epoch of its own
@@ -13,7 +14,8 @@ a fit in numpy on at most `sample_rows` training rows; from there each shard of
 their number. A word's probability mixes the product over its ids with its smoothed share (c+1)/(N+V+1), as in the base;
 the weight of the network goes by the size of c, two dozen numbers, fitted to all tokens of all training rows with each
 word left out of its own count (tokens are counted by how the network's probability compares with the share, in steps of
-two hundredths of its logarithm). Windows overlap: each has `context` ids that only give context and `stride` ids that are scored, so every id is
+two hundredths of its logarithm). The network runs once over every text: its probability of each word is kept, the
+logarithm to 1/262144, until the mixture is known. Windows overlap: each has `context` ids that only give context and `stride` ids that are scored, so every id is
 scored once, in batches with a causal mask. Both softmaxes are taken from their maximum.
 
 Texts are lower-cased A-Z; words part at ASCII white space; null counts as empty, whose only token is the end. Rows whose
@@ -50,7 +52,7 @@ CLASSES = 128
 WIDTH = 16
 CONTEXT, STRIDE = 8, 24
 #: Distinct words that a worker counts before it hands them on.
-COUNTED = 60_000
+COUNTED = 120_000
 CACHE_WORDS = 100_000
 #: Ids of the tokenizer's marks for start and end of text.
 START_ID, END_ID = 49_406, 49_407
@@ -65,6 +67,9 @@ COUNT_SIZES = 24
 #: Steps to one, and the end either way, of the natural logs by which tokens are counted when the mixture is fitted.
 RATIO_STEPS, RATIO_END = 50, 60
 RATIOS = 2 * RATIO_STEPS * RATIO_END
+#: Windows that a kernel takes at a time: its arrays stay in a core's cache, and small enough that their memory is used
+#: again, where larger ones would come fresh from the system each time.
+PART = 64
 #: Steps to each doubling of counts when head words are chosen.
 LEVELS = 8
 
@@ -126,22 +131,16 @@ class AttentionModel:
         """Natural log of each target's probability; meaningless where the target is -1."""
         w = self.weights
         out = np.empty(targets.shape, np.float32)
-        sides = np.concatenate([w["k"], w["v"]], axis=1)
-        for at in range(0, len(inputs), 128):
-            x, y = inputs[at : at + 128], np.maximum(targets[at : at + 128], 0)
-            h = w["emb"][x] + w["pos"]
-            mine = np.ascontiguousarray(h[:, CONTEXT:])
-            kv = _flat(h) @ sides
-            k, v = (np.ascontiguousarray(c).reshape(h.shape) for c in np.split(kv, 2, axis=1))
-            scores = np.matmul(mine @ w["q"], k.transpose(0, 2, 1))
-            attn, total = _exponentials(scores, _HIDDEN)
-            z = _flat(mine) + _flat(np.matmul(attn, v)) / total
-            logits = z @ w["out"] + w["bias"]
-            target = logits[np.arange(len(logits)), self.class_of[y].ravel()]
+        last = _last(w)
+        for at in range(0, len(inputs), PART):
+            x, y = inputs[at : at + PART], np.maximum(targets[at : at + PART], 0)
+            h, mine, q, k, v, attn, total = _attend(w, x)
+            logits = _with_one(_flat(mine) + _flat(np.matmul(attn, v)) / total) @ last
+            target = logits[np.arange(len(logits)), self.class_of.take(y.ravel())]
             top = _top(logits)
             p, total = _exponentials(logits, None if top is None else -top)
             shift = 0 if top is None else top[:, 0]
-            out[at : at + 128] = (target - shift - np.log(total[:, 0])).reshape(y.shape) + self.within[y]
+            out[at : at + PART] = (target - shift - np.log(total[:, 0])).reshape(y.shape) + self.within.take(y)
         return out
 
 
@@ -149,6 +148,29 @@ def _flat(a: np.ndarray) -> np.ndarray:
     return a.reshape(-1, a.shape[-1])
 
 
+def _sides(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w["k"], w["v"]], axis=1)
+
+
+def _last(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The last layer, its bias as the row of a one."""
+    return np.concatenate([w["out"], w["bias"][None]])
+
+
+def _with_one(z: np.ndarray) -> np.ndarray:
+    return np.concatenate([z, np.ones((len(z), 1), z.dtype)], axis=1)
+
+
+def _attend(w: dict[str, np.ndarray], x: np.ndarray):
+    """(all places, those that are scored, their queries, keys, values, attention not yet divided by its sums, the sums)."""
+    h = w["emb"].take(x, axis=0) + w["pos"]
+    mine = np.ascontiguousarray(h[:, CONTEXT:])
+    k, v = ((_flat(h) @ w[c]).reshape(h.shape) for c in "kv")
+    q = (_flat(mine) @ w["q"]).reshape(mine.shape)
+    attn, total = _exponentials(np.matmul(q, k.transpose(0, 2, 1)), _HIDDEN)
+    return h, mine, q, k, v, attn, total
+
+
 #: Exponents up to this, either way, neither overflow nor vanish in single precision, sums of thousands included.
 SAFE = 60.0
 
@@ -193,11 +215,12 @@ def add_neighbours(table: np.ndarray, stream: np.ndarray, place: np.ndarray) ->
     ends = stream == END_ID
     text = np.cumsum(ends) - ends
     at, flat, row = place[stream], table.reshape(-1), stream.astype(np.int64) * (2 * COMMON_IDS)
+    one = table.dtype.type(1)  # of another type it takes numpy ten times as long
     for shift in (1, 2, 3):
         same = text[shift:] == text[:-shift]
         after, before = np.flatnonzero(same & (at[shift:] >= 0)), np.flatnonzero(same & (at[:-shift] >= 0))
-        np.add.at(flat, row[after] + at[after + shift], 1)
-        np.add.at(flat, row[before + shift] + (at[before] + COMMON_IDS), 1)
+        np.add.at(flat, row[after] + at[after + shift], one)
+        np.add.at(flat, row[before + shift] + (at[before] + COMMON_IDS), one)
 
 
 def cluster(table: np.ndarray, totals: np.ndarray, classes: int, seed: int = 3) -> np.ndarray:
@@ -244,9 +267,12 @@ def fit_weights(model: AttentionModel, texts: list[np.ndarray], epochs: int, rat
 
     The row of an id and its moments change in the steps that meet the id."""
     inputs, targets, _ = model.windows(texts)
-    ids, x_all, times = np.unique(inputs, return_inverse=True, return_counts=True)
-    x_all = x_all.reshape(inputs.shape)
-    classes = np.where(targets < 0, -1, model.class_of[np.maximum(targets, 0)])
+    times = np.bincount(inputs.ravel(), minlength=IDS)
+    ids = np.flatnonzero(times)
+    times, place = times[ids], np.zeros(IDS, np.int32)
+    place[ids] = np.arange(len(ids))
+    x_all = place[inputs]
+    classes = np.where(targets < 0, np.int32(-1), model.class_of[np.maximum(targets, 0)])
     every, w = model.weights["emb"], {k: (v[ids] if k == "emb" else v.copy()) for k, v in model.weights.items()}
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for _ in range(epochs):
@@ -270,35 +296,44 @@ def fit_weights(model: AttentionModel, texts: list[np.ndarray], epochs: int, rat
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Of the mean cross-entropy over the targets that are not -1; by hand, back through the one layer. The gradient of
     emb is for the ids that come first."""
-    h = w["emb"][x] + w["pos"]
-    mine, sides = np.ascontiguousarray(h[:, CONTEXT:]), np.concatenate([w["k"], w["v"]], axis=1)
-    q = mine @ w["q"]
-    k, v = (np.ascontiguousarray(c).reshape(h.shape) for c in np.split(_flat(h) @ sides, 2, axis=1))
-    attn, total = _exponentials(np.matmul(q, k.transpose(0, 2, 1)), _HIDDEN)
-    attn /= total.reshape(*attn.shape[:2], 1)
-    z = _flat(mine) + _flat(np.matmul(attn, v))
-    d = z @ w["out"] + w["bias"]
-    top = _top(d)
-    d, total = _exponentials(d, None if top is None else -top)
-    real = (classes >= 0).ravel()
-    weight = (real / max(1, real.sum())).astype(d.dtype)
-    d *= weight[:, None] / total
-    d[np.arange(len(d)), np.maximum(classes, 0).ravel()] -= weight
-    out = {"out": z.T @ d, "bias": d.sum(axis=0)}
-    dz = (d @ w["out"].T).reshape(mine.shape)
-    da = np.matmul(dz, v.transpose(0, 2, 1))
-    dv = np.matmul(attn.transpose(0, 2, 1), dz)
-    da *= attn
-    da -= attn * (_flat(da) @ np.ones((da.shape[2], 1), da.dtype)).reshape(*da.shape[:2], 1)
-    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-    dkv = np.concatenate([_flat(dk), _flat(dv)], axis=1)
-    of_k, of_v = np.split(_flat(h).T @ dkv, 2, axis=1)
-    out |= {"q": _flat(mine).T @ _flat(dq), "k": of_k, "v": of_v}
-    dh = (dkv @ sides.T).reshape(h.shape)
-    dh[:, CONTEXT:] += dz + dq @ w["q"].T
-    met, at = np.unique(x, return_inverse=True)
-    of_emb = np.stack([np.bincount(at.ravel(), column, minlength=len(met)) for column in _flat(dh).T], axis=1)
-    return met, out | {"emb": of_emb.astype(dh.dtype), "pos": dh.sum(axis=0)}
+    times = np.bincount(x.ravel(), minlength=len(w["emb"]))
+    met = np.flatnonzero(times)
+    place = np.zeros(len(times), np.int32)
+    place[met] = np.arange(len(met))
+    sides, last, real = _sides(w), _last(w), classes >= 0
+    back, share = np.ascontiguousarray(w["out"].T), 1 / max(1, real.sum())
+    out, of_last = {k: np.zeros_like(w[k]) for k in ("pos", "q", "k", "v")}, np.zeros_like(last)
+    dh = np.empty((*x.shape, w["emb"].shape[1]), last.dtype)
+    for at in range(0, len(x), PART):
+        part = slice(at, at + PART)
+        h, mine, q, k, v, attn, total = _attend(w, x[part])
+        attn /= total.reshape(*attn.shape[:2], 1)
+        z = _with_one(_flat(mine) + _flat(np.matmul(attn, v)))
+        d = z @ last
+        top = _top(d)
+        d, total = _exponentials(d, None if top is None else -top)
+        # the gradient of a row of d is this over its total, times its share; both go to the narrower factors
+        d[np.arange(len(d)), np.maximum(classes[part], 0).ravel()] -= total[:, 0]
+        scale = (real[part].reshape(-1, 1) * share).astype(d.dtype) / total
+        of_last += (z * scale).T @ d
+        dz = (d @ back * scale).reshape(mine.shape)
+        da = np.matmul(dz, v.transpose(0, 2, 1))
+        dv = np.matmul(attn.transpose(0, 2, 1), dz)
+        da *= attn
+        da -= attn * (_flat(da) @ np.ones((da.shape[2], 1), da.dtype)).reshape(*da.shape[:2], 1)
+        dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+        dkv = np.concatenate([_flat(dk), _flat(dv)], axis=1)
+        of_k, of_v = np.split(_flat(h).T @ dkv, 2, axis=1)
+        for name, dw in (("q", _flat(mine).T @ _flat(dq)), ("k", of_k), ("v", of_v)):
+            out[name] += dw
+        here = dh[part]
+        np.matmul(dkv, sides.T, out=here.reshape(len(dkv), -1))
+        here[:, CONTEXT:] += dz + (_flat(dq) @ w["q"].T).reshape(dz.shape)
+        out["pos"] += here.sum(axis=0)
+    width = dh.shape[2]
+    cells = (place[x].reshape(-1, 1) * width + np.arange(width)).ravel()
+    of_emb = np.bincount(cells, dh.ravel(), minlength=len(met) * width).reshape(-1, width).astype(dh.dtype)
+    return met, out | {"out": of_last[:-1], "bias": of_last[-1], "emb": of_emb}
 
 
 def count_size(counts: np.ndarray) -> np.ndarray:
@@ -345,29 +380,99 @@ class TextEncoder:
         places = list(map(self.head.get, words, repeat(0)))
         return stream, array("I", places).tobytes(), [w for w, p in zip(words, places) if not p] if 0 in places else []
 
+    def places(self, text: str) -> tuple[bytes, bytes, list[bytes]]:
+        """As encode() gives, with a stream of the words only that are no head words, and the places by to_planes()."""
+        words = split_words(text)
+        words.append(b"")
+        places = list(map(self.head.get, words, repeat(0)))
+        rare = [w for w, p in zip(words, places) if not p] if 0 in places else []
+        stream = b"".join([self.look_up([w])[0] if w else self.end for w in rare]) if b"" in rare else b"".join(self.look_up(rare)) if rare else b""
+        return to_planes(np.array(places, np.uint32)), stream, rare
+
+
+def to_planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as all their highest bytes, then the next, to the lowest; small numbers so compress well."""
+    return numbers.astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.int64)
+
+
+@dataclass
+class HeadWords:
+    """ids of the head words, one after the other; of each place, from 1, where they begin and how many there are."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, streams: list[bytes]) -> HeadWords:
+        """From the ids of each head word, as unsigned 16-bit integers."""
+        sizes = np.array([0, *[len(s) // 2 for s in streams]], np.int64)
+        return cls(np.frombuffer(b"".join(streams), np.uint16), np.cumsum(sizes) - sizes, sizes)
+
+    def expand(self, places: list[bytes], rare: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the texts, ids of each word, words of each text, places) of what TextEncoder.places() gives."""
+        parts = [from_planes(p) for p in places]
+        at = np.concatenate(parts)
+        others, of_other = read_stream(b"".join(rare))
+        starts, sizes, gaps = self.starts[at], self.sizes[at], np.flatnonzero(at == 0)
+        starts[gaps], sizes[gaps] = len(self.ids) + np.cumsum(of_other) - of_other, of_other
+        ends = np.cumsum(sizes)
+        ids = np.concatenate([self.ids, others.astype(np.uint16)])[np.arange(int(ends[-1])) + np.repeat(starts - (ends - sizes), sizes)]
+        return ids.astype(np.int32), sizes, np.array([len(p) for p in parts]), at
+
+    def texts(self, places: list[bytes], rare: list[bytes]) -> list[np.ndarray]:
+        ids, sizes, lengths, _ = self.expand(places, rare)
+        return split_texts(ids, sizes, lengths)
+
+
+def split_texts(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
+    return np.split(ids, ends[:-1])
+
+
+def probs_of_words(model: AttentionModel, texts: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """The network's natural log of the probability of every word of the texts; counts: the ids of each word."""
+    inputs, targets, _ = model.windows(texts)
+    logs = model.log_probs(inputs, targets)[targets >= 0].astype(np.float64)
+    sums, ends = np.concatenate([[0.0], np.cumsum(logs)]), np.cumsum(counts)
+    return np.where(counts > 0, sums[ends] - sums[ends - counts], NO_IDS * np.log(10))
+
 
 def word_probs(model: AttentionModel, streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The network's probability of every word of the texts, and the number of words of each text."""
     texts = [read_stream(s) for s in streams]
-    counts = np.concatenate([c for _, c in texts])
-    inputs, targets, _ = model.windows([ids for ids, _ in texts])
-    logs = model.log_probs(inputs, targets)[targets >= 0].astype(np.float64)
-    sums, ends = np.concatenate([[0.0], np.cumsum(logs)]), np.cumsum(counts)
-    return np.where(counts > 0, np.exp(sums[ends] - sums[ends - counts]), 10.0**NO_IDS), np.array([len(c) for _, c in texts])
+    logs = probs_of_words(model, [ids for ids, _ in texts], np.concatenate([c for _, c in texts]))
+    return np.exp(logs), np.array([len(c) for _, c in texts])
+
+
+#: Steps to one of the logarithms of probabilities that are kept, 32 bits each: none above 1e-7000 is cut.
+KEPT_STEPS = 1 << 18
+
+
+def kept(logs: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(logs * -KEPT_STEPS), 2**32 - 1).astype(np.uint32)
 
 
 def score_texts(model: AttentionModel, head_counts: np.ndarray, norm: float, streams: list[bytes], places: list[bytes]):
     """For each text: tokens, head tokens, their base score and model score, and of other words the network's
     probability of each occurrence."""
     of_ids, lengths = word_probs(model, streams)
-    at = np.frombuffer(b"".join(places), np.uint32).astype(np.int64)
+    return score_words(model.mix, head_counts, norm, of_ids, lengths, np.frombuffer(b"".join(places), np.uint32).astype(np.int64))
+
+
+def score_words(mixture: np.ndarray, head_counts: np.ndarray, norm: float, of_ids: np.ndarray, lengths: np.ndarray, at: np.ndarray):
+    """score_texts() from the network's probability of every word and its place among the head words."""
     firsts = np.cumsum(lengths) - lengths
     shares = (head_counts + 1) / norm
-    known, share, mix = at > 0, shares[at], model.mix[count_size(head_counts)][at]
-    base = np.add.reduceat(np.where(known, np.log10(share), 0.0), firsts)
+    known, share, mix = at > 0, shares[at], mixture[count_size(head_counts)][at]
+    base = np.add.reduceat(np.where(known, np.log10(shares)[at], 0.0), firsts)
     scores = np.add.reduceat(np.where(known, np.log10(mix * of_ids + (1 - mix) * share), 0.0), firsts)
     n_known = np.add.reduceat(known.astype(np.int64), firsts)
-    rest = [p[~k] for p, k in zip(np.split(of_ids, firsts[1:]), np.split(known, firsts[1:]))]
+    rest = [p[~k] for p, k in zip(np.split(of_ids, firsts[1:]), np.split(known, firsts[1:]))] if not known.all() else [of_ids[:0]] * len(firsts)
     return lengths, n_known, base, scores, rest
 
 
@@ -393,51 +498,59 @@ def fit_mix(tokens: np.ndarray) -> np.ndarray:
     return np.clip(mix[:, 0], 0.02, 0.98)
 
 
-def ratio_table(encoded: DataFrame, others: DataFrame, model: AttentionModel, head_counts: np.ndarray, norm: float) -> np.ndarray:
-    """The counts that fit_mix() takes, over all tokens of (stream, places, rare); others: (word, c) of words that are no
-    head words. A count a place reaches the driver."""
-    shared = encoded.sparkSession.sparkContext.broadcast((model, head_counts))
+def network_probs(encoded: DataFrame, others: DataFrame, model: AttentionModel, words: HeadWords, head_counts: np.ndarray, norm: float) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The network once over all rows of `encoded`; others: (word, c) of words that are no head words. Returns
+    (row, doc_id, held_out, places, probs) with kept() logarithms by to_planes(), (row, held_out, p, c) of the other words'
+    occurrences, c 0 for those that no training text has, and the counts that fit_mix() takes, over all training tokens. A
+    count a place reaches the driver."""
+    shared = encoded.sparkSession.sparkContext.broadcast((model, words, head_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head_counts = shared.value
+        model, words, head_counts = shared.value
         table = np.zeros(COUNT_SIZES * RATIOS, np.int64)
         for batch in slices(batches, 64):
-            of_ids = word_probs(model, batch.column(0).to_pylist())[0]
-            at = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32)
-            head = at > 0
-            table += np.bincount(ratio_places(of_ids[head], head_counts[at[head]], norm), minlength=len(table))
-            rest = of_ids[~head]
-            if len(rest):
-                nothing = pa.nulls(len(rest), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array([w for words in batch.column(2).to_pylist() for w in words], pa.binary()), pa.array(rest)], names=names)
+            held_out, places = batch.column("held_out").to_numpy(zero_copy_only=False), batch.column("places").to_pylist()
+            ids, sizes, lengths, at = words.expand(places, batch.column("rare_ids").to_pylist())
+            numbers = kept(probs_of_words(model, split_texts(ids, sizes, lengths), sizes))
+            of_ids, ends = np.exp(numbers / -KEPT_STEPS), np.cumsum(lengths)
+            learnt = (at > 0) & ~np.repeat(held_out, lengths)
+            table += np.bincount(ratio_places(of_ids[learnt], head_counts[at[learnt]], norm), minlength=len(table))
+            probs = [to_planes(n) for n in np.split(numbers, ends[:-1])]
+            gaps = np.flatnonzero(at == 0)
+            cuts = np.searchsorted(gaps, np.concatenate([[0], ends])).astype(np.int32)
+            p = pa.ListArray.from_arrays(cuts, pa.array(of_ids[gaps]))
+            nothing = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), batch.column("places"), pa.array(probs, pa.binary()), batch.column("rare"), p, nothing, nothing], names=_names(_PROBS))
         found = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(table[found]), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.float64())], names=names)
+        columns = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(found), pa.array(table[found])], names=_names(_PROBS))
 
-    names = ["place", "n", "word", "p"]
-    met = materialize(encoded.select("stream", "places", "rare").mapInArrow(giving_back(run), "place long, n long, word binary, p double"), "ratios")
+    written = materialize(encoded.mapInArrow(giving_back(run), _PROBS), "probs")
+    discard(encoded)
+    asked = written.filter("row is not null").select("row", "held_out", F.explode(F.arrays_zip("rare", "rare_probs")).alias("o")).select("row", "held_out", F.col("o.rare").alias("word"), F.col("o.rare_probs").alias("p"))
+    met = materialize(asked.join(others, "word", "left").select("row", "held_out", "p", F.coalesce("c", F.lit(0)).alias("c")), "rare")
     left = F.greatest(F.col("c") - 1, F.lit(0))
     size = F.least(F.length(F.bin(left + 1)) - 1, F.lit(COUNT_SIZES - 1)).cast("long")
     ratio = F.floor(F.ln(F.greatest(F.col("p"), F.lit(LEAST)) * F.lit(float(norm)) / (left + 1)) * RATIO_STEPS) + RATIOS // 2
-    rare = met.filter("word is not null").join(others, "word").select((size * RATIOS + F.greatest(F.lit(0), F.least(F.lit(RATIOS - 1), ratio))).alias("place"), F.lit(1).cast("long").alias("n"))
-    counted = met.filter("word is null").select("place", "n").unionByName(rare).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    rare = met.filter("not held_out").select((size * RATIOS + F.greatest(F.lit(0), F.least(F.lit(RATIOS - 1), ratio))).alias("place"), F.lit(1).cast("long").alias("n"))
+    counted = written.filter("place is not null").select("place", "n").unionByName(rare).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(COUNT_SIZES * RATIOS, np.int64)
     table[counted["place"].to_numpy()] = counted["n"].to_numpy()
-    discard(met)
-    return table
+    return written.filter("row is not null").select("row", "doc_id", "held_out", "places", "probs"), met, table
 
 
 def _ids(raw: bytes) -> np.ndarray:
     return read_stream(raw)[0]
 
 
-def averaged_weights(encoded: DataFrame, model: AttentionModel, shards: int, rate: float = 0.003) -> dict[str, np.ndarray]:
-    """The weights after an epoch over all rows of (row, stream): each shard starts from the model's; their mean counts
+def averaged_weights(encoded: DataFrame, model: AttentionModel, words: HeadWords, shards: int, rate: float = 0.003) -> dict[str, np.ndarray]:
+    """The weights after an epoch over all rows of (row, places, rare_ids): each shard starts from the model's; their mean counts
     a shard by its targets, and the row of an id by how often the shard met the id."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast((model, words))
     width, dense = model.weights["emb"].shape[1], [k for k in model.weights if k != "emb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = shared.value
+        start, words = shared.value
         emb, met, rest, n = np.zeros((IDS, width)), np.zeros(IDS), {k: np.zeros(start.weights[k].shape) for k in dense}, 0
 
         def learn(shard, texts):
@@ -454,12 +567,12 @@ def averaged_weights(encoded: DataFrame, model: AttentionModel, shards: int, rat
 
         at, texts, held = None, [], 0
         for batch in slices(batches):
-            for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for shard, ids in zip(batch.column(0).to_pylist(), words.texts(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if texts and (shard != at or held > SHARD_IDS):
                     learn(at, texts)
                     texts, held = [], 0
-                at, held = shard, held + len(raw) // 2
-                texts.append(_ids(raw))
+                at, held = shard, held + len(ids)
+                texts.append(ids.astype(np.uint16))
         if texts:
             learn(at, texts)
         if n:
@@ -472,7 +585,7 @@ def averaged_weights(encoded: DataFrame, model: AttentionModel, shards: int, rat
             yield pa.RecordBatch.from_arrays([pa.array(IDS + np.arange(len(lines)), pa.int64()), pa.array(np.full(len(lines), float(n))), *[pa.array(c) for c in lines.T]], names=names)
 
     names = ["id", "n", *[f"w{k}" for k in range(width)]]
-    dealt = encoded.select(F.pmod(F.xxhash64("stream"), F.lit(shards)).alias("shard"), "row", "stream").repartition("shard").sortWithinPartitions("shard", "row").drop("row")
+    dealt = encoded.select(F.pmod(F.xxhash64("places", "rare_ids"), F.lit(shards)).alias("shard"), "row", "places", "rare_ids").repartition("shard").sortWithinPartitions("shard", "row").drop("row")
     sums = dealt.mapInArrow(giving_back(run), "id long, " + ", ".join(f"{c} double" for c in names[1:])).groupBy("id").agg(*[F.sum(c).alias(c) for c in names[1:]])
     got = sums.orderBy("id").toPandas()
     ids, means = got["id"].to_numpy(), (got[names[2:]].to_numpy() / got[["n"]].to_numpy()).astype(np.float32)
@@ -487,8 +600,9 @@ def averaged_weights(encoded: DataFrame, model: AttentionModel, shards: int, rat
     return out
 
 
-_ENCODED = "row long, doc_id long, held_out boolean, stream binary, places binary, rare array<binary>"
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, probs array<double>"
+_ENCODED = "row long, doc_id long, held_out boolean, places binary, rare_ids binary, rare array<binary>"
+_PROBS = "row long, doc_id long, held_out boolean, places binary, probs binary, rare array<binary>, rare_probs array<double>, place long, n long"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _names(ddl: str) -> list[str]:
@@ -512,8 +626,19 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
         if held + levels[k] > head_words:
             break
         least, held = k, held + levels[k]
-    head_table = counts.filter(level >= least).toArrow()
+
+    def head_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = WordTokenizer(tokenizer_file, 1_000)
+        for batch in slices(batches, 8192):
+            words = batch.column(0).to_pylist()
+            ids = [np.frombuffer(i, np.uint32).astype(np.uint16).tobytes() for i in tokenizer._words([w.decode() for w in words])]
+            own = [i if w else np.array([END_ID], np.uint16).tobytes() for w, i in zip(words, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["word", "c", "ids"])
+
+    found = counts.filter(level >= least).coalesce(spark.sparkContext.defaultParallelism)
+    head_table = found.mapInArrow(giving_back(head_ids), "word binary, c long, ids binary").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     head = {w: i for i, w in enumerate(head_table["word"].to_pylist(), 1)}
+    words = HeadWords.of(head_table["ids"].to_pylist())
     head_counts = np.concatenate([[0], head_table["c"].to_numpy()]).astype(np.float64)
     del head_table
 
@@ -532,16 +657,16 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
     for r in counts.mapInArrow(giving_back(id_counts), "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id of the tokenizer at most
         totals[r["id"]] = r["n"]
 
-    # every text as ids, once for all that follows
-    shared_head = spark.sparkContext.broadcast(head)  # head_words bounds it
+    # every text as places of its words, once for all that follows
+    shared_head, shared_words = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast(words)  # head_words bounds them
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(tokenizer_file, shared_head.value)
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            streams, places, rare = zip(*[encoder.encode(t) for t in batch.column(1).to_pylist()])
+            places, streams, rare = zip(*[encoder.places(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([
-                pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), batch.column(2), pa.array(streams, pa.binary()), pa.array(places, pa.binary()), pa.array(rare, pa.list_(pa.binary())),
+                pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), batch.column(2), pa.array(places, pa.binary()), pa.array(streams, pa.binary()), pa.array(rare, pa.list_(pa.binary())),
             ], names=_names(_ENCODED))
             row += batch.num_rows
 
@@ -551,46 +676,49 @@ def lm_scores(docs: DataFrame, held_out: Column, tokenizer_file: str, id_col: st
     place = common_places(totals)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((IDS, 2 * COMMON_IDS), np.int32)
+        table, words = np.zeros((IDS, 2 * COMMON_IDS), np.int32), shared_words.value
         for batch in slices(batches):
-            add_neighbours(table, _ids(b"".join(batch.column(0).to_pylist())), place)
+            add_neighbours(table, words.expand(batch.column(0).to_pylist(), batch.column(1).to_pylist())[0], place)
         for at in range(0, IDS, 4096):
             i, j = np.nonzero(table[at : at + 4096])
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(i + at, pa.int32()), pa.array(j, pa.int32()), pa.array(table[i + at, j], pa.int64())], names=["id", "place", "n"])
 
     table = np.zeros((IDS, 2 * COMMON_IDS), np.float32)
-    found = training.select("stream").mapInArrow(giving_back(neighbours), "id int, place int, n long").groupBy("id", "place").agg(F.sum("n").cast("float").alias("n"))
+    found = training.select("places", "rare_ids").mapInArrow(giving_back(neighbours), "id int, place int, n long").groupBy("id", "place").agg(F.sum("n").cast("float").alias("n"))
     by_id = found.groupBy("id").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("times"))
     for part in by_id.select("id", "places", "times").toArrow().to_batches():  # a row per id of the tokenizer at most
         for i, at, times in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
             table[i, at.values.to_numpy()] = times.values.to_numpy()
 
     chosen = encoded.filter(~F.col("held_out")).select("doc_id", "row").orderBy(F.xxhash64("doc_id"), "row").limit(sample_rows).select("row")
-    sample = sorted(encoded.join(F.broadcast(chosen), "row", "left_semi").select("stream").toArrow()["stream"].to_pylist())
-    model = train_model([_ids(s) for s in sample], totals, table=table)
+    sample = encoded.join(F.broadcast(chosen), "row", "left_semi").select("places", "rare_ids").toArrow()
+    texts = words.texts(sample["places"].to_pylist(), sample["rare_ids"].to_pylist()) if sample.num_rows else []
+    model = train_model(sorted(texts, key=lambda ids: ids.tobytes()), totals, table=table)
     if n_rows:
-        model.weights = averaged_weights(training.select("row", "stream"), model, -(-n_rows // SHARD_ROWS))
-        model.mix = fit_mix(ratio_table(training, counts.filter(level < least), model, head_counts, norm - 1))
-    shared = spark.sparkContext.broadcast((model, head_counts))  # the tokenizer's ids and head_words bound it
+        model.weights = averaged_weights(training.select("row", "places", "rare_ids"), model, words, -(-n_rows // SHARD_ROWS))
+    probs, met, tokens = network_probs(encoded, counts.filter(level < least), model, words, head_counts, norm - 1)
+    discard(counts)
+    if n_rows:
+        model.mix = fit_mix(tokens)
+    shared = spark.sparkContext.broadcast((model.mix, head_counts))  # head_words bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head_counts = shared.value
+        mix, head_counts = shared.value
         for batch in slices(batches, 64):
-            lengths, n_known, base, scores, rest = score_texts(model, head_counts, norm, batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(lengths, pa.int64()), pa.array(n_known), pa.array(base), pa.array(scores), batch.column(5), pa.array(rest, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=_names(_SCORED))
+            parts = [from_planes(p) for p in batch.column(3).to_pylist()]
+            of_ids = np.exp(np.concatenate([from_planes(p) for p in batch.column(4).to_pylist()]) / -KEPT_STEPS)
+            lengths, n_known, base, scores, _ = score_words(mix, head_counts, norm, of_ids, np.array([len(p) for p in parts]), np.concatenate(parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lengths, pa.int64()), pa.array(n_known), pa.array(base), pa.array(scores)], names=_names(_SCORED))
 
-    scored = materialize(encoded.mapInArrow(giving_back(run), _SCORED), "scored")
-    discard(encoded)
-    asked = scored.select("row", F.explode(F.arrays_zip("rare", "probs")).alias("o")).select("row", F.col("o.rare").alias("word"), F.col("o.probs").alias("p"))
-    met = asked.join(counts.filter(level < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    scored = materialize(probs.mapInArrow(giving_back(run), _SCORED), "scored")
+    discard(probs)
     size = F.least(F.length(F.bin(F.col("c") + 1)) - 1, F.lit(COUNT_SIZES - 1))
     mix, share = F.get(F.array(*[F.lit(float(x)) for x in model.mix]), size), (F.col("c") + 1) / F.lit(norm)
     rest = met.groupBy("row").agg(
         F.sum(F.log10(share)).alias("base"), F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(F.log10(mix * F.col("p") + (1 - mix) * share)).alias("mixed")
     )
-    return scored.drop("rare", "probs").join(rest, "row", "left").select(
+    return scored.join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"),
     )

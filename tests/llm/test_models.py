@@ -339,3 +339,22 @@ def test_lm_mixture_is_fitted_to_all_training_tokens(docs_of, monkeypatch):
         assert seen[-1].sum() == got[0].train_tokens
     of_count = [t.reshape(lm_scoring.COUNT_SIZES, -1).sum(axis=1).tolist() for t in seen]
     assert of_count[0] == of_count[1] and sum(map(bool, of_count[0])) > 3
+
+
+def test_lm_texts_are_written_as_places_and_read_back_whole():
+    texts = ["the cat's river, Ünï 漢字 walks", "", " ".join(["bridge"] * 40), "a1 b2 c3 " * 15, "only rare", "\x00 <|endoftext|> x"]
+    known = sorted({w for t in texts[:4] for w in lm_scoring.split_words(t)} | {b""}) + [b"bridge%d" % k for k in range(70_000)]
+    for words in (known, known[1:3]):  # without the end of text among them, too
+        encoder = lm_scoring.TextEncoder(WORD, {w: i for i, w in enumerate(words, 1)})
+        plain = [np.frombuffer(lm_scoring.TextEncoder(WORD, {}).encode(w.decode())[0], np.uint16) if w else np.array([lm_scoring.MARK, lm_scoring.END_ID] * 2, np.uint16) for w in words[:40]]
+        head = lm_scoring.HeadWords.of([s[s != lm_scoring.MARK][:-1].tobytes() for s in plain])
+        places, streams, rare = zip(*[encoder.places(t) for t in texts])
+        wanted = [encoder.encode(t) for t in texts]
+        ids, sizes, lengths, at = head.expand(list(places), list(streams))
+        assert ids.tolist() == [i for s, _, _ in wanted for i in lm_scoring.read_stream(s)[0]] and sizes.tolist() == [n for s, _, _ in wanted for n in lm_scoring.read_stream(s)[1]]
+        assert lengths.tolist() == [len(t.encode().split()) + 1 for t in texts] and at.tolist() == np.frombuffer(b"".join(p for _, p, _ in wanted), np.uint32).tolist()
+        assert [t.tolist() for t in head.texts(list(places), list(streams))] == [lm_scoring.read_stream(s)[0].tolist() for s, _, _ in wanted] and list(rare) == [r for _, _, r in wanted]
+    numbers = np.array([0, 1, 255, 256, 70_000, 2**32 - 1])
+    assert lm_scoring.from_planes(lm_scoring.to_planes(numbers)).tolist() == numbers.tolist() and lm_scoring.to_planes(numbers[:2]) == b"\0" * 7 + b"\1"
+    logs = -np.array([0.0, 1e-6, 3.7, 500.0])
+    assert np.abs(lm_scoring.kept(logs) / -lm_scoring.KEPT_STEPS - logs).max() <= 0.5 / lm_scoring.KEPT_STEPS and lm_scoring.kept(np.array([-1e9])) == 2**32 - 1

@@ -1,5 +1,7 @@
 """Properties of the warp that need no golden data, and the relational operators on small tables."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -296,3 +298,20 @@ def test_batches_are_gathered(monkeypatch):
     assert [b.num_rows for b in got] == [11, 25, 1]
     assert [x for b in got for x in b.column(0).to_pylist()] == list(range(37))
     assert list(warp.gathered(iter([]))) == []
+
+
+def test_faces_are_worked_out_once_and_keep_their_nodes(spark, tmp_path):
+    def seen(batches):
+        for batch in batches:
+            (tmp_path / uuid.uuid4().hex).write_text(str(batch.num_rows))
+            yield batch
+
+    points = spark.createDataFrame([(10, 0.0, 0.0, 0.0), (7, 1.0, 0.0, 0.0), (30, 1.0, 1.0, 0.0), (4, 0.0, 1.0, 0.0), (90, 2.0, 0.5, 0.0)], "pt_id long, x double, y double, z double")
+    rows = [(2, [7, 90, 30]), (1, [10, 7, 30, 4])]
+    faces = spark.createDataFrame(rows, "face_id long, nodes array<int>").mapInArrow(seen, "face_id long, nodes array<int>")
+    s = Warper(points, faces, WarpOptions(use_rotations=False)).surface
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 2
+    ids = np.array([4, 7, 10, 30, 90])[s.rep]
+    assert [ids[s.faces.conn[a:b]].tolist() for a, b in zip(s.faces.ptr, s.faces.ptr[1:])] == [[10, 7, 30, 4], [7, 90, 30]]
+    with pytest.raises(KeyError):
+        Warper(points, spark.createDataFrame([(1, [10, 7, 31])], "face_id long, nodes array<long>"))

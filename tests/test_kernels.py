@@ -161,3 +161,38 @@ def test_large_leaves_are_summed_by_clusters(monkeypatch):
     assert sum(pairs) < 4 * n * q / 3
     other = np.ones((n, 2))  # other columns are not mistaken for those known
     np.testing.assert_allclose(K.fast_sums(tree, r, x, area, other, K.node_means(tree, other), weights, np.zeros(q))[:, 1], exact[:, 3], rtol=1e-12)
+
+
+def test_clusters_sum_and_transpose_as_all_pairs_do(monkeypatch):
+    """A long strip of points and positions at its start: all pairs count, to rounding, most of them through stand-ins."""
+    rng = np.random.default_rng(9)
+    n, q = 60_000, 200
+    k = np.arange(n)
+    x = np.stack([k % 40 / 40, k // 40 / 40, rng.uniform(0.05, 0.1, n)], axis=1)
+    r = np.concatenate([rng.uniform(0, 1, (q - 1, 3)), x[[777]]])
+    area, w, seeds, columns = rng.random(n), K.Weights(20.0, 3, 5, 0.25), rng.normal(size=(q, 3)), rng.normal(size=(n, 4))
+    c = K.Clusters(x, area, None, w, K.EPS_KERNEL)
+    exact, size = (K.exact_sums(r, x, area, v, w) for v in (columns, np.abs(columns)))
+    back, back_size = (K.transposed_sums(r, v, x, area, w)[c.order] for v in (seeds, np.abs(seeds)))
+    pairs, of = [], K.Weights.of
+    monkeypatch.setattr(K.Weights, "of", lambda self, area, d2, eps: pairs.append(d2.size) or of(self, area, d2, eps))
+    assert (np.abs(c.holding(columns[c.order]).sums(r) - exact) / size).max() < 1e-12
+    assert (np.abs(c.transposed(r, seeds) - back) / back_size).max() < 1e-12
+    assert sum(pairs) < n * q
+    assert not c.transposed(r[:0], seeds[:0]).any() and c.sums(r[:0]).shape == (0, 1)
+
+
+def test_motions_in_blocks_are_those_of_all_nodes(monkeypatch):
+    from driftmesh.plans import nodal
+
+    pts, quads = sheet(12)
+    moved, d = pts + 0.02 * RNG.normal(size=pts.shape), RNG.normal(size=pts.shape)
+    whole = Surface.build(pts, quads)
+    monkeypatch.setattr(nodal, "BLOCK", 17)
+    parts = Surface.build(pts, quads)
+    assert max(len(nodes) for _, nodes in parts.faces.blocks) == 17
+    for a, b in zip((*whole.motion(moved), *whole.motion_tangent(moved, d)), (*parts.motion(moved), *parts.motion_tangent(moved, d))):
+        assert np.allclose(a, b, rtol=1e-12, atol=1e-14)
+    order = np.arange(len(whole.xu0))[::-1]
+    assert [len(m) for _, m, _ in parts.motions(moved, order=order)][0] == 17
+    assert np.allclose(np.concatenate([b for _, _, b in parts.motions(moved, order=order)]), whole.motion(moved)[1][::-1], atol=1e-14)

@@ -315,3 +315,26 @@ def test_faces_are_worked_out_once_and_keep_their_nodes(spark, tmp_path):
     assert [ids[s.faces.conn[a:b]].tolist() for a, b in zip(s.faces.ptr, s.faces.ptr[1:])] == [[10, 7, 30, 4], [7, 90, 30]]
     with pytest.raises(KeyError):
         Warper(points, spark.createDataFrame([(1, [10, 7, 31])], "face_id long, nodes array<long>"))
+
+
+@pytest.mark.parametrize("turns", [True, False])
+def test_exact_mode_of_a_large_surface_goes_by_clusters(mesh, monkeypatch, turns):
+    """Warp, derivatives and tables that do not go into plans, against those of a small surface."""
+    p, f, v = mesh
+    bend = lambda df: df.withColumn("z", F.col("z") + 0.1 * F.col("x") * F.col("x"))
+    tangent = p.select("pt_id", F.col("y").alias("dx"), F.col("z").alias("dy"), (F.col("x") * 2).alias("dz"))
+    seeds = v.select("node_id", F.col("y0").alias("vx"), F.col("z0").alias("vy"), (F.col("x0") + 1).alias("vz"))
+
+    def results():
+        w = Warper(p, f, WarpOptions(eval_mode="exact", use_rotations=turns), planes=(((0, 0, 0), (0, 0, 1)),))
+        d = ("dx", "dy", "dz")
+        return w, [out(w.warp(v, bend)), out(w.jvp(v, bend, tangent), d), out(w.complex_step(v, bend, tangent), d), out(w.vjp(v, bend, seeds), d, "pt_id"), out(w.denominators(v), ("denominator",))]
+
+    w, plain = results()
+    assert w.clusters is None
+    for module, name, value in ((K, "MANY", N), (K, "CLUSTER", 4), (warp, "PLAN_ROWS", 10), (warp, "SUMS_ROW", 7)):
+        monkeypatch.setattr(module, name, value)
+    w, found = results()
+    assert w.clusters is not None and "tree" not in vars(w)  # whose building an exact sum does not need
+    for got, known in zip(found, plain):
+        np.testing.assert_allclose(got, known, rtol=1e-9, atol=1e-11)

@@ -338,3 +338,16 @@ def test_exact_mode_of_a_large_surface_goes_by_clusters(mesh, monkeypatch, turns
     assert w.clusters is not None and "tree" not in vars(w)  # whose building an exact sum does not need
     for got, known in zip(found, plain):
         np.testing.assert_allclose(got, known, rtol=1e-9, atol=1e-11)
+
+
+def test_a_large_join_is_summed_and_keeps_all_rows_of_a_place(mesh, monkeypatch):
+    p, _, v = mesh
+    planes = (((0.0, 0.0, 0.0), (0.0, 0.0, 1.0)),)
+    s = p.select("x", "y", "z", (F.col("x") + 0.5).alias("a"), (0.1 * F.col("y")).alias("dx"), F.lit(0.0).alias("dy"), (0.2 * F.col("x")).alias("dz"))
+    s = s.union(s.filter("x > 0.5").withColumn("dx", F.col("dx") + 1))
+    joined = idw.exact_warp_join(v, s, 1.2, planes=planes)
+    monkeypatch.setattr(idw, "JOINED_ROWS", 10)
+    summed = idw.exact_warp_join(v, s, 1.2, planes=planes)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan(joined) and "Join" not in plan(summed)
+    np.testing.assert_allclose(out(summed), out(joined), atol=1e-11)

@@ -179,6 +179,8 @@ def test_clusters_sum_and_transpose_as_all_pairs_do(monkeypatch):
     assert (np.abs(c.holding(columns[c.order]).sums(r) - exact) / size).max() < 1e-12
     assert (np.abs(c.transposed(r, seeds) - back) / back_size).max() < 1e-12
     assert sum(pairs) < n * q
+    both = c.transposed(r, lambda places, sums: seeds[places] / sums, 3)
+    assert np.allclose(both, c.transposed(r, seeds / c.sums(r)), rtol=1e-10, atol=1e-12 * np.abs(both).max())
     assert not c.transposed(r[:0], seeds[:0]).any() and c.sums(r[:0]).shape == (0, 1)
 
 
